@@ -7,10 +7,11 @@ is their probability Jaccard similarity.  Texts that agree in all registers of s
 candidates; similarity of candidates is then computed exactly from their shingles.
 
 * Texts of equal words are one node, whose representative stands for all copies.
-* In a bucket each node is compared with the bucket's first node only (a star); connected components
-  follow.  Afterwards nodes of one bucket that still lie in different components are compared with one
-  another, filtered by their registers inside the join, so links off the star are found and pairs
-  inside one component are never made.
+* In a bucket each node is compared with one node only (a star), that which shares most buckets with
+  others, usually the text that the copies were made from; connected components follow.  Afterwards
+  nodes of one bucket that still lie in different components are compared with one another, filtered
+  by their registers inside the join and made in the pair's first common bucket only, so links off the
+  star are found and pairs inside one component are never made.
 * ``weight`` is ``count`` (a shingle weighs as often as it occurs) or ``set`` (each weighs 1; the
   similarity is then the plain Jaccard similarity).
 
@@ -40,8 +41,8 @@ from tillroll.llm.wordhash import Words, mix, one_run, shingles, words
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 28
 REGISTERS = ROWS * BANDS
-#: Registers of 0.8 agree in at least this share with all but a probability of 1e-9.
-AGREE = 0.6
+#: Registers that agree off the star: a pair of similarity 0.8 falls short with a probability of 0.003, one of 0.85 of 1e-6.
+AGREE = 99
 
 
 def weighted_shingles(found: Words, n: int, k: int = WORDS, weight: str = "count") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,25 +193,31 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, weight: str =
     reps, _ = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sketch", "bands"), "doc_id").alias("x"), F.first("sketch").alias("any"), F.first("bands").alias("some")).select("node", "rep", F.coalesce("x.sketch", "any").alias("sketch"), F.coalesce("x.bands", "some").alias("bands")), "nodes")
 
     members = reps.select("node", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    stars, stars_at = written(members.join(heads, "bucket"), "stars")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared, shared_at = written(members.join(sizes, "bucket"), "shared")
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = shared.join(degree, "node")
+    heads = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("head"))
+    stars, stars_at = written(shared.join(heads, "bucket"), "stars")
     pairs, pairs_at = written(stars.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links, links_at = written(verified(pairs, docs, reps, weight, least), "links")
     labels = components(links)
 
     placed = stars.filter("n > 2").join(labels, "node", "left").select("bucket", "node", "head", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("bucket")
-    loose = placed.join(mixed, "bucket", "left_semi").filter("node <> head").join(reps.select("node", "sketch"), "node")
-    other = loose.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"))
-    agree = F.size(F.filter(F.zip_with("sketch", "sketch2", lambda x, y: x == y), lambda t: t)) >= int(AGREE * REGISTERS)
-    more = loose.join(other, "bucket").filter(F.col("node") < F.col("node2")).filter("root <> root2").filter(agree)
+    loose = placed.join(mixed, "bucket", "left_semi").filter("node <> head").join(reps.select("node", "sketch", "bands"), "node").drop("head")
+    other = loose.select(*(F.col(c).alias(f"{c}2") for c in ("bucket", "node", "root", "sketch", "bands")))
+    agree = F.size(F.filter(F.zip_with("sketch", "sketch2", lambda x, y: x == y), lambda t: t)) >= AGREE
+    once = F.element_at(F.array_intersect("bands", "bands2"), 1) == F.col("bucket")
+    off = F.when(F.col("node") < F.col("node2"), F.when(F.col("root") != F.col("root2"), F.when(once, agree)))
+    more = loose.join(other, (F.col("bucket") == F.col("bucket2")) & F.coalesce(off, F.lit(False)))
     more, more_at = written(more.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "pairs")
     if more.limit(1).count():
         found, found_at = written(verified(more, docs, reps, weight, least), "links")
         if found.limit(1).count():
             labels = components(links.unionByName(found))
         remove(spark, found_at)
-    remove(spark, stars_at, pairs_at, links_at, more_at)
+    remove(spark, shared_at, stars_at, pairs_at, links_at, more_at)
 
     whole = reps.join(labels, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least_id = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
