@@ -47,7 +47,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 21, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose ``column`` holds about ``most`` bytes (``rows`` rows at most)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     begin = total = 0

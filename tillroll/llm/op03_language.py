@@ -27,7 +27,7 @@ from tillroll.llm.wordhash import utf8
 
 LONGEST, BITS = 3, 16
 #: Bound of the labelled sample for each language, in rows; the texts of it may have ``SAMPLE_CHARS`` characters at most.
-PER_LABEL, SAMPLE_CHARS = 1500, 100_000
+PER_LABEL, SAMPLE_CHARS = 600, 100_000
 _LOW = np.arange(0x110000, dtype=np.uint32)
 _LOW[:0x10000] = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(0x10000))]
 
@@ -94,7 +94,7 @@ def _rows(texts: list[str], idf: np.ndarray, longest: int, bits: int) -> list[tu
     for text in texts:
         lists, _ = grams(pa.array([text], pa.string()), longest, bits)
         index, count = np.unique(np.concatenate(lists), return_counts=True)
-        out.append((index, count / max(1, sum(map(len, lists))) * idf[index]))
+        out.append((index.astype(np.int32), (count / max(1, sum(map(len, lists))) * idf[index]).astype(np.float32)))
     return out
 
 

@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import pieces
 
 #: Bound of a worker's cache of pre-tokens.
-CACHE = 400_000
+CACHE = 150_000
 #: Bound of its table of prefixes.
-PREFIXES = 600_000
+PREFIXES = 150_000
+#: Bound of its table of pairs.
+FOLLOWS = 300_000
 # Letters, numbers and spaces of the code points below U+0250, for the quick form of the pattern.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
 _WIDE = re.compile("[^\x00-ɏ]")
@@ -72,7 +74,7 @@ class PairTable:
         key = left << 24 | right
         known = self._follows.get(key)
         if known is None:
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) > FOLLOWS:
                 self._follows.clear()
             known = self._follows[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
 _rng = np.random.Generator(np.random.PCG64(20240607))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
