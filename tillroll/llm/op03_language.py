@@ -181,6 +181,7 @@ def predict(docs: DataFrame, model: Model, *, longest: int = LONGEST, bits: int
                 top = p.max(axis=1, initial=0) / np.maximum(p.sum(axis=1), 1e-300)
                 names = [model.labels[b] if k else "und" for b, k in zip(best, known, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [pa.array(names, pa.string()), pa.array(np.where(known, top, 0.0))], [*rest, "lang_pred", "score"])
+        pa.default_memory_pool().release_unused()
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

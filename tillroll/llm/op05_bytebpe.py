@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import pieces
 
 #: Bound of a worker's cache of pre-tokens.
-CACHE = 150_000
+CACHE = 80_000
 #: Bound of its table of prefixes.
-PREFIXES = 150_000
+PREFIXES = 80_000
 #: Bound of its table of pairs.
-FOLLOWS = 300_000
+FOLLOWS = 120_000
 # Letters, numbers and spaces of the code points below U+0250, for the quick form of the pattern.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
 _WIDE = re.compile("[^\x00-ɏ]")
@@ -193,7 +193,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, *, with_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks, pattern)
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 22):
+            for part in pieces(batch, "text"):
                 counts, hashes, decoded, lists = [], [], [], []
                 for text in part.column("text").to_pylist():
                     ids = coder.encode(text or "")
@@ -208,6 +208,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, *, with_ids: b
                     columns.append(pa.array(lists, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
