@@ -10,8 +10,9 @@ candidates; similarity of candidates is then computed exactly from their shingle
 * In a bucket each node is compared with one node only (a star), that which shares most buckets with
   others, usually the text that the copies were made from; connected components follow.  Afterwards
   nodes of one bucket that still lie in different components are compared with one another, filtered
-  by their registers inside the join and made in the pair's first common bucket only, so links off the
-  star are found and pairs inside one component are never made.
+  inside the join by their registers and by a finer sketch that only such nodes get, and made in the
+  pair's first common bucket only, so links off the star are found and pairs inside one component are
+  never made.
 * ``weight`` is ``count`` (a shingle weighs as often as it occurs) or ``set`` (each weighs 1; the
   similarity is then the plain Jaccard similarity).
 
@@ -41,8 +42,10 @@ from tillroll.llm.wordhash import Words, mix, one_run, shingles, words
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 28
 REGISTERS = ROWS * BANDS
-#: Registers that agree off the star: a pair of similarity 0.8 falls short with a probability of 0.003, one of 0.85 of 1e-6.
-AGREE = 99
+#: Registers that agree off the star: a pair of similarity 0.8 falls short with a probability of 3e-4.
+AGREE = 95
+#: Registers of which one bit each is kept for nodes off the star, and how many of these bits may differ: a pair of similarity 0.8 exceeds it with a probability of 4e-5.
+FINE, DIFFER = 4096, 486
 
 
 def weighted_shingles(found: Words, n: int, k: int = WORDS, weight: str = "count") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +81,10 @@ def registers(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
         np.minimum.at(time, place, when)
         won = time[place] == when
         kept[place[won]] = element[better[won]]
-        alive = np.flatnonzero(now < time.reshape(n, m).max(axis=1)[row])
+        live = row[np.flatnonzero(np.diff(row, prepend=-1))]
+        last = np.empty(n)
+        last[live] = time.reshape(n, m)[live].max(axis=1)
+        alive = np.flatnonzero(now < last[row])
         row, element, weight, base, now = row[alive], element[alive], weight[alive], base[alive], now[alive]
     return kept.reshape(n, m)
 
@@ -124,6 +130,24 @@ def signatures(docs: DataFrame, weight: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node bigint, sketch array<smallint>, bands array<bigint>")
 
 
+def fine_sketches(docs: DataFrame, reps: DataFrame, nodes: DataFrame, weight: str) -> DataFrame:
+    """(node, fine) of ``nodes``: a bit of each of ``FINE`` registers that are independent of those in the bands."""
+    ids = reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", rows=256):
+                found, n = words(part.column("text")), part.num_rows
+                row, element, weights = weighted_shingles(found, n, weight=weight)
+                bits = mix(registers(row, mix(element ^ np.uint64(0x5851F42D4C957F2D)), weights, n, FINE)) & np.uint64(1)
+                packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(0, packed.size + 1, FINE // 64, dtype=np.int32), pa.array(packed.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(found, part.column("text"))), lists], ["node", "fine"])
+
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    return texts.select("text").mapInArrow(run, "node bigint, fine array<bigint>").dropDuplicates(["node"])
+
+
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
     """Of two weighted sets with sorted distinct elements ``a``, ``b`` and weights ``x``, ``y``."""
     both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -205,11 +229,14 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, weight: str =
 
     placed = stars.filter("n > 2").join(labels, "node", "left").select("bucket", "node", "head", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("bucket")
-    loose = placed.join(mixed, "bucket", "left_semi").filter("node <> head").join(reps.select("node", "sketch", "bands"), "node").drop("head")
-    other = loose.select(*(F.col(c).alias(f"{c}2") for c in ("bucket", "node", "root", "sketch", "bands")))
+    off_star, off_at = written(placed.join(mixed, "bucket", "left_semi").filter("node <> head").drop("head"), "off-star")
+    fine, fine_at = written(fine_sketches(docs, reps, off_star.select("node").distinct(), weight), "fine")
+    loose = off_star.join(reps.select("node", "sketch", "bands"), "node").join(fine, "node")
+    other = loose.select(*(F.col(c).alias(f"{c}2") for c in ("bucket", "node", "root", "sketch", "bands", "fine")))
     agree = F.size(F.filter(F.zip_with("sketch", "sketch2", lambda x, y: x == y), lambda t: t)) >= AGREE
+    differing = F.aggregate(F.zip_with("fine", "fine2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
     once = F.element_at(F.array_intersect("bands", "bands2"), 1) == F.col("bucket")
-    off = F.when(F.col("node") < F.col("node2"), F.when(F.col("root") != F.col("root2"), F.when(once, agree)))
+    off = F.when(F.col("node") < F.col("node2"), F.when(F.col("root") != F.col("root2"), F.when(once, F.when(agree, differing <= DIFFER))))
     more = loose.join(other, (F.col("bucket") == F.col("bucket2")) & F.coalesce(off, F.lit(False)))
     more, more_at = written(more.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "pairs")
     if more.limit(1).count():
@@ -217,7 +244,7 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, weight: str =
         if found.limit(1).count():
             labels = components(links.unionByName(found))
         remove(spark, found_at)
-    remove(spark, shared_at, stars_at, pairs_at, links_at, more_at)
+    remove(spark, shared_at, stars_at, pairs_at, links_at, more_at, off_at, fine_at)
 
     whole = reps.join(labels, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least_id = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
