@@ -173,6 +173,30 @@ def test_near_duplicates(spark):
     assert op09_probminhash.near_duplicates(odd_docs(spark)).count() == len(ODD) + 2
 
 
+def test_near_duplicates_of_short_texts(spark):
+    r, texts = random.Random(4), {}
+    for family in range(200):
+        size, base = r.choice([8, 8, 10, 12, 16]), [f"w{family}x{i}" for i in range(54)]
+        for i in range(4):
+            texts[family * 10 + i] = " ".join(base[: size + 4])
+            size = min(50, size * 5 // 4)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in texts.items())}
+    close = [(a, b) for a in texts for b in texts if a < b and a // 10 == b // 10 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(len(sets[a] & sets[b]) <= 0.88 * len(sets[a] | sets[b]) for a, b in close) > 100
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    reps = op09_probminhash.signatures(docs, "count").selectExpr("node", "doc_id AS rep").cache()
+    fine = {x.node: x.fine for x in op09_probminhash.fine_sketches(docs, reps, reps.select("node"), "count").collect()}
+    fine = {x.rep: fine[x.node] for x in reps.collect()}
+    assert all(sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(fine[a], fine[b])) <= op09_probminhash.DIFFER for a, b in close)
+    root = {k: k for k in texts}
+    for a, b in close:
+        root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+    least = {}
+    for k, v in sorted(root.items()):
+        least.setdefault(v, k)
+    assert {x.doc_id: x.class_id for x in op09_probminhash.near_duplicates(docs).collect()} == {k: least[v] for k, v in root.items()}
+
+
 def test_extraction():
     field = op10_extract.default_field()
     right = total = 0

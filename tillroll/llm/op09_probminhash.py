@@ -45,6 +45,7 @@ REGISTERS = ROWS * BANDS
 #: Registers that agree off the star: a pair of similarity 0.8 falls short with a probability of 3e-4.
 AGREE = 95
 #: Registers of which one bit each is kept for nodes off the star, and how many of these bits may differ: a pair of similarity 0.8 exceeds it with a probability of 4e-5.
+#: Bits come from the element and the register's number, so that they are independent however few shingles a text has.
 FINE, DIFFER = 4096, 486
 
 
@@ -139,7 +140,8 @@ def fine_sketches(docs: DataFrame, reps: DataFrame, nodes: DataFrame, weight: st
             for part in pieces(batch, "text", rows=256):
                 found, n = words(part.column("text")), part.num_rows
                 row, element, weights = weighted_shingles(found, n, weight=weight)
-                bits = mix(registers(row, mix(element ^ np.uint64(0x5851F42D4C957F2D)), weights, n, FINE)) & np.uint64(1)
+                won = registers(row, mix(element ^ np.uint64(0x5851F42D4C957F2D)), weights, n, FINE)
+                bits = mix(won ^ mix(np.arange(1, FINE + 1, dtype=np.uint64))) & np.uint64(1)
                 packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, packed.size + 1, FINE // 64, dtype=np.int32), pa.array(packed.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(_nodes(found, part.column("text"))), lists], ["node", "fine"])
@@ -192,7 +194,7 @@ def _similarity(a: bytes, x: bytes, b: bytes, y: bytes) -> float:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, weight: str, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose exact similarity is ``least`` or more."""
+    """The (a, b) of ``pairs`` whose exact similarity is ``least`` or more, up to rounding."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = reps.join(needed, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
@@ -201,7 +203,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, weight: str, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("elements", "weights", "other", "other_weights")]
-            keep = [_similarity(*row) >= least for row in zip(*columns, strict=True)]
+            keep = [_similarity(*row) >= least - 1e-9 for row in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     one = sets.select(F.col("node").alias("a"), "elements", "weights")
