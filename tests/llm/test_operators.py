@@ -38,6 +38,31 @@ def test_licenses(spark):
     assert op01_licenses.scan(odd_docs(spark)).count() == len(ODD) + 2
 
 
+def test_licenses_in_windows(spark):
+    r, long = random.Random(6), {}
+    for name, _, text in op01_licenses.TEMPLATES:
+        if 60 < len(text.split()) < 250:
+            long.setdefault(name, text)
+    filler = lambda n: " ".join(r.choice("the of software license under is a by in red terms".split()) for _ in range(n))
+    cases = {0: ("Licensed under the MIT License. See the License file for more details.", {"MIT"}), 1: ("Licensed under the MIT License. Licensed under CC BY 4.0.", {"MIT", "CC-BY-4.0"}), 2: (long["MIT"] + "\n" + long["ISC"], {"MIT", "ISC"})}
+    for name, text in long.items():
+        for cut in (0.2, 0.5, 0.8):
+            w = text.split()
+            k = int(len(w) * cut)
+            w[k : k + 4] = ["alpha", "beta", "gamma", "delta"]
+            w[len(w) // 2] += "\n"
+            cases[len(cases)] = (f"{filler(40)}\n{' '.join(w)}\n{filler(40)}", {name})
+    out = op01_licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id bigint, text string"))
+    for row in out.collect():
+        text, names = cases[row.doc_id]
+        got = {m.license for m in row.matches}
+        assert names <= got == set(op01_licenses.brute_windows(text)), (text, got)
+        for m in row.matches:
+            assert m.score >= 0.8 and m.score <= op01_licenses.brute_windows(text)[m.license] + 1e-12
+    twice = op01_licenses.scan(spark.createDataFrame([(1, "x Licensed under the MIT License, y. " * 3)], "doc_id bigint, text string")).first().matches
+    assert [m.unit for m in twice].count("window") == 3
+
+
 def test_decontamination(spark):
     docs, items = small(spark, 60), {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(12).collect()} | {98: "", 99: "Tiny Item"}
     some = list(items.values())

@@ -1,20 +1,24 @@
 """Operator 1: licence scan by Dice coefficient over word bigrams.
 
-Units of a text are its whole, each of its lines, and each maximal stretch of words in which template
-bigrams follow one another with gaps of ``GAP`` words at most (so a notice wrapped over lines, or inside
-a longer line, is a unit of its own).  A unit's normalised words are lower-cased runs of letters and
+Units of a text are its whole, each of its lines, and every window of consecutive words (so a notice
+wrapped over lines, or inside a longer line, is found wherever it begins and ends).  A best window
+begins and ends with a bigram of the template, so only such ones are compared; of overlapping windows
+of one licence that which shares most bigrams is reported, then the next one that is free of it.  A unit's normalised words are lower-cased runs of letters and
 digits.  Its set of bigrams is compared with each template's whose size fits: a Dice coefficient d
 needs sizes between d/(2-d) and (2-d)/d of each other; a template that shares no bigram is never
 looked at.  All bigrams of all texts are looked up at once as hashes; the few shared ones are
 compared as words.
 
 Edge cases: null and empty texts and texts of one word have no unit; equal units of one text are reported once for each place
-(line, stretch or whole), the longest stretch with the best score first; of templates of one licence the best counts.
+(window, line or whole), windows first; of templates of one licence the best counts.
 Repeated rows give repeated matches.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +30,7 @@ from tillroll.llm.common import pieces
 from tillroll.llm.license_templates import TEMPLATES
 from tillroll.llm.wordhash import LOWER, one_run, words
 
-DICE, GAP = 0.8, 4
+DICE = 0.8
 _MATCH = pa.struct({"license": pa.string(), "kind": pa.string(), "score": pa.float64(), "unit": pa.string(), "begin": pa.int64(), "end": pa.int64()})
 
 
@@ -46,6 +50,9 @@ class Templates:
                 holders.setdefault(h, []).append(i)
         self.hashes = np.array(sorted(holders), np.uint64)
         self.holders = [holders[int(h)] for h in self.hashes]
+        self.sizes = np.array([len(x) for x in self.sets])
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in self.holders])]).astype(np.int64)
+        self.flat = np.concatenate([np.array(x, np.int64) for x in self.holders])
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
 
@@ -61,7 +68,84 @@ class Templates:
         return out
 
 
-def scan_batch(column: pa.Array, held: Templates, least: float, gap: int = GAP) -> list[list[dict]]:
+class Hits:
+    """The places in one text of one template's bigrams.
+
+    ``before`` has for each bigram of the text the place of its last equal one (-1 for none), ``fresh`` the
+    number of those without one; ``at`` are the places of the template's ``size`` bigrams.
+    """
+
+    def __init__(self, before: np.ndarray, fresh: np.ndarray, at: np.ndarray, size: int, least: float) -> None:
+        self.before, self.at, self.size, self.least = before, at, size, least
+        self.all = int((before[at] < 0).sum())
+        self.most = (2 - least) / least * size + 1e-9
+        need = math.ceil(least / (2 - least) * size - 1e-9)
+        ends = at[need - 1 :]
+        self.starts = np.flatnonzero(fresh[ends] - fresh[at[: len(ends)]] <= self.most).tolist() if self.all >= need else []
+
+    def best(self, i: int, limit: int) -> tuple[int, float, int, int] | None:
+        """(shared bigrams, score, begin, end) of the best window from hit ``i`` that ends before word ``limit``."""
+        begin, span = int(self.at[i]), int(2 * self.most) + 2
+        last = int(np.searchsorted(self.at, limit - 1))
+        if last <= i:
+            return None
+        while True:
+            stop = min(last, int(np.searchsorted(self.at, begin + span)))
+            ends = self.at[i:stop]
+            own = np.cumsum(self.before[begin : ends[-1] + 1] < begin)[ends - begin]
+            shared = np.cumsum(self.before[ends] < begin)
+            if stop == last or own[-1] > self.most or shared[-1] == self.all:
+                break
+            span *= 2
+        score = 2 * shared / (own + self.size)
+        j = int(score.argmax())
+        return (int(shared[j]), float(score[j]), begin, int(ends[j]) + 2) if score[j] >= self.least else None
+
+
+def windows(hits: list[tuple[int, Hits]], end: int) -> list[tuple[float, int, int, int]]:
+    """(score, begin, end, template) of the best windows of one licence's templates that have no word in common."""
+    heap = []
+
+    def push(i: int, k: int, limit: int) -> None:
+        if found := hits[k][1].best(i, limit):
+            shared, score, begin, stop = found
+            heapq.heappush(heap, (-shared, -score, begin, stop, k, i))
+
+    for k, (_, held) in enumerate(hits):
+        for i in held.starts:
+            push(i, k, end)
+    taken: list[tuple[int, int]] = []
+    out = []
+    while heap:
+        _, score, begin, stop, k, i = heapq.heappop(heap)
+        at = bisect_right(taken, (begin, end + 1))
+        if at and taken[at - 1][1] > begin:
+            continue
+        if at < len(taken) and taken[at][0] < stop:
+            push(i, k, taken[at][0])
+            continue
+        insort(taken, (begin, stop))
+        out.append((-score, begin, stop, hits[k][0]))
+    return sorted(out, key=lambda x: x[1])
+
+
+def _windows_of(row_hashes: np.ndarray, at: np.ndarray, template: np.ndarray, held: Templates, least: float) -> list[tuple[float, int, int, int]]:
+    """:func:`windows` of each licence in one text, from its bigrams and from the (place, template) of its hits."""
+    order = np.argsort(row_hashes, kind="stable")
+    before = np.full(len(order), -1, np.int64)
+    same = row_hashes[order[1:]] == row_hashes[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    fresh = np.cumsum(before < 0)
+    by: dict[str, list[tuple[int, Hits]]] = {}
+    order = np.argsort(template, kind="stable")
+    cuts = np.flatnonzero(np.diff(template[order], prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        t = int(template[order[a]])
+        by.setdefault(held.names[t][0], []).append((t, Hits(before, fresh, at[order[a:b]], int(held.sizes[t]), least)))
+    return [x for name in sorted(by) for x in windows(by[name], len(row_hashes) + 1)]
+
+
+def scan_batch(column: pa.Array, held: Templates, least: float) -> list[list[dict]]:
     """The matches of each text."""
     split = words(column)
     out: list[list[dict]] = [[] for _ in range(len(column))]
@@ -80,29 +164,46 @@ def scan_batch(column: pa.Array, held: Templates, least: float, gap: int = GAP)
     bounds, base, raw = split.bounds(), split.offsets, split.data
     breaks = np.flatnonzero(raw == 10)
     low = LOWER[raw].tobytes()
-    new = np.ones(len(hit), bool)
-    new[1:] = (np.diff(hit) > gap) | (split.row[hit[1:]] != split.row[hit[:-1]])
-    starts = np.append(np.flatnonzero(new), len(hit))
+    count = held.first[place + 1] - held.first[place]
+    which = np.repeat(np.arange(len(hit)), count)
+    template = held.flat[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(held.first[place], count)]
+    # a text with fewer hits than the least number of shared bigrams has no window of that template
+    key, back, times = np.unique(split.row[hit[which]] * len(held.sizes) + template, return_inverse=True, return_counts=True)
+    enough = times >= least / (2 - least) * held.sizes[key % len(held.sizes)] - 1e-9
+    live = np.flatnonzero(enough[back])
+    rows = split.row[hit[which[live]]]
+    told: set[tuple[int, int, int, str]] = set()
+
+    def tell(row: int, kind: str, score: float, i: int, first: int, last: int) -> None:
+        name, template_kind = held.names[i]
+        if (row, first, last, name) not in told:
+            told.add((row, first, last, name))
+            out[row].append({"license": name, "kind": template_kind, "score": score, "unit": kind, "begin": int(split.begin[first] - base[row]), "end": int(split.end[last - 1] - base[row])})
+
+    cuts = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        row, some = int(rows[a]), live[a:b]
+        low_word = int(bounds[row])
+        mine = hashes[np.searchsorted(at, low_word) : np.searchsorted(at, bounds[row + 1])]
+        for score, first, last, i in _windows_of(mine, hit[which[some]] - low_word, template[some], held, least):
+            tell(row, "window", score, i, low_word + first, low_word + last)
+
     units: dict[tuple[int, int, int], tuple[str, set]] = {}
 
     def unit(kind: str, row: int, first: int, last: int, likely: set) -> None:
         known = units.setdefault((row, first, last), (kind, set()))
         known[1].update(likely)
 
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        row = int(split.row[hit[a]])
-        likely = {t for p in place[a:b].tolist() for t in held.holders[p]}
-        unit("stretch", row, int(hit[a]), int(hit[b - 1]) + 2, likely)
+    line_row, line_end, first = -1, 0, 0
+    for place_, word in zip(place.tolist(), hit.tolist(), strict=True):
+        row, likely = int(split.row[word]), set(held.holders[place_])
         unit("text", row, int(bounds[row]), int(bounds[row + 1]), likely)
-        for j in range(a, b):
-            if j > a and hit[j] < line_end:  # noqa: F821
-                unit("line", row, first, line_end, set(held.holders[place[j]]))  # noqa: F821
-                continue
-            edge = np.searchsorted(breaks, split.begin[hit[j]])
+        if row != line_row or word >= line_end:
+            edge = np.searchsorted(breaks, split.begin[word])
             begin = max(base[row], breaks[edge - 1] + 1 if edge else 0)
             end = min(base[row + 1], breaks[edge] if edge < len(breaks) else len(raw))
-            first, line_end = int(np.searchsorted(split.begin, begin)), int(np.searchsorted(split.begin, end))
-            unit("line", row, first, line_end, set(held.holders[place[j]]))
+            line_row, first, line_end = row, int(np.searchsorted(split.begin, begin)), int(np.searchsorted(split.begin, end))
+        unit("line", row, first, line_end, likely)
     longest = max(map(len, held.sets)) * (2 - least) / least
     for (row, first, last), (kind, likely) in sorted(units.items()):
         # distinct bigrams may be fewer than words, so only units of very many words need the count
@@ -117,7 +218,7 @@ def scan_batch(column: pa.Array, held: Templates, least: float, gap: int = GAP)
             if name not in best or (score, -i) > (best[name][0], -best[name][1]):
                 best[name] = score, i
         for name, (score, i) in sorted(best.items(), key=lambda x: (-x[1][0], x[0])):
-            out[row].append({"license": name, "kind": held.names[i][1], "score": score, "unit": kind, "begin": int(split.begin[first] - base[row]), "end": int(split.end[last - 1] - base[row])})
+            tell(row, kind, score, i, first, last)
     return out
 
 
@@ -160,5 +261,22 @@ def brute_force(text: str | None, templates: list[tuple[str, str, str]] = TEMPLA
     return out
 
 
+def brute_windows(text: str, templates: list[tuple[str, str, str]] = TEMPLATES, least: float = DICE) -> dict[str, float]:
+    """Each licence that any window of words reaches, with the best score of all windows."""
+    held, out = Templates(templates), {}
+    split = words(pa.array([text], pa.string()))
+    low = LOWER[split.data].tobytes()
+    found = [low[a:b] for a, b in zip(split.begin, split.end, strict=True)]
+    for (name, _), other in zip(held.names, held.sets, strict=True):
+        for i in range(len(found)):
+            own, shared = set(), 0
+            for pair in zip(found[i:], found[i + 1 :]):
+                shared += pair in other and pair not in own
+                own.add(pair)
+                if (score := 2 * shared / (len(own) + len(other))) >= least:
+                    out[name] = max(score, out.get(name, 0.0))
+    return out
+
+
 QUERIES = {"op1_licenses": op1_licenses}
 ORACLES: dict[str, str] = {}
