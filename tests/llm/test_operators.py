@@ -237,6 +237,18 @@ def test_extraction():
         op10_extract.extract_text(broken, field)
 
 
+def test_extraction_of_unclosed_elements():
+    field = op10_extract.default_field()
+    for part in (
+        "<datalist id=d><option value=a><option value=b></datalist>", "<select><option>a<optgroup label=x><option>b</select>", "<button>x", "<object data=x>", "<canvas>", "<video src=x>", "<svg><path d=x>",
+        "<button><p>x</p></button>", "<select><option>a<select>", "<template><div><p>x</div></template>", "<object data=x><object data=y>z</object>", "<button>x<button>y</button>", "<canvas><ul><li>x",
+    ):
+        page = f"<html><head><title>T</title><body><div class=search>{part}</div><article><h1>Title here</h1><p>Long <button><div>no</div></button> prose stands here.<p>It has an end.</article><div class=ad><video></video><object></object></div>"
+        assert op10_extract.extract_text(page, field) == "Title here\nLong prose stands here.\nIt has an end.", part
+    for rest in ("<p>x</p><script>y", "<p>x</p><style>y", "<p>x</p><textarea>y"):
+        assert [t for t, _ in op10_extract.blocks(rest)] == ["x"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

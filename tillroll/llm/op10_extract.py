@@ -10,7 +10,7 @@ bounded sample); other labelled pages may be passed to :func:`train`.  Markup, s
 comments of the markup, forms' controls and what stands in the head is no block at all.
 
 Edge cases: null and empty html, and pages without any main block, have the text ''.  Unclosed tags are closed by
-their parents, stray end tags are ignored, a ``<`` that opens no tag is text.  Repeated rows give repeated rows.
+their parents (elements of raw text only by their own end tag), stray end tags are ignored, a ``<`` that opens no tag is text.  Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -38,18 +38,22 @@ _PART = re.compile(r"[A-Za-z]+")
 # Elements of HTML by their content model.
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 SKIP = set("script style noscript template iframe svg math object head title textarea select button option canvas audio video".split())
+#: Those of SKIP whose content is raw text up to their own end tag; the others are nodes, hidden until closed.
+RAW = set("script style noscript title textarea iframe".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SECTION = set("article aside footer form header main nav section".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "li", "legend", "summary"}
-PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+CONTROLS = {"option": {"option"}, "optgroup": {"option", "optgroup"}, "select": {"select"}, "button": {"button"}}
 SCOPE = {"ul", "ol", "table", "dl", "menu"}
 
 
 class _Node:
-    __slots__ = ("features", "section", "tag")
+    __slots__ = ("features", "hidden", "section", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: _Node | None) -> None:
         self.tag = tag
+        self.hidden = tag in SKIP or parent is not None and parent.hidden
         self.section = parent.section if parent else "-"
         new = []
         if tag in BLOCK and tag not in ("html", "body", "div", "p"):
@@ -76,18 +80,25 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                block = next((n for n in reversed(stack) if n.tag in BLOCK), stack[0])
+                block = next((n for n in reversed(stack) if n.tag in BLOCK and not n.hidden), stack[0])
                 found.append((text, linked, block))
             parts.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
+        if stack[-1].hidden:
+            return
         text = entities.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if links:
             linked += len(text)
 
+    def close(i: int) -> None:
+        nonlocal links
+        links -= sum(node.tag == "a" for node in stack[i:])
+        del stack[i:]
+
     at, n = 0, len(page)
     while at < n:
         match = _TOKEN.search(page, at)
@@ -101,42 +112,51 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
             tag = match[1].lower()
             if tag == "br":
                 parts.append(" ")
-            elif any(node.tag == tag for node in reversed(stack)):
-                if tag in BLOCK:
+            elif i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0):
+                if tag in BLOCK and not stack[i].hidden:
                     flush()
-                while (node := stack.pop()).tag != tag:
-                    links -= node.tag == "a"
-                links -= tag == "a"
+                close(i)
             continue
         tag = (match[2] or match[4] or "").lower()
         attributes = match[3] if match[2] else match[5] or ""
         if not tag:
             continue
-        if tag in SKIP:
-            if tag not in ("noscript", "button", "select"):
-                flush_text = tag in ("head", "title")
-                if flush_text:
-                    flush()
-            close = re.compile(f"</{tag}(?![a-zA-Z0-9])[^>]*>", re.IGNORECASE).search(page, at)
-            if close:
-                at = close.end()
-            elif tag == "head":
-                body = re.compile("<body", re.IGNORECASE).search(page, at)
-                at = body.start() if body else at
+        if tag in RAW:
+            if tag == "title" and not stack[-1].hidden:
+                flush()
+            end = re.compile(f"</{tag}(?![a-zA-Z0-9])[^>]*>", re.IGNORECASE).search(page, at)
+            if end:
+                at = end.end()
             elif attributes[-1:] != "/":
                 at = n
             parts.append(" ")
             continue
-        if tag in BLOCK:
-            flush()
-            if tag in CLOSES_P and any(node.tag == "p" for node in stack):
-                while (node := stack.pop()).tag != "p":
-                    links -= node.tag == "a"
+        if tag == "body" and (i := next((i for i, node in enumerate(stack) if node.tag == "head"), 0)):
+            close(i)
+        if tag in CONTROLS:
             for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in CONTROLS[tag]:
+                    close(i)
+                    break
+                if stack[i].tag in SKIP and stack[i].tag != "option" or stack[i].tag in ("datalist", "optgroup"):
+                    break
+        if tag in SKIP:
+            if tag == "head":
+                if not re.compile("</head(?![a-zA-Z0-9])|<body", re.IGNORECASE).search(page, at):
+                    continue
+                flush()
+            parts.append(" ")
+        elif tag in BLOCK:
+            if not stack[-1].hidden:
+                flush()
+            low = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in SKIP), 0)
+            if tag in CLOSES_P and (i := next((i for i in range(len(stack) - 1, low, -1) if stack[i].tag == "p"), 0)):
+                close(i)
+            for i in range(len(stack) - 1, low, -1):
                 if stack[i].tag in SCOPE and tag in PEERS:
                     break
                 if stack[i].tag in PEERS.get(tag, ()):
-                    del stack[i:]
+                    close(i)
                     break
         if tag in VOID or attributes[-1:] == "/":
             if tag in ("br", "wbr", "img", "hr"):
