@@ -1,4 +1,20 @@
-"""Public licence notices, as (SPDX id, kind, text).  ``YEAR`` and ``HOLDER`` stand for any words."""
+"""Public licence notices, as (SPDX id, kind, text).  ``YEAR`` and ``HOLDER`` stand for any words.
+
+Full texts lie in the folder ``licenses``.
+"""
+
+import pkgutil
+
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = _BSD_2 + """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_AS_IS = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+_BSD_DAMAGES = """ IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = """This {0} is free software{3} you can redistribute it and/or modify it under the terms of the GNU {1} General Public License as published by the Free Software Foundation{4} either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} General Public License for more details."""
+
+
+def _full(name: str) -> str:
+    return (pkgutil.get_data("tillroll.llm", f"licenses/{name}.txt") or b"").decode()
+
 
 TEMPLATES = [
     ("Apache-2.0", "line", "Licensed under the Apache License, Version 2.0."),
@@ -18,4 +34,20 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "line", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "line", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "line", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("BSD-2-Clause", "text", _BSD_2 + _BSD_AS_IS + _BSD_DAMAGES),
+    ("BSD-3-Clause", "text", _BSD_3 + _BSD_AS_IS),
+    ("BSD-3-Clause", "text", _BSD_3 + _BSD_AS_IS + _BSD_DAMAGES),
+    ("LGPL-2.1-or-later", "notice", _GNU.format("library", "Lesser", "2.1", ";", ";")),
+    ("LGPL-3.0-or-later", "notice", _GNU.format("program", "Lesser", "3", ":", ",")),
+    ("AGPL-3.0-or-later", "notice", _GNU.format("program", "Affero", "3", ":", ",")),
+    ("Unlicense", "text", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("Zlib", "text", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("EPL-2.0", "notice", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""),
+    ("Apache-2.0", "text", _full("Apache-2.0")),
+    ("GPL-2.0-only", "text", _full("GPL-2")),
+    ("GPL-3.0-only", "text", _full("GPL-3")),
+    ("LGPL-2.1-only", "text", _full("LGPL-2.1")),
+    ("LGPL-3.0-only", "text", _full("LGPL-3")),
+    ("MPL-2.0", "text", _full("MPL-2.0")),
+    ("CC0-1.0", "text", _full("CC0-1.0")),
 ]

@@ -11,6 +11,8 @@ compared as words.
 
 Edge cases: null and empty texts and texts of one word have no unit; equal units of one text are reported once for each place
 (window, line or whole), windows first; of templates of one licence the best counts.
+A match is left out where an overlapping one of another licence shares more bigrams with its template, among them
+``DICE`` of those of the match (a GPL template fits an LGPL notice too).
 Repeated rows give repeated matches.
 """
 
@@ -145,6 +147,29 @@ def _windows_of(row_hashes: np.ndarray, at: np.ndarray, template: np.ndarray, he
     return [x for name in sorted(by) for x in windows(by[name], len(row_hashes) + 1)]
 
 
+def _best_of_overlapping(found: list[tuple[int, int, int]], text: list[bytes], low: int, held: Templates, least: float) -> list[bool]:
+    """Whether each match (begin, end, template) is kept beside the overlapping ones of other licences."""
+    shared = [bigrams(text[a - low : b - low]) & held.sets[t] for a, b, t in found]
+    rank = [(len(x), len(x) / (b - a)) for x, (a, b, _) in zip(shared, found, strict=True)]
+    order = sorted(range(len(found)), key=lambda k: found[k][:2])
+    rivals: dict[int, list[int]] = {}
+    for n, x in enumerate(order):
+        for y in order[n + 1 :]:
+            if found[y][0] >= found[x][1]:
+                break
+            if held.names[found[x][2]][0] != held.names[found[y][2]][0] and rank[x] != rank[y]:
+                worse, better = sorted((x, y), key=rank.__getitem__)
+                rivals.setdefault(worse, []).append(better)
+    keep = [True] * len(found)
+    for x in sorted(rivals, key=rank.__getitem__, reverse=True):
+        for y in rivals[x]:
+            begin, end = max(found[x][0], found[y][0]), min(found[x][1], found[y][1])
+            if keep[y] and len(bigrams(text[begin - low : end - low]) & shared[x] & shared[y]) >= least * len(shared[x]):
+                keep[x] = False
+                break
+    return keep
+
+
 def scan_batch(column: pa.Array, held: Templates, least: float) -> list[list[dict]]:
     """The matches of each text."""
     split = words(column)
@@ -173,11 +198,13 @@ def scan_batch(column: pa.Array, held: Templates, least: float) -> list[list[dic
     live = np.flatnonzero(enough[back])
     rows = split.row[hit[which[live]]]
     told: set[tuple[int, int, int, str]] = set()
+    places: dict[int, list[tuple[int, int, int]]] = {}
 
     def tell(row: int, kind: str, score: float, i: int, first: int, last: int) -> None:
         name, template_kind = held.names[i]
         if (row, first, last, name) not in told:
             told.add((row, first, last, name))
+            places.setdefault(row, []).append((first, last, i))
             out[row].append({"license": name, "kind": template_kind, "score": score, "unit": kind, "begin": int(split.begin[first] - base[row]), "end": int(split.end[last - 1] - base[row])})
 
     cuts = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
@@ -219,6 +246,10 @@ def scan_batch(column: pa.Array, held: Templates, least: float) -> list[list[dic
                 best[name] = score, i
         for name, (score, i) in sorted(best.items(), key=lambda x: (-x[1][0], x[0])):
             tell(row, kind, score, i, first, last)
+    for row, found in places.items():
+        if len({m["license"] for m in out[row]}) > 1:
+            keep = _best_of_overlapping(found, [low[a:b] for a, b in zip(split.begin[bounds[row] : bounds[row + 1]], split.end[bounds[row] : bounds[row + 1]], strict=True)], int(bounds[row]), held, least)
+            out[row] = [m for m, kept in zip(out[row], keep, strict=True) if kept]
     return out
 
 
@@ -252,10 +283,10 @@ def brute_force(text: str | None, templates: list[tuple[str, str, str]] = TEMPLA
 
     out = set()
     lines = (text or "").split("\n")
+    others = [(name, set(zip(found, found[1:]))) for name, _, template in templates for found in [split(template)]]
     for kind, part in [("text", text or ""), *(("line", line) for line in lines if len(lines) > 1)]:
         own = set(zip(split(part), split(part)[1:]))
-        for name, _, template in templates:
-            other = set(zip(split(template), split(template)[1:]))
+        for name, other in others:
             if own and 2 * len(own & other) / (len(own) + len(other)) >= least:
                 out.add((name, part))
     return out
@@ -273,6 +304,8 @@ def brute_windows(text: str, templates: list[tuple[str, str, str]] = TEMPLATES,
             for pair in zip(found[i:], found[i + 1 :]):
                 shared += pair in other and pair not in own
                 own.add(pair)
+                if least * len(own) > (2 - least) * len(other):
+                    break
                 if (score := 2 * shared / (len(own) + len(other))) >= least:
                     out[name] = max(score, out.get(name, 0.0))
     return out
