@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,11 +42,15 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes scratch tables that no later step reads."""
-    jvm = spark.sparkContext._jvm
+    """Deletes scratch folders that no later step reads."""
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        files, folder = fs.FileSystem.from_uri(path)
+        files.delete_dir(folder)
+
+
+def with_fields(held: Iterable[T.StructField], ddl: str) -> T.StructType:
+    """A schema of fields that exist, whatever their names are, and of new ones."""
+    return T.StructType([*held, *T.StructType.fromDDL(ddl).fields])
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -3,26 +3,28 @@
 Each shingle of a text with weight w is a Poisson process of rate w; an arrival falls on a random
 register, and a register keeps the shingle that arrived first.  A shingle stops as soon as its next
 arrival lies behind all registers of its text.  Two texts agree in a register with a probability that
-is their probability Jaccard similarity.  Texts that agree in all registers of some band are
-candidates; similarity of candidates is then computed exactly from their shingles.
+is their probability Jaccard similarity.  Texts that agree in all registers of some band share a bucket;
+similarity is then computed exactly from their shingles.
 
 * Texts of equal words are one node, whose representative stands for all copies.
 * In a bucket each node is compared with one node only (a star), that which shares most buckets with
-  others, usually the text that the copies were made from; connected components follow.  Afterwards
-  nodes of one bucket that still lie in different components are compared with one another, filtered
-  inside the join by their registers and by a finer sketch that only such nodes get, and made in the
-  pair's first common bucket only, so links off the star are found and pairs inside one component are
-  never made.
+  others, usually the text that the copies were made from; connected components follow.
+* A bucket whose nodes still lie in different components may hold links off the star.  Its nodes (the
+  residue) meet by an exact prefix filter: of each text the rarest shingles that hold ``1 - least`` of its
+  weight and one more; a pair of that similarity has a shingle in common there, and its places in both
+  texts must leave enough weight behind (see :func:`prefixes`).  So nothing is lost, and pairs of one
+  component are not made: of a shingle's rows, those of its most frequent component meet only the others.
 * ``weight`` is ``count`` (a shingle weighs as often as it occurs) or ``set`` (each weighs 1; the
   similarity is then the plain Jaccard similarity).
 
 A band of ``ROWS`` registers in ``BANDS`` bands misses a pair of similarity 0.8 with a probability of
-(1 - 0.8^5)^28 = 1.5e-5.  Shingle hashes in verification have 32 bits, which moves a similarity by
-less than 1e-5 in texts of 20,000 words.
+(1 - 0.8^5)^28 = 1.5e-5; nothing behind the bands loses pairs.  Shingle hashes in verification have 32
+bits, which moves a similarity by less than 1e-5 in texts of 20,000 words.
 
 Edge cases: a text of one to four words is one shingle; texts without words are classed by their
 exact text, null ones by nothing (each is its own class).  Repeated rows share a class.  ``class_id``
-is the least doc_id of the class.  A null doc_id yields a row with the class of its text.
+is the least doc_id of the class.  A null doc_id yields a row with the class of its text.  Different texts of one
+doc_id are rows of their own, told apart by ``key``; ``group`` tells classes apart even then.
 """
 
 from __future__ import annotations
@@ -35,18 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import pieces, remove, written
+from tillroll.llm.common import pieces, remove, with_fields, written
 from tillroll.llm.graph import components
 from tillroll.llm.wordhash import Words, mix, one_run, shingles, words
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 28
 REGISTERS = ROWS * BANDS
-#: Registers that agree off the star: a pair of similarity 0.8 falls short with a probability of 3e-4.
-AGREE = 95
-#: Registers of which one bit each is kept for nodes off the star, and how many of these bits may differ: a pair of similarity 0.8 exceeds it with a probability of 4e-5.
-#: Bits come from the element and the register's number, so that they are independent however few shingles a text has.
-FINE, DIFFER = 4096, 486
+#: Counters of shingle frequencies in the residue, a power of two; they order shingles, so collisions cost time only.
+COUNTERS = 20
 
 
 def weighted_shingles(found: Words, n: int, k: int = WORDS, weight: str = "count") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,43 +110,21 @@ def _nodes(found: Words, texts: pa.Array) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, weight: str) -> DataFrame:
-    """(doc_id, node, sketch, bands) of each row; ``sketch`` holds 15 bits of each register."""
+    """(doc_id, key, node, bands) of each row; ``bands`` is empty where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 found, n = words(part.column("text")), part.num_rows
                 row, element, weights = weighted_shingles(found, n, weight=weight)
-                signature = registers(row, element, weights, n)
-                short = (mix(signature) & np.uint64(0x7FFF)).astype(np.int16)
-                bands = band_hashes(signature).view(np.int64)
+                bands = band_hashes(registers(row, element, weights, n)).view(np.int64)
                 has = np.zeros(n, bool)
                 has[row] = True
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32), pa.array(bands[has].ravel()))
-                sketch = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(has * REGISTERS)]).astype(np.int32), pa.array(short[has].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_nodes(found, part.column("text"))), sketch, lists], ["doc_id", "node", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(_nodes(found, part.column("text"))), lists], ["doc_id", "key", "node", "bands"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node bigint, sketch array<smallint>, bands array<bigint>")
-
-
-def fine_sketches(docs: DataFrame, reps: DataFrame, nodes: DataFrame, weight: str) -> DataFrame:
-    """(node, fine) of ``nodes``: a bit of each of ``FINE`` registers that are independent of those in the bands."""
-    ids = reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text", rows=256):
-                found, n = words(part.column("text")), part.num_rows
-                row, element, weights = weighted_shingles(found, n, weight=weight)
-                won = registers(row, mix(element ^ np.uint64(0x5851F42D4C957F2D)), weights, n, FINE)
-                bits = mix(won ^ mix(np.arange(1, FINE + 1, dtype=np.uint64))) & np.uint64(1)
-                packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(0, packed.size + 1, FINE // 64, dtype=np.int32), pa.array(packed.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(found, part.column("text"))), lists], ["node", "fine"])
-
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return texts.select("text").mapInArrow(run, "node bigint, fine array<bigint>").dropDuplicates(["node"])
+    schema = with_fields([docs.schema["doc_id"]], "key bigint, node bigint, bands array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, schema)
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -161,12 +138,15 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     u, v = u[order], v[order]
     # elements of one set only have the ratio infinity or 0 and always count on their own side
     below = np.concatenate([[0.0], np.cumsum(v)])[:-1] + (1 - v.sum())
-    above = 1 - np.concatenate([[0.0], np.cumsum(u)])[:-1] - (1 - u.sum()) + (1 - u.sum())
+    above = 1 - np.concatenate([[0.0], np.cumsum(u)])[:-1]
     return float((1 / (above / u + below / v)).sum())
 
 
-def shingle_table(docs: DataFrame, weight: str) -> DataFrame:
-    """(node, elements, weights) of each row, as bytes of 32-bit hashes and of weights."""
+def shingle_table(docs: DataFrame, reps: DataFrame, nodes: DataFrame, weight: str) -> DataFrame:
+    """(node, elements, weights) of each of ``nodes`` once, as bytes of sorted 32-bit hashes and of weights (none where all are 1)."""
+    wanted = reps.join(nodes, "node", "left_semi")
+    ids = wanted.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).filter("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,96 +155,167 @@ def shingle_table(docs: DataFrame, weight: str) -> DataFrame:
                 row, element, weights = weighted_shingles(found, n, weight=weight)
                 spans = np.searchsorted(row, np.arange(n + 1))
                 short = (element >> np.uint64(20)).astype("<u4")
-                ones = weights.astype("<u4")
-                cut = [(spans[i], spans[i + 1]) for i in range(n)]
-                heavy = [ones[i:j].tobytes() if (ones[i:j] != 1).any() else b"" for i, j in cut]
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(found, part.column("text"))), pa.array([short[i:j].tobytes() for i, j in cut], pa.binary()), pa.array(heavy, pa.binary())], ["node", "elements", "weights"])
+                elements, heavy = [], []
+                for i, j in zip(spans[:-1], spans[1:], strict=True):
+                    own, first = np.unique(short[i:j], return_index=True)
+                    ones = weights[i:j][first].astype("<u4")
+                    elements.append(own.tobytes())
+                    heavy.append(ones.tobytes() if (ones != 1).any() else b"")
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(found, part.column("text"))), pa.array(elements, pa.binary()), pa.array(heavy, pa.binary())], ["node", "elements", "weights"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, elements binary, weights binary")
+    made = texts.select("text").mapInArrow(run, "node bigint, elements binary, weights binary")
+    return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _similarity(a: bytes, x: bytes, b: bytes, y: bytes) -> float:
-    sets = []
-    for e, w in ((a, x), (b, y)):
-        elements = np.frombuffer(e, "<u4")
-        weights = np.frombuffer(w, "<u4").astype(float) if w else np.ones(len(elements))
-        unique, first = np.unique(elements, return_index=True)
-        sets += [unique, weights[first]]
-    return probability_jaccard(*sets)
+def _set(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(elements, "<u4")
+    return own, np.frombuffer(weights, "<u4").astype(float) if weights else np.ones(len(own))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, weight: str, least: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose exact similarity is ``least`` or more, up to rounding."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = reps.join(needed, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = shingle_table(texts, weight).dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("elements", "weights", "other", "other_weights")]
-            keep = [_similarity(*row) >= least - 1e-9 for row in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            keep = [probability_jaccard(*_set(e, w), *_set(f, v)) >= least - 1e-9 for e, w, f, v in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = sets.select(F.col("node").alias("a"), "elements", "weights")
     two = sets.select(F.col("node").alias("b"), F.col("elements").alias("other"), F.col("weights").alias("other_weights"))
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """In about how many of ``sets`` a shingle occurs: ``2**COUNTERS`` counters by its hash, whatever the number of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for held in batch.column("elements").to_pylist():
+                np.add.at(total, np.frombuffer(held, "<u4") >> np.uint32(32 - COUNTERS), 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
+
+    found = sets.select("elements").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(1 << COUNTERS, np.int64)
+    total[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return total
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
+    """(token, node, root, rest, size) for the tokens of each set's prefix that some other set may have.
+
+    Shingles are ordered by their counts, then by hash.  ``rest`` is the share of weight from this shingle on.  If x and y have
+    the shares a and b of their weight in common, their similarity is at most 1 / (1/a + 1/b - 1).  At their first
+    common shingle a and b are at most the rests, so both are ``least`` or more (the shingle is in both
+    prefixes) and 1/rest + 1/rest' is at most 1 + 1/least.  ``size`` is the number of shingles if all weigh 1, else 0:
+    between two such sets the weights in common are equal too, which bounds them by both sizes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("node", "root", "elements", "weights")), strict=True)
+            for node, root, elements, heavy in rows:
+                own, weights = _set(elements, heavy)
+                count = counts[own >> np.uint32(32 - COUNTERS)]
+                order = np.lexsort((own, count))
+                rest = 1 - np.concatenate([[0.0], np.cumsum(weights[order])[:-1]]) / weights.sum()
+                order, rest = order[keep := (rest >= least - 1e-9) & (count[order] > 1)], rest[keep]
+                out.append((own[order].astype(np.int64), np.full(len(order), node), np.full(len(order), root), rest, np.full(len(order), 0 if heavy else len(own), np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "node", "root", "rest", "size"])
+
+    return sets.select("node", "root", "elements", "weights").mapInArrow(run, "token bigint, node bigint, root bigint, rest double, size int")
+
+
+def off_star_pairs(residue: DataFrame, least: float) -> DataFrame:
+    """(a, b) of different roots that may be similar; ``residue`` has node, root, elements and weights."""
+    tokens, _ = written(prefixes(residue, frequencies(residue), least), "prefixes")
+    # per token the root of most rows; its rows meet only those of other roots, so no pairs of one large component are looked at
+    roots = tokens.groupBy("token", "root").agg(F.count("*").alias("n"))
+    top = roots.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    live, live_at = written(tokens.join(top, "token"), "prefixes")
+    one, two = live.filter("root <> top"), live.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "rest", "size")))
+    once = (F.col("root2") == F.col("top")) | (F.col("node") < F.col("node2"))
+    shares = 1 / F.col("rest") + 1 / F.col("rest2") <= 1 + 1 / least + 1e-9
+    common = F.least(F.col("rest") * F.col("size"), F.col("rest2") * F.col("size2"))
+    sizes = (F.col("size") == 0) | (F.col("size2") == 0) | (common >= least / (1 + least) * (F.col("size") + F.col("size2")) - 1e-6)
+    pairs = one.join(two, (one["token"] == two["token"]) & (F.col("root") != F.col("root2")) & once & shares & sizes)
+    return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, weight: str = "count") -> DataFrame:
-    """(doc_id, class_id) of each row of ``docs``; only doc_id and text are read."""
+    """(doc_id, class_id, key, group, kept) of each row of ``docs``; only doc_id and text are read.
+
+    ``key`` is a hash of the text; ``kept`` marks the rows of the class's least (doc_id, key).
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     rows, _ = written(signatures(docs.filter("text IS NOT NULL"), weight), "signatures")
-    reps, _ = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sketch", "bands"), "doc_id").alias("x"), F.first("sketch").alias("any"), F.first("bands").alias("some")).select("node", "rep", F.coalesce("x.sketch", "any").alias("sketch"), F.coalesce("x.bands", "some").alias("bands")), "nodes")
+    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    reps, _ = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(place).alias("first"), F.first("bands").alias("bands")), "nodes")
 
     members = reps.select("node", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared, shared_at = written(members.join(sizes, "bucket"), "shared")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    sets, sets_at = written(shingle_table(docs, reps, degree.select("node"), weight), "sets")
     ranked = shared.join(degree, "node")
     heads = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("head"))
     stars, stars_at = written(shared.join(heads, "bucket"), "stars")
     pairs, pairs_at = written(stars.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links, links_at = written(verified(pairs, docs, reps, weight, least), "links")
-    labels = components(links)
+    links, links_at = written(verified(pairs, sets, least), "links")
+    labels, labels_at = components(links)
 
     placed = stars.filter("n > 2").join(labels, "node", "left").select("bucket", "node", "head", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("bucket")
-    off_star, off_at = written(placed.join(mixed, "bucket", "left_semi").filter("node <> head").drop("head"), "off-star")
-    fine, fine_at = written(fine_sketches(docs, reps, off_star.select("node").distinct(), weight), "fine")
-    loose = off_star.join(reps.select("node", "sketch", "bands"), "node").join(fine, "node")
-    other = loose.select(*(F.col(c).alias(f"{c}2") for c in ("bucket", "node", "root", "sketch", "bands", "fine")))
-    agree = F.size(F.filter(F.zip_with("sketch", "sketch2", lambda x, y: x == y), lambda t: t)) >= AGREE
-    differing = F.aggregate(F.zip_with("fine", "fine2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-    once = F.element_at(F.array_intersect("bands", "bands2"), 1) == F.col("bucket")
-    off = F.when(F.col("node") < F.col("node2"), F.when(F.col("root") != F.col("root2"), F.when(once, F.when(agree, differing <= DIFFER))))
-    more = loose.join(other, (F.col("bucket") == F.col("bucket2")) & F.coalesce(off, F.lit(False)))
-    more, more_at = written(more.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "pairs")
-    if more.limit(1).count():
-        found, found_at = written(verified(more, docs, reps, weight, least), "links")
-        if found.limit(1).count():
-            labels = components(links.unionByName(found))
-        remove(spark, found_at)
-    remove(spark, shared_at, stars_at, pairs_at, links_at, more_at, off_at, fine_at)
-
-    whole = reps.join(labels, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least_id = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = whole.join(least_id, "root").select("node", "class_id")
-    alone = docs.filter("text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id").unionByName(alone)
+    off_star = placed.join(mixed, "bucket", "left_semi").filter("node <> head").select("node", "root").distinct()
+    residue, residue_at = written(sets.join(off_star, "node"), "residue")
+    gone = [shared_at, sets_at, stars_at, pairs_at, links_at, residue_at]
+    if not residue.isEmpty():
+        more, more_at = written(off_star_pairs(residue, least), "pairs")
+        found, found_at = written(verified(more, sets, least), "links")
+        gone += [more_at, found_at]
+        if not found.isEmpty():
+            root = residue.select("node", "root")
+            ends = found.join(root.toDF("a", "x"), "a").join(root.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            joined, joined_at = components(ends)
+            every = labels.select("node", "root").unionByName(root).distinct()
+            moved = every.join(joined.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            gone += [labels_at, joined_at]
+            labels, _ = written(moved, "labels")
+    remove(spark, *gone)
+
+    whole = reps.join(labels, "node", "left").select("node", "rep", "first", F.coalesce("root", "node").alias("group"))
+    least_id = whole.groupBy("group").agg(F.min("rep").alias("class_id"), F.min(F.when(F.col("first").isNotNull(), F.col("first"))).alias("least"))
+    classes = whole.join(least_id, "group").select("node", "group", "class_id", "least")
+    kept = F.coalesce(F.struct("doc_id", "key") == F.col("least"), F.lit(False))
+    alone = docs.filter("text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("group"), F.lit(True).alias("kept"))
+    return rows.join(classes, "node").select("doc_id", "class_id", "key", "group", kept.alias("kept")).unionByName(alone)
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose document is the first of its class, once each; null doc_ids stay."""
-    first = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    # a text and its copy under one doc_id are one document
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """One row of ``docs`` for each class, that of its least (doc_id, key); rows of a null doc_id or text stay.
+
+    Different texts of one doc_id are documents of their own; repeated rows of one doc_id and text are one.
+    """
+    columns = docs.columns
+    marks = classes.filter("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("doc_id", "key").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    marks, _ = written(marks, "marks")
+    # the key's name must not clash with a column of docs
+    name = "_" * (max(map(len, columns)) + 1)
+    keyed = docs.withColumn(name, F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")))
+    left = keyed.join(marks.filter("NOT kept").select("doc_id", F.col("key").alias(name)), ["doc_id", name], "left_anti")
+    twice = marks.filter("kept AND n > 1").select("doc_id", F.col("key").alias(name))
+    if not twice.isEmpty():
+        left = left.join(twice, ["doc_id", name], "left_anti").unionByName(left.join(twice, ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name]))
+    return left.select(columns)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "kept")
 
 
 QUERIES = {"op9_near_duplicates": op9_near_duplicates}
