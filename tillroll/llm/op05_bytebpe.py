@@ -2,7 +2,7 @@
 
 For every byte prefix of a pre-token exactly one token can end its encoding.  ``PrefixTable`` stores
 that token for each prefix, so the encoding is read backwards from the end, an append only fills new
-prefixes, and an edit only refills prefixes behind the edit.  A token may follow another if the pair,
+prefixes, and an edit only refills prefixes behind the edit until they agree with those before it.  A token may follow another if the pair,
 merged as bytes, splits into just these two again; that is what makes the choice unique.
 
 Edge cases: a null text counts as empty; an empty text has no tokens (``ids_sha256`` is that of the
@@ -48,6 +48,7 @@ class PairTable:
             self.tokens[i] = token
         self.decimals = list(map(str, range(len(self.tokens))))
         self.starts: dict[bytes, int] = {t[:n]: -1 for t in self.ranks for n in range(1, len(t))} | self.ranks
+        self.longest = max(map(len, self.ranks))
         self.ends = {t[n:] for t in self.ranks for n in range(1, len(t))}
         self._prefixes: dict[bytes, int] = {}
         self._follows: dict[int, bool] = {}
@@ -116,22 +117,36 @@ class PrefixTable:
 
     def __init__(self, pairs: PairTable, piece: bytes = b"") -> None:
         self.pairs, self.piece, self.last = pairs, b"", [-1]
+        self.filled = 0
+        """Prefixes that the last call computed."""
         self.append(piece)
 
     def append(self, more: bytes) -> None:
         """Only the prefixes that end in ``more`` are computed; tokens may begin before it."""
-        self._refill(len(self.piece), self.piece + more)
+        self._refill(len(self.piece), self.piece + more, [])
 
     def replace(self, begin: int, end: int, new: bytes) -> None:
-        """Puts ``new`` in the place of ``piece[begin:end]``; prefixes up to ``begin`` stay."""
-        self._refill(begin, self.piece[:begin] + new + self.piece[end:])
+        """Puts ``new`` in the place of ``piece[begin:end]``; prefixes up to ``begin`` stay.
 
-    def _refill(self, keep: int, piece: bytes) -> None:
-        starts, follows, n = self.pairs.starts, self.pairs.follows, len(piece)
+        A prefix's token depends on the prefixes that one longest token before it spans.  Where all of those
+        agree with the old ones, so do all that follow, and these are taken over.
+        """
+        self._refill(begin, self.piece[:begin] + new + self.piece[end:], self.last[end:])
+
+    def _refill(self, keep: int, piece: bytes, tail: list[int]) -> None:
+        """``tail``: the old tokens of the last prefixes, of which the first one ends where the edit does."""
+        starts, follows, longest, n = self.pairs.starts, self.pairs.follows, self.pairs.longest, len(piece)
         last = self.last[: keep + 1] + [-1] * (n - keep)
-        longest = max(map(len, self.pairs.ranks)) if keep else 0
+        edge, same = n + 1 - len(tail), 0
+        self.filled = n - keep
         for j in range(max(0, keep - longest), n):
             left = last[j]
+            if j >= edge:
+                same = same + 1 if left == tail[j - edge] else 0
+                if same >= longest:
+                    last[j + 1 :] = tail[j + 1 - edge :]
+                    self.filled = j - keep
+                    break
             for e in range(j + 1, n + 1):
                 token = starts.get(piece[j:e])
                 if token is None:

@@ -4,14 +4,16 @@
 SHA-256 of the stored form, and keeps a row (digest, shard, offset, length) for each document.  The
 least (shard, offset) of a digest is its address, so rows of equal content share one address, also
 across shards.  The stored form is a PNG of 8-bit grey samples, 64 to a row.  ``with_header`` reads the
-first 33 bytes of each member only; ``with_payload`` reads the whole member.
+first 33 bytes of each member only and fills the metadata columns; ``with_payload`` reads whole members for what
+needs the samples.
 
 A task writes its shard under a name of its own attempt, and rows carry that name, so a repeated
 attempt after a lost executor leaves an unused file and no wrong row.  The rows are written as a table
 before anything reads them.  Shards lie in the shared folder.
 
 Edge cases: null and empty texts are 64 bytes 0; equal texts have equal values in all columns;
-repeated rows give repeated rows; other columns are ignored.
+repeated rows give repeated rows; other columns are ignored by ``store``, and pass through ``with_header`` and
+``with_payload`` unless they have the name of a column that is added.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import struct
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import pieces, scratch, written
+from tillroll.llm.common import pieces, scratch, with_fields, written
 
 WIDTH = 64
 #: A shard is closed when it holds so many bytes.
@@ -135,8 +137,8 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, raws), pa.int64()), pa.array(shard), pa.array(digest), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["doc_id", "n_bytes", "shard", "digest", "offset", "length"])
         shards.close()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, shard string, digest string, offset bigint, length bigint")
+    schema = with_fields([docs.schema["doc_id"]], "n_bytes bigint, shard string, digest string, offset bigint, length bigint")
+    rows = docs.select("doc_id", "text").mapInArrow(run, schema)
     return written(rows, "media-rows")[0]
 
 
@@ -162,47 +164,50 @@ class _Reader:
         return self.file.read(length)
 
 
-def with_header(rows: DataFrame, folder: str) -> DataFrame:
-    """``rows`` with width, height and bits, from the headers alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(folder)
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "offset")]
-            heads = [png_header(reader.read(s, o, HEADER)) for s, o in zip(*columns, strict=True)]
-            new = [pa.array([h[i] for h in heads], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "width", "height", "bits"])
+_HEADER = {"width": pa.int64(), "height": pa.int64(), "bits": pa.int64()}
+_PAYLOAD = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "read_digest": pa.string(), "feature": pa.string()}
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", width bigint, height bigint, bits bigint")
 
-
-def with_payload(rows: DataFrame, folder: str) -> DataFrame:
-    """``rows`` with what the stored members yield when they are read whole, and from their headers."""
+def _with(rows: DataFrame, folder: str, new: dict[str, pa.DataType], values: Callable[[_Reader, str, int, int], tuple]) -> DataFrame:
+    """``rows`` with the columns ``new``, which ``values`` reads from the member at (shard, offset, length); neighbours of one place are read once."""
+    rest = [c for c in rows.columns if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(folder)
+        reader, last, found = _Reader(folder), None, ()
         for batch in batches:
-            out, last, found = [], None, None
+            out = []
             for place in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if place != last:
-                    data = reader.read(*place)
-                    payload, last = from_png(data), place
-                    width, height, bits = png_header(data[:HEADER])
-                    found = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(data).hexdigest(), feature(payload), width, height, bits
+                    found, last = values(reader, *place), place
                 out.append(found)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            new = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "read_digest", "feature", "width", "height", "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate(new.values()))], [*rest, *new])
+
+    ddl = ", ".join(f"{c} {'bigint' if kind == pa.int64() else 'string'}" for c, kind in new.items())
+    return rows.select(*(F.col(f"`{c.replace('`', '``')}`") for c in rest)).mapInArrow(run, with_fields([rows.schema[c] for c in rest], ddl))
+
+
+def with_header(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` with width, height and bits, from range reads of the headers alone."""
+    return _with(rows, folder, _HEADER, lambda reader, shard, offset, length: png_header(reader.read(shard, offset, HEADER)))
+
+
+def with_payload(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` with what the stored members yield when they are read whole."""
+
+    def values(reader: _Reader, shard: str, offset: int, length: int) -> tuple:
+        data = reader.read(shard, offset, length)
+        payload = from_png(data)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(data).hexdigest(), feature(payload)
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(run, fields + ", payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, read_digest string, feature string, width bigint, height bigint, bits bigint")
+    return _with(rows, folder, _PAYLOAD, values)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "media-shards")
     rows = addressed(store(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder))
     # neighbours in a shard are read one after another; members of one digest need one read
-    found = with_payload(rows.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), folder)
+    placed = rows.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    found = with_payload(with_header(placed, folder), folder)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.col("read_digest").alias("media_sha256"), "feature", "width", "height", "bits", "shard", "offset")
 
 

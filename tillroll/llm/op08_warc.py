@@ -4,14 +4,17 @@
 more, the one with the least page_id is the response, the others revisit it.  ``read_archives`` checks
 each member (gzip CRC, version line, header block, Content-Length, block and payload digest).  Where a check fails, it
 searches for the next gzip member that opens with a version line or the next plain version line,
-goes on from there, and logs the bytes between as a quarantined gap.
+goes on from there, and logs the bytes between as a quarantined gap.  Inside a member the search goes on in the
+inflated bytes, also in those that a damaged or truncated member yields before its fault.
 
 Digests and page_ids alone are grouped, never payloads; a payload shared by very many pages is
 counted before the shuffle.  A shard's name is of its task attempt; the table of names is written before shards
-are read, so that a lost executor's unfinished shards are never read.
+are read, so that a lost executor's unfinished shards are never read.  ``pages`` is read twice and must give the same rows
+in the same partitions both times, as files do.
 
 Edge cases: null html counts as an empty payload; equal page_ids with equal html are one response and
-revisits of it; repeated rows give repeated records; a null page_id sorts behind all others.
+revisits of it; repeated rows give repeated records; a null page_id sorts behind all others, and where a
+payload has no other page_id, its records are all responses.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from tillroll.llm.common import pieces, scratch, written
 SHARD = 32 << 20
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
+#: Bytes that a member is fed with at a time.
+_STEP = 1 << 16
 
 
 def digest(payload: bytes) -> str:
@@ -69,18 +74,20 @@ def page_record(page_id, url: str | None, payload: bytes, length: int, sha: str,
 def archive(pages: DataFrame, folder: str, *, least: int = 0, level: int = 1) -> DataFrame:
     """Writes the pages' records into shards below ``folder``; the (shard, records) written, as a table."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    ids = pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n")).filter(F.col("n") >= least)
+    numbered = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row"))
+    ids = numbered.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n"), "row").filter(F.col("n") >= least)
     # digests of hot payloads are joined with one row each; the join may be split where they gather
     firsts = ids.groupBy("sha").agg(F.min("page_id").alias("first"))
-    refs = ids.select("page_id", "sha").distinct().join(firsts, "sha")
-    marked = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha"))
-    joined = marked.join(refs, ["page_id", "sha"], "left").select("page_id", "url", "html", "first")
+    refs = ids.groupBy("page_id", "sha").agg(F.min("row").alias("first_row")).join(firsts, "sha").withColumnsRenamed({"page_id": "page", "sha": "digest"})
+    marked = numbered.withColumn("sha", F.sha1(payload))
+    one = (F.col("page_id") == F.col("first")) & (F.col("row") == F.col("first_row"))
+    refers_to = F.when(F.col("first").isNotNull() & ~F.coalesce(one, F.lit(False)), F.col("first"))
+    joined = marked.join(refs, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("sha") == F.col("digest")), "left").select("page_id", "url", "html", refers_to.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(folder)
         files.create_dir(base)
-        name, out, size, count, seen = "", None, 0, 0, set()
-        done = []
+        name, out, size, count, done = "", None, 0, 0, []
         for batch in batches:
             for part in pieces(batch, "html", 1 << 22):
                 for row in part.to_pylist():
@@ -89,12 +96,8 @@ def archive(pages: DataFrame, folder: str, *, least: int = 0, level: int = 1) ->
                         out = files.open_output_stream(f"{base}/{name}", compression=None)
                         info = member(record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"), level)
                         out.write(info)
-                    body, page, first = (row["html"] or "").encode(), row["page_id"], row["first"]
-                    sha = digest(body)
-                    again = first is not None and (page != first or (page, sha) in seen)
-                    if first is not None and page == first:
-                        seen.add((page, sha))
-                    data = member(page_record(page, row["url"], body, len(body), sha, first if again else None), level)
+                    body = (row["html"] or "").encode()
+                    data = member(page_record(row["page_id"], row["url"], body, len(body), digest(body), row["refers_to"]), level)
                     out.write(data)
                     size, count = size + len(data), count + 1
                     if size >= SHARD:
@@ -139,15 +142,22 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def _gunzip(data: bytes, at: int) -> tuple[bytes, int]:
-    opener = zlib.decompressobj(31)
-    try:
-        out = opener.decompress(data[at:] if at == 0 or len(data) - at < 1 << 16 else memoryview(data)[at:])
-    except zlib.error as error:
-        raise ValueError(str(error)) from None
-    if not opener.eof:
-        raise ValueError("the member has no end")
-    return out, len(data) - len(opener.unused_data)
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(bytes, end, reason) of the gzip member at ``at``; with a reason, the bytes are those before its fault."""
+    opener, out, place = zlib.decompressobj(31), [], at
+    while not opener.eof and place < len(data):
+        chunk, before = data[place : place + _STEP], opener.copy()
+        try:
+            out.append(opener.decompress(chunk))
+        except zlib.error as error:
+            for i in range(0, len(chunk), 64):  # what the chunk yields before the fault
+                try:
+                    out.append(before.decompress(chunk[i : i + 64]))
+                except zlib.error:
+                    break
+            return b"".join(out), place, str(error)
+        place += len(chunk)
+    return b"".join(out), place - len(opener.unused_data), None if opener.eof else "the member has no end"
 
 
 def _opens(data: bytes, at: int) -> bool:
@@ -158,61 +168,108 @@ def _opens(data: bytes, at: int) -> bool:
         return False
 
 
+class _Places:
+    """The next place from which records may be read; each byte is searched once, however many places are asked for."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.version, self.packed = data, -1, -1
+
+    def after(self, at: int) -> int:
+        data, end = self.data, len(self.data)
+        if self.version < at:
+            found = _HEAD.search(data, at)
+            self.version = found.start() if found else end
+        if self.packed < at:
+            self.packed = at - 1
+            while True:
+                found = data.find(_GZIP, self.packed + 1)
+                self.packed = end if found < 0 else found
+                if found < 0 or found > self.version or _opens(data, found):
+                    break
+        return min(self.version, self.packed)
+
+
+def _plain(plain: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """The sound records of inflated bytes, and the gaps between them."""
+    records, gaps, at, places = [], [], 0, None
+    while at < len(plain):
+        try:
+            fields, block, at = parse_record(plain, at)
+            records.append((fields, block))
+        except ValueError as error:
+            places = places or _Versions(plain)
+            after = places.after(at + 1)
+            gaps.append((at, after, str(error)))
+            at = after
+    return records, gaps
+
+
+class _Versions(_Places):
+    """Places in inflated bytes: version lines only."""
+
+    def after(self, at: int) -> int:
+        self.packed = len(self.data)
+        return super().after(at)
+
+
 def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """The sound records of an archive as (offset, headers, block) and the gaps as (begin, end, reason)."""
-    records, gaps, at = [], [], 0
+    """The sound records of an archive as (offset, headers, block) and the gaps as (begin, end, reason).
+
+    Offsets are of the archive's bytes; a gap inside a member spans the member, and its reason names the inflated bytes.
+    """
+    records, gaps, at, places = [], [], 0, _Places(data)
+
+    def quarantine(begin: int, end: int, why: str) -> None:
+        if gaps and gaps[-1][1] == begin:
+            gaps[-1] = gaps[-1][0], end, gaps[-1][2]
+        else:
+            gaps.append((begin, end, why))
+
     while at < len(data):
-        try:
-            if data.startswith(_GZIP, at):
-                plain, end = _gunzip(data, at)
-                inner, found = 0, []
-                while inner < len(plain):
-                    fields, block, inner = parse_record(plain, inner)
-                    found.append((at, fields, block))
-                records += found
-            else:
-                fields, block, end = parse_record(data, at)
+        if data.startswith(_GZIP, at):
+            plain, end, why = _inflated(data, at)
+            found, inner = _plain(plain)
+            records += [(at, fields, block) for fields, block in found]
+            if why is None:
+                gaps += [(at, end, f"inflated bytes {a} to {b}: {reason}") for a, b, reason in inner]
+                at = end
+                continue
+        else:
+            try:
+                fields, block, at_end = parse_record(data, at)
                 records.append((at, fields, block))
-            at = end
-        except ValueError as error:
-            next_at = at + 1
-            while True:
-                packed = data.find(_GZIP, next_at)
-                version = _HEAD.search(data, next_at)
-                options = [x for x in (packed, version.start() if version else -1) if x >= 0]
-                if not options:
-                    next_at = len(data)
-                    break
-                next_at = min(options)
-                if next_at != packed or _opens(data, next_at):
-                    break
-                next_at += 1
-            if gaps and gaps[-1][1] == at:
-                gaps[-1] = gaps[-1][0], next_at, gaps[-1][2]
-            else:
-                gaps.append((at, next_at, str(error)))
-            at = next_at
+                at = at_end
+                continue
+            except ValueError as error:
+                why = str(error)
+        after = places.after(at + 1)
+        quarantine(at, after, why)
+        at = after
     return records, gaps
 
 
 _ROW = {"shard": pa.string(), "offset": pa.int64(), "gap_end": pa.int64(), "reason": pa.string(), "page_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "payload": pa.string()}
 
 
-def read_archives(shards: DataFrame, folder: str, *, payloads: bool = False) -> DataFrame:
+def read_archives(shards: DataFrame, folder: str, *, payloads: bool = False, strict: bool = False) -> DataFrame:
     """A row for each page record of the shards, and for each quarantined gap one with its ``reason``.
 
-    ``payload_bytes`` and ``payload_digest`` are of the full payload, for revisits from their headers.
+    ``payload_bytes`` and ``payload_digest`` are of the full payload, for revisits from their headers.  ``strict``
+    raises where a shard has a gap or yields another number of page records than ``shards`` says.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for shard in batch.column("shard").to_pylist():
+            for shard, expected in zip(batch.column("shard").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 with files.open_input_file(f"{base}/{shard}") as file:
                     records, gaps = salvage(file.read())
+                n = sum(fields.get("warc-type") in ("response", "revisit") for _, fields, _ in records)
+                if strict and (gaps or n != expected):
+                    raise ValueError(f"{shard} holds {n} of {expected} page records and {len(gaps)} gaps")
                 rows = [dict.fromkeys(_ROW) | {"shard": shard, "offset": a, "gap_end": b, "reason": why} for a, b, why in gaps]
                 for at, fields, block in records:
-                    if fields["warc-type"] not in ("response", "revisit"):
+                    if fields.get("warc-type") not in ("response", "revisit"):
                         continue
                     http, _, body = block.partition(b"\r\n\r\n")
                     length = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
@@ -225,14 +282,14 @@ def read_archives(shards: DataFrame, folder: str, *, payloads: bool = False) ->
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + 2000]], kind) for c, kind in _ROW.items()], list(_ROW))
 
     schema = ", ".join(f"{c} {'bigint' if kind == pa.int64() else 'string'}" for c, kind in _ROW.items())
-    return shards.select("shard").repartition(max(1, shards.sparkSession.sparkContext.defaultParallelism * 4)).mapInArrow(run, schema)
+    return shards.select("shard", "records").repartition(max(1, shards.sparkSession.sparkContext.defaultParallelism * 4)).mapInArrow(run, schema)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     kind = pages.schema["page_id"].dataType
-    found = read_archives(archive(pages, folder), folder).filter("reason IS NULL")
+    found = read_archives(archive(pages, folder), folder, strict=True)
     return found.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
 
 
