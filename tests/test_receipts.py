@@ -101,3 +101,29 @@ def test_folds(spark):
     calls = spark.createDataFrame([(i, 1, at(i if i < 6 else 40), o) for i, o in enumerate(outcomes)], "event_id bigint, key bigint, ts timestamp, outcome string")
     got = [(r.admitted, r.state) for r in state.circuit_breaker(calls).orderBy("event_id").collect()]
     assert got[4:] == [(True, "open"), (False, "open"), (True, "closed")]
+
+
+def test_masking_beside_thai_marks(spark):
+    cases = {"เบอร์0812345678": "เบอร์081*****78", "ที่0812345678": "ที่081*****78", "ที่token=abc": "ที่token=***", "a+66812345678": "a+66*******78", "+66812345678": "+668******78", "x0812345678": "x0812345678", "ที่Bearer ab.c": "ที่Bearer ***"}
+    assert column(spark, list(cases), "string", mask_text) == list(cases.values())
+
+
+def test_near_texts_equals_all_windows():
+    from difflib import SequenceMatcher
+    from random import Random
+
+    from tillroll.functions.fuzzy import near_texts
+
+    r = Random(3)
+    for _ in range(300):
+        word = "".join(r.choice("total ") for _ in range(r.randint(1, 7)))
+        texts = ["".join(r.choice("total gx") for _ in range(r.randint(0, 14))) for _ in range(6)]
+        for least in (0.5, 0.8):
+            want = {i for i, t in enumerate(texts) if any(SequenceMatcher(None, t[j : j + len(word)], word).ratio() >= least for j in range(len(t) - len(word) + 1))}
+            assert near_texts(texts, word, least) == want
+
+
+def test_weak_boxes_go(spark):
+    boxes = "array<struct<text:string,x1:int,y1:int,x2:int,y2:int,confidence:double>>"
+    got = column(spark, [[("A", 0, 0, 9, 9, 0.9), ("B", 9, 0, 19, 9, 0.49), (" ", 20, 0, 29, 9, 0.9), ("C", 30, 0, 39, 9, None)]], boxes, lambda b: extract.box_lines(b, confidence=True))
+    assert got == [["A C"]]

@@ -1,6 +1,7 @@
 """F-39 and its uses: Ratcliff-Obershelp similarity, which Spark lacks, as Arrow-batched functions.
 
-Exact matches are native; these helpers see distinct short texts and remember their answers.
+Exact matches are native.  A similarity needs that many equal letters, so letters are counted for a whole batch at once
+and only stretches with enough of them are compared.
 """
 
 from __future__ import annotations
@@ -9,26 +10,41 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-@lru_cache(maxsize=100_000)
-def near(text: str, word: str, least: float) -> bool:
-    """Whether some stretch of the word's length is at least that similar to it."""
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether the similarity is ``least`` or more; lengths and letters rule most pairs out."""
+    need = least * (len(a) + len(b)) / 2
+    if min(len(a), len(b)) < need:
+        return False
+    letters = set(b)
+    return sum(c in letters for c in a) >= need and ratio(a, b) >= least
+
+
+def near_texts(texts: list[str], word: str, least: float) -> set[int]:
+    """Which of ``texts`` hold some stretch of the word's length that is at least that similar to it."""
     n = len(word)
-    letters = set(word)
-    for i in range(len(text) - n + 1):
-        part = text[i : i + n]
-        if sum(c in letters for c in part) >= least * n and ratio(part, word) >= least:
-            return True
-    return False
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < n:
+        return set()
+    ends = np.cumsum([len(t) for t in texts])
+    hits = np.concatenate([[0], np.cumsum(np.isin(codes, [ord(c) for c in word]))])
+    found: set[int] = set()
+    for at in np.flatnonzero(hits[n:] - hits[:-n] >= least * n).tolist():
+        i = int(np.searchsorted(ends, at, side="right"))
+        begin = at - int(ends[i]) + len(texts[i])
+        if i not in found and begin + n <= len(texts[i]) and ratio(texts[i][begin : begin + n], word) >= least:
+            found.add(i)
+    return found
 
 
 @F.pandas_udf(T.DoubleType())
@@ -42,7 +58,12 @@ def first_near(words: list[str], least: float):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([None if texts is None else [next((i for i, w in enumerate(words) if near(t, w, least)), None) for t in texts] for texts in batch])
+            texts = list({t for held in batch if held is not None for t in held if t is not None})
+            first: dict[str, int] = {}
+            for i, word in enumerate(words):
+                left = [t for t in texts if t not in first]
+                first |= {left[j]: i for j in near_texts(left, word, least)}
+            yield pd.Series([None if held is None else [first.get(t) for t in held] for held in batch])
 
     return run
 
@@ -53,6 +74,6 @@ def any_like(words: list[str], least: float):
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([None if lines is None else [any(ratio(t, w) >= least for t in tokens for w in words) for tokens in lines] for lines in batch])
+            yield pd.Series([None if lines is None else [any(alike(t, w, least) for t in tokens for w in words) for tokens in lines] for lines in batch])
 
     return run

@@ -26,6 +26,11 @@ LOW, HIGH = 0.01, 1_000_000.0
 THAI_DIGITS = "๐๑๒๓๔๕๖๗๘๙"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also inside lambdas, where Spark repeats common parts."""
+    return F.transform(F.array(value), body)[0]
+
+
 def digits(text: Column) -> Column:
     return F.translate(text, THAI_DIGITS, "0123456789")
 
@@ -38,19 +43,21 @@ def strip_non_money(line: Column) -> Column:
 
 def amounts(line: Column) -> Column:
     """F-03: array of (value, has_decimals, has_currency), decimals before whole numbers."""
-    clean = strip_non_money(line)
-    currency = line.rlike(CURRENCY)
-
     def value(text: Column) -> Column:
         return text.try_cast("double")
 
-    def made(found: Column, decimals: bool) -> Column:
+    def made(found: Column, decimals: bool, currency: Column) -> Column:
         return F.transform(found, lambda v: F.struct(v.alias("value"), F.lit(decimals).alias("has_decimals"), currency.alias("has_currency")))
 
-    wholes_text = F.regexp_replace(clean, DECIMAL, " ")
-    decimal = F.zip_with(F.regexp_extract_all(clean, F.lit(DECIMAL), 1), F.regexp_extract_all(clean, F.lit(DECIMAL), 2), lambda a, b: value(F.concat(F.regexp_replace(a, r"[,\s]", ""), F.lit("."), b)))
-    whole = F.transform(F.regexp_extract_all(wholes_text, F.lit(WHOLE), 1), lambda a: value(F.regexp_replace(a, ",", "")))
-    return F.filter(F.concat(made(decimal, True), made(whole, False)), lambda x: x["value"].between(LOW, HIGH))
+    def of(x: Column) -> Column:
+        clean, currency = x["clean"], x["currency"]
+        decimal = F.zip_with(F.regexp_extract_all(clean, F.lit(DECIMAL), 1), F.regexp_extract_all(clean, F.lit(DECIMAL), 2), lambda a, b: value(F.concat(F.regexp_replace(a, r"[,\s]", ""), F.lit("."), b)))
+        whole = F.transform(F.regexp_extract_all(F.regexp_replace(clean, DECIMAL, " "), F.lit(WHOLE), 1), lambda a: value(F.regexp_replace(a, ",", "")))
+        return F.filter(F.concat(made(decimal, True, currency), made(whole, False, currency)), lambda y: y["value"].between(LOW, HIGH))
+
+    # a line without a digit, as most headings are, has no amounts
+    held = let(F.struct(strip_non_money(line).alias("clean"), line.rlike(CURRENCY).alias("currency")), of)
+    return F.when(line.isNull() | line.rlike(f"[0-9{THAI_DIGITS}]"), held).otherwise(F.array().cast("array<struct<value:double,has_decimals:boolean,has_currency:boolean>>"))
 
 
 def best_amount(found: Column) -> Column:
@@ -68,12 +75,15 @@ DATE_KEYWORDS = "(?i)date|วันที่|วัน"
 
 def _date(year: Column, month: Column, day: Column, as_of: Column) -> Column:
     """A plausible date or null: Buddhist years, two-digit years, and a window around ``as_of``."""
+    def of(x: Column) -> Column:
+        made = F.printf(F.lit("%04d-%02d-%02d"), x["y"], x["m"], x["d"]).try_cast("date")
+        known = x["y"].isNotNull() & x["m"].isNotNull() & x["d"].isNotNull()
+        return F.when(known & x["y"].between(F.year(as_of) - 5, F.year(as_of) + 1), made)
+
     y = year.try_cast("int")
     y = F.when(F.length(year) <= 2, F.when(y > 50, y + 2500).otherwise(y + 2000)).otherwise(y)
-    y = F.when(y > 2400, y - 543).otherwise(y)
-    made = F.printf(F.lit("%04d-%02d-%02d"), y, month.try_cast("int"), day.try_cast("int")).try_cast("date")
-    made = F.when(y.isNotNull() & month.try_cast("int").isNotNull() & day.try_cast("int").isNotNull(), made)
-    return F.when(y.between(F.year(as_of) - 5, F.year(as_of) + 1), made)
+    y = let(y, lambda v: F.when(v > 2400, v - 543).otherwise(v))
+    return let(F.struct(y.alias("y"), month.try_cast("int").alias("m"), day.try_cast("int").alias("d")), of)
 
 
 def _month(name: Column) -> Column:
@@ -87,17 +97,23 @@ def find_date(lines: Column, as_of: Column) -> Column:
         found = [F.regexp_extract_all(line, F.lit(pattern), i) for i in parts]
         zipped = F.arrays_zip(*(x.alias(n) for x, n in zip(found, "ymd", strict=True)))
         dates = F.transform(zipped, lambda z: _date(z["y"], _month(z["m"]) if named else z["m"], z["d"], as_of))
-        return F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1))
+        return F.when(line.rlike(pattern), F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1)))
 
     def scored(line: Column, i: Column) -> Column:
         by_name = F.coalesce(first(line, MONTH_FIRST, (3, 1, 2), True), first(line, DAY_FIRST, (3, 2, 1), True))
         by_number = first(line, NUMERIC_DATE, (4, 3, 1), False)
-        score = F.when(by_name.isNotNull(), 10).otherwise(5) + F.when(line.rlike(DATE_KEYWORDS), 3).otherwise(0)
-        return F.struct(score.alias("s"), F.coalesce(by_name, by_number).alias("d"), (-i).alias("i"))
+        dates = F.struct(by_name.alias("name"), by_number.alias("number"))
+
+        def of(x: Column) -> Column:
+            score = F.when(x["name"].isNotNull(), 10).otherwise(5) + F.when(line.rlike(DATE_KEYWORDS), 3).otherwise(0)
+            return F.struct(score.alias("s"), F.coalesce(x["name"], x["number"]).alias("d"), (-i).alias("i"))
+
+        return let(dates, of)
+
+    def best(found: Column) -> Column:
+        return F.array_max(F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.size(F.filter(found, lambda y: y["d"] == x["d"])).alias("n"), x["i"].alias("i"), x["d"].alias("d"))))["d"]
 
-    found = F.filter(F.transform(F.transform(lines, digits), scored), lambda x: x["d"].isNotNull())
-    ranked = F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.size(F.filter(found, lambda y: y["d"] == x["d"])).alias("n"), x["i"].alias("i"), x["d"].alias("d")))
-    return F.array_max(ranked)["d"]
+    return let(F.filter(F.transform(F.transform(lines, digits), scored), lambda x: x["d"].isNotNull()), best)
 
 
 _MERIDIEM = rf"(?i)(?<![0-9])([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}}))?\s*([ap])[a-z]?{E}"
@@ -120,7 +136,7 @@ def find_time(lines: Column) -> Column:
                 h = F.when((p == "p") & (h < 12), h + 12).when((p == "a") & (h == 12), 0).otherwise(h)
             return F.when((h < 24) & (m < 60) & (s < 60), h * 3600 + m * 60 + s)
 
-        return F.try_element_at(F.filter(F.transform(F.arrays_zip(*parts), seconds), lambda t: t.isNotNull()), F.lit(1))
+        return F.when(line.rlike(pattern), F.try_element_at(F.filter(F.transform(F.arrays_zip(*parts), seconds), lambda t: t.isNotNull()), F.lit(1)))
 
     def of(line: Column) -> Column:
         dated = line.rlike(NUMERIC_DATE) | line.rlike(MONTH_FIRST) | line.rlike(DAY_FIRST)

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.functions.fuzzy import any_like, first_near, ratio
-from tillroll.functions.parsing import B, amounts, best_amount, find_date, find_time, receipt_no
+from tillroll.functions.fuzzy import alike, any_like, first_near, ratio
+from tillroll.functions.parsing import B, amounts, best_amount, find_date, find_time, let, receipt_no
 
 # Words of receipts, most specific first.
 TOTAL_KEYWORDS = [
@@ -61,13 +61,15 @@ def whole_word(low: Column, words: list[str]) -> Column:
     return out | holds(low, other) if other else out
 
 
-def box_lines(boxes: Column) -> Column:
-    """F-01, O-07, P-09: lines of text boxes (text, x1, y1, x2, y2[, confidence]).
+def box_lines(boxes: Column, least: float = 0.5, confidence: bool = False) -> Column:
+    """F-01, O-07, P-09: lines of text boxes (text, x1, y1, x2, y2, and confidence if so told).
 
-    Boxes are taken by their vertical centre; one joins the current row if it overlaps the row's first box
+    Boxes without text or of a confidence under ``least`` go.  The others are taken by their vertical centre; one joins the current row if it overlaps the row's first box
     by half of the smaller height.
     """
     at = lambda b: (b["y1"] + b["y2"]) / 2
+    full = lambda b: F.coalesce(F.regexp_replace(b["text"], r"(?U)\s", "") != "", F.lit(False))
+    boxes = F.filter(boxes, lambda b: full(b) & (F.coalesce(b["confidence"], F.lit(1.0)) >= least) if confidence else full(b))
     ordered = F.array_sort(F.transform(boxes, lambda b, i: F.struct(at(b).alias("c"), i.alias("i"), b.alias("b"))))
 
     def height(b: Column) -> Column:
@@ -203,22 +205,25 @@ def reference_codes(lines: pd.Series) -> pd.Series:
 
 def line_items(lines: Column, total: Column) -> Column:
     """F-21, W-03: array of (name, price) between the last header line and the first end marker."""
-    low = F.transform(lines, F.lower)
-    found = F.transform(lines, lambda s: best_amount(amounts(s)))
-    ends = F.zip_with(low, found, lambda s, v: s.rlike("ยอ.{0,3}ทธ") | (holds(s, AMBIGUOUS_END) & v.isNotNull()) | whole_word(s, END_OF_ITEMS))
-    end = F.array_position(ends, F.lit(True)).cast("int")
-    begin = F.greatest(end - 40, F.lit(1))
-    part = F.when(end > 1, F.slice(lines, begin, end - begin)).otherwise(F.array().cast("array<string>"))
+    ended = lambda s: let(F.lower(s), lambda low: low.rlike("ยอ.{0,3}ทธ") | whole_word(low, END_OF_ITEMS) | (holds(low, AMBIGUOUS_END) & best_amount(amounts(s)).isNotNull()))
     head = lambda s: s.rlike(r"^[\s*\-=_.~#]+$") | s.rlike(r"\d{1,2}:\d{2}|\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}") | whole_word(F.lower(s), HEADER)
-    last = F.coalesce(F.array_max(F.transform(part, lambda s, i: F.when(head(s), i + 1))), F.lit(0))
-    rows = F.filter(F.slice(part, last + 1, F.greatest(F.size(part) - last, F.lit(0))), lambda s: ~holds(F.lower(s), NOT_AN_ITEM))
     tail = r"[\s.]*([\d,]+(?:[.,\-]\d{2})?)(?:\s+\d{1,2})?\s*[^\d\s]{0,2}\s*$"
 
     def item(s: Column) -> Column:
         name = F.regexp_replace(F.regexp_replace(s, tail, ""), r"^[ \t.:*\-=#|,]+|[ \t.:*\-=#|,]+$", "")
-        price = best_amount(amounts(F.regexp_extract(s, tail, 1)))
-        return F.struct(name.alias("name"), F.when(F.coalesce(price <= total, F.lit(True)), price).alias("price"))
+        price = let(best_amount(amounts(F.regexp_extract(s, tail, 1))), lambda v: F.when(F.coalesce(v <= total, F.lit(True)), v))
+        return F.struct(name.alias("name"), price.alias("price"))
 
+    def before(end: Column) -> Column:
+        begin = F.greatest(end - 40, F.lit(1))
+        return F.when(end > 1, F.slice(lines, begin, end - begin)).otherwise(F.array().cast("array<string>"))
+
+    def behind_header(part: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(part, lambda s, i: F.when(head(s), i + 1))), F.lit(0))
+        return let(last, lambda n: F.slice(part, n + 1, F.greatest(F.size(part) - n, F.lit(0))))
+
+    end = F.array_position(F.transform(lines, ended), F.lit(True)).cast("int")
+    rows = F.filter(let(let(end, before), behind_header), lambda s: ~holds(F.lower(s), NOT_AN_ITEM))
     return F.filter(F.transform(rows, item), lambda x: F.length(F.regexp_replace(x["name"], r"[^\p{L}]", "")) >= 2)
 
 
@@ -230,7 +235,7 @@ def items_match(items: Column, total: Column) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _payment_like(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda lines: None if lines is None else [any(ratio(t, p) >= 0.70 for p in PROVIDERS) for t in lines])
+    return texts.map(lambda lines: None if lines is None else [any(alike(t, p, 0.70) for p in PROVIDERS) for t in lines])
 
 
 def find_merchant(df: DataFrame) -> DataFrame:
@@ -288,9 +293,16 @@ def trusted(total: Column, rules: Column) -> Column:
     return total.isNotNull() & ~F.arrays_overlap(rules["failed"], F.array(F.lit("total_in_range"), F.lit("date_not_in_future")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its source has fewer splits than there are cores: the work for each byte is high."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def extract_receipts(df: DataFrame, as_of: str) -> DataFrame:
     """F-23: the record of each row of ``lines``; ``rejected`` where no total above 0 was found (P-08)."""
     today = F.lit(as_of).cast("date")
+    df = spread(df)
     df = identify(find_merchant(find_total(df)))
     df = df.withColumns({"total_amount": F.col("total.value"), "receipt_date": find_date(F.col("lines"), today), "receipt_time_s": find_time(F.col("lines")), "receipt_no": receipt_no(F.col("lines")), "reference_codes": reference_codes("lines")})
     df = df.withColumn("items", line_items(F.col("lines"), F.col("total_amount")))

@@ -199,7 +199,7 @@ def extract_full(s: SparkSession, p: str) -> DataFrame:
 def parse_date(s: SparkSession, p: str) -> DataFrame:
     from tillroll.functions.parsing import find_date
 
-    return _rendered(s, p).select("id", find_date(F.col("lines"), F.lit("1999-06-01").cast("date")).alias("receipt_date"))
+    return extract.spread(_rendered(s, p)).select("id", find_date(F.col("lines"), F.lit("1999-06-01").cast("date")).alias("receipt_date"))
 
 
 def line_items_sum(s: SparkSession, p: str) -> DataFrame:
