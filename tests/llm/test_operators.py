@@ -9,6 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tillroll.llm import op01_licenses, op02_decontaminate, op03_language, op04_spans, op05_bytebpe, op06_chat, op07_media, op08_warc, op09_probminhash, op10_extract
 from tillroll.llm.common import scratch
@@ -102,6 +103,69 @@ def test_repeated_spans(spark):
     assert got[3].removed == [passage] and op04_spans.deduplicate(odd_docs(spark)).count() == len(ODD) + 2
 
 
+def brute_spans(rows, least=20, sentences=2):
+    """Texts after removal, by comparing all runs of sentences with the places before them."""
+    import re
+
+    order, split = sorted({r for r in rows if r[0] is not None and r[1]}), {}
+    for doc, text in order:
+        cuts, parts = [0, *(m.end() for m in re.finditer(r"[.!?][\"')\]]*\s+|\n\s*", text) if m.end() < len(text))], []
+        for i, j in zip(cuts, [*cuts[1:], len(text)]):
+            found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text[i:j]))
+            if found:
+                parts.append([i, j, found])
+            elif parts:
+                parts[-1][1] = j
+        split[doc, text] = parts
+    runs = []
+    for (doc, text), parts in split.items():
+        for i in range(len(parts)):
+            for e in range(i + sentences, len(parts) + 1):
+                words = sum((p[2] for p in parts[i:e]), [])
+                if len(words) >= least and (e == i + sentences or len(words) - len(parts[e - 1][2]) < least or len(words) - len(parts[i][2]) < least):
+                    runs.append((doc, text, i, e, tuple(words)))
+    return order, split, runs
+
+
+def test_repeated_spans_by_brute_force(spark):
+    r = random.Random(11)
+    pool = [" ".join(r.choice("aa bb cc dd ee ff gg hh".split()) for _ in range(r.randint(2, 12))) + "." for _ in range(14)]
+    rows = [(d, " ".join(r.choice(pool) for _ in range(r.randint(1, 6)))) for d in range(60)]
+    got = {(x.doc_id, x.was): (x.text, x.removed) for x in op04_spans.deduplicate(spark.createDataFrame([(d, t, t) for d, t in rows], "doc_id bigint, text string, was string")).collect()}
+    order, split, runs = brute_spans(rows)
+    first, covered = {}, set()
+    for doc, text, i, e, words in sorted(runs, key=lambda x: (x[0], split[x[0], x[1]][x[2]][0])):
+        if first.setdefault(words, (doc, i)) != (doc, i):
+            covered |= {(doc, text, k) for k in range(i, e)}
+    assert covered
+    for doc, text in order:
+        keep = "".join(text[a:b] for k, (a, b, _) in enumerate(split[doc, text]) if (doc, text, k) not in covered)
+        assert got[doc, text][0] == keep
+
+
+def test_repeated_spans_of_one_doc_id_and_clashing_names(spark):
+    passage = "First here is a sentence with words enough. Then another one follows it with some more words. Last comes a third sentence that ends it all."
+    rows = [(5, "Own line here. " + passage, "x", 1), (5, "x" + "é" * 400, "x", 1), (7, passage, "x", 1), (None, passage, "x", 1), (7, passage, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, cuts string, key int").withColumnRenamed("key", "o`dd").withColumn("begin", F.lit(1)).withColumn("row", F.lit(2)).withColumn("key", F.lit(3))
+    out = op04_spans.deduplicate(docs)
+    assert out.columns == [*docs.columns, "removed"]
+    got = sorted((r.doc_id or 0, r.text) for r in out.collect())
+    assert got == sorted([(0, passage), (5, rows[0][1]), (5, rows[1][1]), (7, ""), (7, "")])
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi."
+    alone = op04_spans.deduplicate(spark.createDataFrame([(1, long), (2, long)], "doc_id bigint, text string")).collect()
+    assert all(r.text == long for r in alone)  # one sentence is no run of several
+    assert op04_spans.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_hot_spans(spark, monkeypatch):
+    monkeypatch.setattr(op04_spans, "FEW", 3)
+    monkeypatch.setattr(op04_spans, "HOT", 1 << 16)
+    passage = "First here is a sentence with words enough. Then another one follows it with some more words than that."
+    docs = spark.createDataFrame([(i, f"Own{i} line. {passage}" + " Rare words stand here and nowhere else but once more in a text that is the next one. So it is." * (i < 2)) for i in range(30)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in op04_spans.deduplicate(docs).collect()}
+    assert got[0].endswith("So it is.") and got[1] == "Own1 line. " and all(got[i] == f"Own{i} line. " for i in range(2, 30))
+
+
 def test_bpe(spark):
     raw = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
@@ -218,10 +282,6 @@ def test_near_duplicates_of_short_texts(spark):
     close = [(a, b) for a in texts for b in texts if a < b and a // 10 == b // 10 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert sum(len(sets[a] & sets[b]) <= 0.88 * len(sets[a] | sets[b]) for a, b in close) > 100
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    reps = op09_probminhash.signatures(docs, "count").selectExpr("node", "doc_id AS rep").cache()
-    fine = {x.node: x.fine for x in op09_probminhash.fine_sketches(docs, reps, reps.select("node"), "count").collect()}
-    fine = {x.rep: fine[x.node] for x in reps.collect()}
-    assert all(sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(fine[a], fine[b])) <= op09_probminhash.DIFFER for a, b in close)
     root = {k: k for k in texts}
     for a, b in close:
         root = {k: root[a] if v == root[b] else v for k, v in root.items()}
