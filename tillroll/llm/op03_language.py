@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import pieces
+from tillroll.llm.common import pieces, with_fields
 from tillroll.llm.wordhash import utf8
 
 LONGEST, BITS = 3, 16
@@ -183,9 +183,10 @@ def predict(docs: DataFrame, model: Model, *, longest: int = LONGEST, bits: int
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [pa.array(names, pa.string()), pa.array(np.where(known, top, 0.0))], [*rest, "lang_pred", "score"])
         pa.default_memory_pool().release_unused()
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
+    schema = with_fields([docs.schema[c] for c in rest], "lang_pred string, score double")
+    quoted = ["`" + c.replace("`", "``") + "`" for c in rest]
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*rest, *["text"] * ("text" not in rest), letters.alias("has_letter")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*quoted, *["text"] * ("text" not in rest), letters.alias("has_letter")).mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:
