@@ -105,8 +105,8 @@ def find_total(df: DataFrame) -> DataFrame:
     df = df.withColumn("negative", F.zip_with(F.transform("low", lambda s: holds(s, NOT_FINAL)), negative("tokens"), lambda a, b: a | b))
 
     def exact(s: Column) -> Column:
-        cases = [F.when((s.rlike(B + k) | look(s).rlike(B + k)) if k.isascii() else s.contains(k), i) for i, k in enumerate(least_first)]
-        return F.coalesce(*cases)
+        cases = lambda v: F.coalesce(*(F.when((s.rlike(B + k) | v.rlike(B + k)) if k.isascii() else s.contains(k), i) for i, k in enumerate(least_first)))
+        return let(look(s), cases)
 
     inexact = F.transform("near", lambda j: F.element_at(F.array(*(F.lit(i) for i, _ in ascii_first)), j + 1))
     ranks = F.zip_with(F.transform("low", exact), inexact, lambda a, b: F.struct(F.least(a, b).alias("rank"), F.coalesce(a <= F.coalesce(b, F.lit(99)), F.lit(False)).alias("exact")))
@@ -244,13 +244,16 @@ def find_merchant(df: DataFrame) -> DataFrame:
     df = df.withColumn("head", texts).withColumn("bank", _payment_like(F.transform(texts, F.lower)))
 
     def scored(t: Column, i: Column) -> Column:
-        low = F.lower(t)
+        return let(F.lower(t), lambda low: weighed(t, low, i))
+
+    def weighed(t: Column, low: Column, i: Column) -> Column:
         pays = holds(low, PROVIDERS) | t.contains("ธนา") | F.try_element_at("bank", i + 1)
         letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
         could = F.length(t).between(3, 60) & ~holds(low, BOILERPLATE) & ~holds(low, MONEY_WORDS) & ~t.rlike(rf"\d+[.,]\d{{2}}(?![\p{{L}}\p{{N}}_])") & (letters >= 0.3 * F.length(t))
         upper = (F.upper(t) == t) & (low != t)
-        score = F.lit(10) - i * 2 - F.when(pays, 12).otherwise(0) - F.when(t.rlike(r"\p{Nd}"), 1).otherwise(0) + F.when(upper, 2).otherwise(0)
-        return F.when(could, F.struct(score.alias("score"), (-i).alias("i"), t.alias("text"), pays.alias("pays")))
+        score = F.lit(10) - i * 2 - F.when(t.rlike(r"\p{Nd}"), 1).otherwise(0) + F.when(upper, 2).otherwise(0)
+        made = lambda p: F.when(could, F.struct((score - F.when(p, 12).otherwise(0)).alias("score"), (-i).alias("i"), t.alias("text"), p.alias("pays")))
+        return let(pays, made)
 
     df = df.withColumn("candidates", F.filter(F.transform("head", scored), lambda x: x.isNotNull())).withColumn("top", F.array_max("candidates"))
     branch = F.try_element_at(F.filter("candidates", lambda x: (x["i"] == F.col("top.i") - 1) & ~x["pays"]), F.lit(1))["text"]
@@ -275,17 +278,22 @@ def identify(df: DataFrame) -> DataFrame:
 
 def validate(items: Column, total: Column, date: Column, as_of: Column) -> Column:
     """F-22: (passed, failed, skipped) names of rules."""
-    prices = F.array_sort(F.array_distinct(F.filter(F.transform(items, lambda x: x["price"]), lambda p: p.isNotNull())))
-    vat = F.exists(prices, lambda a: F.exists(prices, lambda b: (a > b) & (F.abs(a + b - total) <= 0.05)))
-    outcomes = {
-        "total_in_range": F.when(total.between(1, 500000), "p").otherwise("f"),
-        "items_sum": F.when(F.size(prices) == 0, "s").when(items_match(items, total), "p").otherwise("f"),
-        "subtotal_vat": F.when((F.size(prices) >= 2) & vat, "p").otherwise("s"),
-        "date_not_in_future": F.when(date.isNull(), "s").when(date <= F.date_add(as_of, 1), "p").otherwise("f"),
-        "date_not_too_old": F.when(date.isNull(), "s").when(F.datediff(as_of, date) <= 400, "p").otherwise("f"),
-    }
-    names = lambda o: F.array_compact(F.array(*(F.when(v == o, k) for k, v in outcomes.items())))
-    return F.struct(names("p").alias("passed"), names("f").alias("failed"), names("s").alias("skipped"))
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(items, lambda x: x["price"]), lambda p: p.isNotNull())))
+
+    def of(prices: Column) -> Column:
+        vat = F.exists(prices, lambda a: F.exists(prices, lambda b: (a > b) & (F.abs(a + b - total) <= 0.05)))
+        outcomes = {
+            "total_in_range": F.when(total.between(1, 500000), "p").otherwise("f"),
+            "items_sum": F.when(F.size(prices) == 0, "s").when(items_match(items, total), "p").otherwise("f"),
+            "subtotal_vat": F.when((F.size(prices) >= 2) & vat, "p").otherwise("s"),
+            "date_not_in_future": F.when(date.isNull(), "s").when(date <= F.date_add(as_of, 1), "p").otherwise("f"),
+            "date_not_too_old": F.when(date.isNull(), "s").when(F.datediff(as_of, date) <= 400, "p").otherwise("f"),
+        }
+        names = lambda x, o: F.array_compact(F.array(*(F.when(x[k] == o, k) for k in outcomes)))
+        decided = F.struct(*(v.alias(k) for k, v in outcomes.items()))
+        return let(decided, lambda x: F.struct(names(x, "p").alias("passed"), names(x, "f").alias("failed"), names(x, "s").alias("skipped")))
+
+    return let(found, of)
 
 
 def trusted(total: Column, rules: Column) -> Column:
