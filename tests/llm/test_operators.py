@@ -160,7 +160,7 @@ def test_repeated_spans_of_one_doc_id_and_clashing_names(spark):
 def test_hot_spans(spark, monkeypatch):
     monkeypatch.setattr(op04_spans, "FEW", 3)
     monkeypatch.setattr(op04_spans, "HOT", 1 << 16)
-    passage = "First here is a sentence with words enough. Then another one follows it with some more words than that."
+    passage = "First here is a sentence with words enough. Then another one follows it with some more words than the first one has."
     docs = spark.createDataFrame([(i, f"Own{i} line. {passage}" + " Rare words stand here and nowhere else but once more in a text that is the next one. So it is." * (i < 2)) for i in range(30)], "doc_id bigint, text string")
     got = {r.doc_id: r.text for r in op04_spans.deduplicate(docs).collect()}
     assert got[0].endswith("So it is.") and got[1] == "Own1 line. " and all(got[i] == f"Own{i} line. " for i in range(2, 30))
