@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near duplicates", near_duplicates), ("repeated spans", repeated_spans), ("decontaminate", decontaminate), ("encode", encode)]
 
-#: No stage but the last is expressible in SQL; tests hold each against a brute-force version.
+#: No stage is expressible in SQL; the operators are held against brute force, round trips or accuracy in their own tests.
 ORACLE_SQL = None
 
 
