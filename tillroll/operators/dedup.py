@@ -27,17 +27,28 @@ def _rule(new: str, old: str) -> Column:
     )
 
 
+def _by_code(rows: DataFrame) -> DataFrame:
+    """A row for each distinct reference code, in lower case."""
+    return rows.withColumn("code", F.explode(F.array_distinct(F.transform("reference_codes", F.lower))))
+
+
 def match_against_ledger(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     """D-01a, J-02, J-04: (id, is_duplicate, reason, existing_id) of each incoming row against a fixed ledger.
 
-    The amount band of one cent is an equi-join on (tenant, cents) with three keys a row, so that no
-    pairs outside the band are made.  Of several duplicates an AWARDED row wins, else the least id.
+    Duplicates share a reference code or the member, so rows meet in two equi-joins, on (tenant, cents, code) and
+    on (tenant, cents, member), with three keys a row for the band of one cent; receipts that only share a popular
+    price don't meet.  A pair found twice has one reason.  Of several duplicates an AWARDED row wins, else the least id.
     """
-    new = incoming.withColumn("key", F.explode(F.array(F.col("cents") - 1, F.col("cents"), F.col("cents") + 1))).alias("n")
-    old = ledger.filter("status <> 'REJECTED'").alias("o")
-    band = F.col("o.total_amount").between(F.col("n.total_amount") - 0.01, F.col("n.total_amount") + 0.01)
-    pairs = new.join(old, (F.col("n.tenant_id") == F.col("o.tenant_id")) & (F.col("n.key") == F.col("o.cents")) & band)
-    judged = pairs.select(F.col("n.id").alias("id"), F.col("o.id").alias("existing_id"), F.col("o.status").alias("s"), _rule("n", "o").alias("reason")).filter("reason IS NOT NULL")
+    new = incoming.withColumn("key", F.explode(F.array(F.col("cents") - 1, F.col("cents"), F.col("cents") + 1)))
+    old = ledger.filter("status <> 'REJECTED'")
+
+    def judge(new: DataFrame, old: DataFrame, same: Column) -> DataFrame:
+        band = F.col("o.total_amount").between(F.col("n.total_amount") - 0.01, F.col("n.total_amount") + 0.01)
+        pairs = new.alias("n").join(old.alias("o"), (F.col("n.tenant_id") == F.col("o.tenant_id")) & (F.col("n.key") == F.col("o.cents")) & same & band)
+        return pairs.select(F.col("n.id").alias("id"), F.col("o.id").alias("existing_id"), F.col("o.status").alias("s"), _rule("n", "o").alias("reason")).filter("reason IS NOT NULL")
+
+    by_code = judge(_by_code(new), _by_code(old), F.col("n.code") == F.col("o.code"))
+    judged = by_code.unionByName(judge(new, old, F.col("n.member_id").eqNullSafe(F.col("o.member_id"))))
     # one candidate a row is kept before rows meet: the aggregate combines on the map side
     best = judged.groupBy("id").agg(F.min_by(F.struct("existing_id", "reason"), F.struct((F.col("s") != "AWARDED").cast("int"), "existing_id")).alias("b"))
     return incoming.select("id").join(best, "id", "left").select("id", F.col("b").isNotNull().alias("is_duplicate"), F.coalesce("b.reason", F.lit("none")).alias("reason"), F.col("b.existing_id").alias("existing_id"))
@@ -57,30 +68,43 @@ def _duplicate(new: dict, old: dict) -> bool:
     return not (known and abs(new["receipt_time_s"] - old["receipt_time_s"]) > MINUTES * 60)
 
 
+def _neighbours(rows: DataFrame, key: str) -> DataFrame:
+    """The id of each row that has another one of its ``key`` (nulls alike) within a cent."""
+    order = Window.partitionBy("tenant_id", key).orderBy("cents")
+    within = lambda other: F.coalesce(F.abs(F.col("cents") - other("cents").over(order)) <= 1, F.lit(False))
+    return rows.withColumn("near", within(F.lag) | within(F.lead)).filter("near").select("id")
+
+
 def replay_dedup(rows: DataFrame) -> DataFrame:
     """D-01b: (id, accepted, existing_id) when rows arrive in the order of id and only accepted ones are kept.
 
-    Rows can only meet inside one tenant and one island of amounts (neighbouring amounts at most a cent
-    apart).  Islands come from distinct amounts, and each is replayed in one task; a price that many
-    receipts share bounds the parallelism, because the rule itself is sequential there.
+    A row that has no other row of its member or of one of its codes within a cent neither is a duplicate nor
+    has one, and is accepted at once.  The others meet inside one tenant and one island of amounts (neighbouring
+    amounts at most a cent apart); islands come from distinct amounts of these rows, and each is replayed in
+    one task, because the rule is sequential there.  Kept rows are looked up by code and by member.
     """
-    # the windows run over distinct amounts, of which extraction lets 10^8 pass at most
+    near = _neighbours(rows.select("id", "tenant_id", "cents", "member_id"), "member_id").unionByName(_neighbours(_by_code(rows).select("id", "tenant_id", "cents", "code"), "code")).distinct()
+    alone = rows.join(near, "id", "left_anti").select("id", F.lit(True).alias("accepted"), F.lit(None).cast("bigint").alias("existing_id"))
+    rows = rows.join(near, "id", "left_semi")
     order = Window.partitionBy("tenant_id").orderBy("cents")
     starts = rows.select("tenant_id", "cents").distinct().withColumn("start", (F.coalesce(F.col("cents") - F.lag("cents").over(order), F.lit(2)) > 1).cast("int"))
     islands = starts.withColumn("island", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("tenant_id", "cents", "island")
-    ready = rows.join(islands, ["tenant_id", "cents"]).select("tenant_id", "island", "id", "total_amount", "member_id", "merchant_code", F.unix_date("receipt_date").alias("date"), "receipt_time_s", F.coalesce("reference_codes", F.array().cast("array<string>")).alias("reference_codes"), "status")
+    ready = rows.join(islands, ["tenant_id", "cents"]).select("tenant_id", "island", "id", "total_amount", "cents", "member_id", "merchant_code", F.unix_date("receipt_date").alias("date"), "receipt_time_s", F.coalesce("reference_codes", F.array().cast("array<string>")).alias("reference_codes"), "status")
 
     def step(kept: dict, row: dict) -> tuple:
         row["reference_codes"] = list(row["reference_codes"])
         row = {k: None if isinstance(v, float) and v != v else v for k, v in row.items()}
-        found = [o for o in kept.values() if abs(o["total_amount"] - row["total_amount"]) <= 0.01 + 1e-9 and o["status"] != "REJECTED" and _duplicate(row, o)]
+        held = [("member", row["member_id"]), *(("code", c.lower()) for c in row["reference_codes"])]
+        close = [o for key in held for cents in (-1, 0, 1) for o in kept.get((*key, row["cents"] + cents), ())]
+        found = [o for o in close if abs(o["total_amount"] - row["total_amount"]) <= 0.01 + 1e-9 and _duplicate(row, o)]
         best = min(found, key=lambda o: (o["status"] != "AWARDED", o["id"]), default=None)
-        if best is None:
-            kept[row["id"]] = row
+        if best is None and row["status"] != "REJECTED":
+            for key in held:
+                kept.setdefault((*key, row["cents"]), []).append(row)
         return row["id"], best is None, best and best["id"]
 
     grouped = ready.withColumn("group", F.concat_ws(":", "tenant_id", "island")).drop("tenant_id", "island")
-    return ordered_fold(grouped, "group", ["id"], dict, step, "id bigint, accepted boolean, existing_id bigint")
+    return alone.unionByName(ordered_fold(grouped, "group", ["id"], dict, step, "id bigint, accepted boolean, existing_id bigint"))
 
 
 def fingerprint(receipts: DataFrame) -> DataFrame:

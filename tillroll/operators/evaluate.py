@@ -42,10 +42,14 @@ def dedup_confusion(decisions: DataFrame, truth: DataFrame) -> DataFrame:
 def item_accuracy(got: DataFrame, expected: DataFrame, least: float = 0.6) -> DataFrame:
     """E-04, J-08: for each receipt whether the counts agree and how many expected names have a similar one.
 
-    ``got`` and ``expected``: (name, items array of name and price).  Names meet inside a receipt only.
+    ``got`` and ``expected``: (name, items array of name and price).  Names meet inside a receipt only;
+    pairs with too few letters in common for ``least`` are ruled out natively.
     """
     rows = got.select("name", F.col("items").alias("g")).join(expected.select("name", F.col("items").alias("e")), "name")
     pairs = rows.select("name", F.posexplode("e").alias("k", "x"), "g").select("name", "k", "x", F.explode_outer("g").alias("y"))
-    best = pairs.withColumn("s", F.coalesce(similarity(F.col("x.name"), F.col("y.name")), F.lit(0.0))).groupBy("name", "k").agg(F.max("s").alias("s"))
+    x, y = F.col("x.name"), F.col("y.name")
+    common = F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
+    pairs = pairs.filter((2 * common >= least * (F.length(x) + F.length(y))) | (F.length(x) + F.length(y) == 0))
+    best = pairs.withColumn("s", F.coalesce(similarity(x, y), F.lit(0.0))).groupBy("name", "k").agg(F.max("s").alias("s"))
     similar = best.groupBy("name").agg(F.count_if(F.col("s") >= least).alias("similar"))
     return rows.select("name", (F.size("g") == F.size("e")).alias("same_count"), F.size("e").alias("expected")).join(similar, "name", "left").fillna(0, ["similar"])

@@ -203,10 +203,34 @@ def parse_date(s: SparkSession, p: str) -> DataFrame:
 
 
 def line_items_sum(s: SparkSession, p: str) -> DataFrame:
-    lines = d.table(s, p, "lineitem").select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
-    sums = lines.groupBy("l_orderkey").agg(F.sum("cents").alias("sum_cents"), F.count("*").alias("n_items"))
-    total = F.col("sum_cents") + F.when(F.col("l_orderkey") % 13 == 0, 500).otherwise(0)
-    return sums.select("l_orderkey", "n_items", "sum_cents", (F.abs(F.col("sum_cents") - total) <= 5).alias("items_match"))
+    """A-06: items of lineitem (some without a price) against printed totals, that are right, off by 4, 6 cents, or those of the order."""
+    price = F.when((F.col("l_orderkey") % 11 != 0) & (F.col("l_linenumber") != 6), F.col("l_extendedprice"))
+    lines = d.table(s, p, "lineitem").select("l_orderkey", price.alias("price"), F.struct(F.lit("item").alias("name"), price.alias("price")).alias("item"))
+    receipts = lines.groupBy("l_orderkey").agg(F.collect_list("item").alias("items"), F.sum("price").alias("known")).join(d.table(s, p, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey")
+    k = F.col("l_orderkey") % 4
+    total = F.when(k == 3, F.col("o_totalprice")).otherwise(F.coalesce("known", F.lit(0.0)) + F.when(k == 1, 0.04).when(k == 2, 0.06).otherwise(0.0))
+    return receipts.select("l_orderkey", F.size("items").cast("bigint").alias("n_items"), extract.items_match(F.col("items"), total).alias("items_match"))
+
+
+def field_accuracy(s: SparkSession, p: str) -> DataFrame:
+    """E-02: readings with other days, minutes, seconds, codes and shops in some rows."""
+    truth = d.receipts(s, p).select(F.col("id").cast("string").alias("name"), "id", "receipt_date", "receipt_time_s", "reference_codes", "merchant_code")
+    k = F.col("id")
+    readings = truth.select(
+        "name", F.when(k % 3 == 0, F.date_add("receipt_date", 1)).when(k % 5 != 0, F.col("receipt_date")).alias("receipt_date"),
+        F.when(k % 7 == 0, F.col("receipt_time_s") + 60).otherwise(F.col("receipt_time_s") - F.col("receipt_time_s") % 60).alias("receipt_time_s"),
+        F.when(k % 6 == 0, F.array(F.lit("x"))).otherwise(F.concat(F.array(F.lit("y")), "reference_codes")).alias("reference_codes"), F.when(k % 9 != 0, F.col("merchant_code")).alias("merchant_code"),
+    )
+    return evaluate.field_accuracy(readings, truth.drop("id"))
+
+
+def item_accuracy(s: SparkSession, p: str) -> DataFrame:
+    """E-04: every third name is misread as a whole, every seventh order lacks its last line."""
+    name = F.expr("repeat(chr(64 + l_linenumber), 4)")
+    lines = d.table(s, p, "lineitem").select(F.col("l_orderkey").cast("string").alias("name"), "l_orderkey", "l_linenumber", name.alias("item"), "l_extendedprice")
+    gather = lambda rows, item: rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("name"), F.col("l_extendedprice").alias("price")))).alias("items"))
+    got = gather(lines.filter("l_orderkey % 7 <> 0 OR l_linenumber < 3"), F.when(F.col("l_linenumber") % 3 == 0, "??").otherwise(F.regexp_replace("item", ".$", "0")))
+    return evaluate.item_accuracy(got, gather(lines, F.col("item")))
 
 
 def mask_text(s: SparkSession, p: str) -> DataFrame:
@@ -233,7 +257,7 @@ QUERIES = {
     for f in (
         metrics_by_tenant, metrics_window, dead_letter, dead_count, export_unsent, history_top20, resend_batch, resend_summary, revive, purge_plan, purged_ledger, eligible_members,
         member_upsert, stuck_pending, fingerprints, fingerprint_conflict, points, normalize_phone, dup_vs_ledger, dedup_replay, dedup_confusion, rate_limit, first_claim, job_status,
-        otp_attempts, circuit_breaker, extract_full, parse_date, line_items_sum, mask_text, sanitize, amount_accuracy,
+        otp_attempts, circuit_breaker, extract_full, parse_date, line_items_sum, field_accuracy, item_accuracy, mask_text, sanitize, amount_accuracy,
     )
 }
 
@@ -270,7 +294,24 @@ ORACLES = {
     "extract_full": f"""WITH {R} SELECT id, round(cents / 100, 2) AS total_amount, CAST(receipt_time_s AS BIGINT) AS receipt_time_s, lpad(CAST(id AS VARCHAR), 9, '0') AS codes,
       [{', '.join(f"'{m[0]}'" for m in extract.MERCHANTS)}][member_id % 6 + 1] AS merchant_code, CAST(1 AS BIGINT) AS n_items, 'NOODLE SET' AS item, true AS items_match FROM receipts""",
     "parse_date": f"WITH {R} SELECT id, CASE WHEN year(receipt_date) BETWEEN 1994 AND 2000 THEN receipt_date END AS receipt_date FROM receipts",
-    "line_items_sum": """SELECT l_orderkey, count(*) AS n_items, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS sum_cents, l_orderkey % 13 <> 0 AS items_match FROM lineitem GROUP BY l_orderkey""",
+    "line_items_sum": """WITH s AS (SELECT l_orderkey, count(*) AS n_items, sum(round(l_extendedprice * 100)) FILTER (l_orderkey % 11 <> 0 AND l_linenumber <> 6) AS cents FROM lineitem GROUP BY l_orderkey)
+      SELECT l_orderkey, n_items, cents IS NOT NULL AND CASE l_orderkey % 4 WHEN 2 THEN false WHEN 3 THEN abs(cents - round(o_totalprice * 100)) <= 5 ELSE true END AS items_match FROM s JOIN orders ON o_orderkey = l_orderkey""",
+    "field_accuracy": f"""WITH {R} SELECT count(*) AS n, count(*) FILTER (id % 3 <> 0 AND id % 5 <> 0) AS dates, count(*) FILTER (id % 7 <> 0) AS times,
+      count(*) FILTER (id % 6 <> 0 AND id % 4 <> 0) AS with_reference, count(*) FILTER (id % 9 <> 0 AND merchant_code IS NOT NULL) AS merchants FROM receipts""",
+    "item_accuracy": """WITH o AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (l_orderkey % 7 = 0 AND l_linenumber >= 3) AS gone, count(*) FILTER (l_linenumber % 3 <> 0 AND (l_orderkey % 7 <> 0 OR l_linenumber < 3)) AS seen FROM lineitem GROUP BY l_orderkey)
+      SELECT CAST(k AS VARCHAR) AS name, gone = 0 AS same_count, CAST(n AS INTEGER) AS expected, seen AS similar FROM o WHERE gone < n""",
+    "otp_attempts": """WITH e AS (SELECT event_id, user_id AS key, event_id % 7 = 0 AS good, date_trunc('day', ts) AS d, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY floor(epoch(ts)), event_id) AS i FROM events WHERE user_id IS NOT NULL),
+      g AS (SELECT *, coalesce(min(CASE WHEN good THEN i END) OVER (PARTITION BY key, d), 9) AS g FROM e)
+      SELECT event_id, key, CASE WHEN i > least(g, 3) THEN 'expired' WHEN i = g AND g <= 2 THEN 'verified' WHEN i = 3 THEN 'locked' ELSE 'wrong' END AS outcome FROM g""",
+    "circuit_breaker": """WITH RECURSIVE e AS (SELECT event_id, user_id % 5 AS key, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN event_id % 3 = 0 THEN 'ok' WHEN event_id % 11 = 0 THEN 'rejected' ELSE 'retryable' END AS o,
+        row_number() OVER (PARTITION BY user_id % 5 ORDER BY floor(epoch(ts)), event_id) AS k FROM events WHERE user_id IS NOT NULL),
+      f AS (SELECT CAST(NULL AS BIGINT) AS event_id, key, CAST(0 AS BIGINT) AS k, 'closed' AS state, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS at, false AS admitted FROM (SELECT DISTINCT key FROM e)
+        UNION ALL SELECT e.event_id, e.key, e.k,
+          CASE WHEN f.state = 'open' AND e.t - f.at < 7200 THEN 'open' WHEN o = 'ok' THEN 'closed' WHEN o = 'retryable' AND (f.state <> 'closed' OR f.n >= 4) THEN 'open' WHEN f.state = 'open' THEN 'half_open' ELSE f.state END,
+          CASE WHEN f.state = 'open' AND e.t - f.at < 7200 THEN f.n WHEN o = 'ok' THEN 0 WHEN o = 'retryable' THEN f.n + 1 ELSE f.n END,
+          CASE WHEN NOT (f.state = 'open' AND e.t - f.at < 7200) AND o = 'retryable' AND (f.state <> 'closed' OR f.n >= 4) THEN e.t ELSE f.at END,
+          NOT (f.state = 'open' AND e.t - f.at < 7200) FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)
+      SELECT event_id, key, admitted, state FROM f WHERE k > 0""",
     "mask_text": """SELECT c_custkey, 'user ' || substr('08' || lpad(CAST(c_custkey AS VARCHAR), 8, '1'), 1, 3) || '*****' || right(lpad(CAST(c_custkey AS VARCHAR), 8, '1'), 2) || ' token=***&x=1 "password": "***" Bearer ***' AS masked,
       'http://a/b' AS url FROM customer""",
     "amount_accuracy": f"WITH {R} SELECT count(*) AS n, count(*) FILTER (id % 17 <> 0 AND id % 19 <> 0) AS correct, count(*) FILTER (id % 17 <> 0 AND id % 19 = 0) AS wrong, count(*) FILTER (id % 17 = 0) AS unreadable FROM receipts",

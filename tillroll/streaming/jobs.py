@@ -39,10 +39,33 @@ def rate_limit_stream(hits: DataFrame, *, limit: int = 5, window_s: int = 600, l
     return marked.groupBy("key").applyInPandasWithState(step, HIT, "begin bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def job_status_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """T-03 on a stream of (key, ts, event_id, event_type): the latest state per key, in update mode."""
+def job_status_stream(events: DataFrame, *, ttl_s: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """T-03 on a stream of (key, ts, event_id, event_type): (key, state, ts) of each key whose latest state changes.
+
+    ``ttl_s`` after its latest event, in event time, a key's state is dropped and a row with a null state says so.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["key", "state", "ts"]
+        if state.hasTimedOut:
+            _, ts, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], None, pd.Timestamp(ts, unit="us"))], columns=columns)
+            return
+        last = None
+        for rows in batches:
+            micros = rows["ts"].astype("datetime64[us]").astype("int64")
+            last = max(filter(None, [last, max(zip(micros, rows["event_id"], rows["event_type"], strict=True), default=None)]), default=None)
+        held = state.get if state.exists else None
+        if last is None or (held is not None and (held[1], held[2]) >= last[:2]):
+            return
+        ts, event, name = last
+        state.update((name, int(ts), int(event)))
+        state.setTimeoutTimestamp(max(int(ts) // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], name, pd.Timestamp(ts, unit="us"))], columns=columns)
+
     marked = events.withWatermark("ts", late)
-    return marked.groupBy("key").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("ts"))
+    return marked.groupBy("key").applyInPandasWithState(step, "key bigint, state string, ts timestamp", "state string, ts bigint, event bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def jobs_to_tables(messages: DataFrame, jobs_path: str, bad_path: str, checkpoint: str):
