@@ -82,6 +82,32 @@ def test_decontamination(spark):
         out = op02_decontaminate.decontaminate(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string"), block=block)
         got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in out.collect()}
         assert got == want
+    nulls = spark.createDataFrame([(None, some[0]), (None, "none of it"), (3, some[0])], "doc_id bigint, text string")
+    for block in (10**6, 200):
+        out = op02_decontaminate.decontaminate(nulls, spark.createDataFrame(list(items.items()), "item_id bigint, text string"), block=block).collect()
+        assert sorted((r.doc_id or 0, r.contaminated) for r in out) == [(0, False), (0, True), (3, True)]
+    assert op02_decontaminate.decontaminate(nulls, spark.createDataFrame([], "item_id bigint, text string")).filter("contaminated").count() == 0
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice(["a", "b", "Cc"]) for _ in range(n))
+    docs, items = {i: text(r.randint(0, 120)) for i in range(60)}, {i: text(r.choice([0, 1, 2, 3, 5, 9, 14, 30])) for i in range(20)}
+    items |= {100: items[3], 101: docs[1][:40], 102: docs[2], 103: docs[3].upper()}
+    want = op02_decontaminate.brute_force(docs, items)
+    out = op02_decontaminate.decontaminate(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in out.collect()} == want
+
+
+def test_windows_of_a_whole_block_are_cheap():
+    import time
+
+    r = random.Random(1)
+    pool = [f"w{i}" for i in range(50_000)]
+    rows = [(i, " ".join(r.choices(pool, k=150))) for i in range(4500)]
+    begin = time.time()
+    found = op02_decontaminate.windows_of(rows, 13)
+    assert len(found.first) == 4500 * 138 and time.time() - begin < 30
 
 
 def test_language_accuracy(spark):

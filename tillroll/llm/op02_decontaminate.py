@@ -6,7 +6,7 @@ prefix that the join needs is one shingle: the rarest one in the corpus.  One pa
 counts how often each benchmark shingle occurs there; a second pass joins each window's rarest shingle
 with the document's shingles.  A hit at some position fixes where the window would begin; windows
 that would begin before the text or end behind it are pruned (length and positional bounds), the rest
-are compared word by word.
+are compared by the hashes of all words and then word by word.
 
 The benchmark is taken in blocks of ``block`` bytes of text, so what the driver and a task hold has a
 fixed bound; each block costs two scans of the documents, and hits of several blocks are written and
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import pieces, written
-from tillroll.llm.wordhash import LOWER, Words, one_run, shingles, words
+from tillroll.llm.common import pieces, with_fields, written
+from tillroll.llm.wordhash import LOWER, Words, shingles, words
 
 SIZE = 13
 SHINGLE = 3
@@ -38,33 +38,53 @@ SHINGLE = 3
 BLOCK = 4_000_000
 
 
-class Window(NamedTuple):
-    items: tuple
-    words: tuple[bytes, ...]
-    tokens: tuple[tuple[int, int], ...]
-    """(words in the shingle, its hash), by place."""
-
-
-def windows_of(rows: list[tuple], size: int) -> list[Window]:
-    """Distinct windows of (item_id, text) rows, each with the items that have it."""
-    texts = pa.array([text for _, text in rows], pa.string())
-    found = words(texts)
-    low = LOWER[found.data].tobytes()
-    spans, holders, hashes = found.bounds(), {}, {}
-    for i, (item, _) in enumerate(rows):
-        first, last = spans[i], spans[i + 1]
-        for begin in range(first, max(first + 1, last - size + 1)):
-            end = min(begin + size, last)
-            if end > begin:
-                key = tuple(low[found.begin[j] : found.end[j]] for j in range(begin, end))
-                holders.setdefault(key, set()).add(item)
-                hashes.setdefault(key, found.hash[begin:end])
-    out = []
-    for key, items in holders.items():
-        k, h = min(SHINGLE, len(key)), hashes[key]
-        tokens = tuple((k, one_run(h[i : i + k])) for i in range(len(key) - k + 1))
-        out.append(Window(tuple(sorted(items, key=str)), key, tokens))
-    return out
+class Windows(NamedTuple):
+    """Distinct windows of a block of items, as places in the block's words."""
+
+    split: Words
+    first: np.ndarray
+    """Number of the window's first word."""
+    length: np.ndarray
+    holders: np.ndarray
+    """Items of all windows, window by window; those of window i are ``holders[at[i] : at[i + 1]]``."""
+    at: np.ndarray
+    items: list[str]
+
+
+def windows_of(rows: list[tuple], size: int) -> Windows:
+    """Distinct windows of (item_id, text) rows, each with the items that have it; windows are equal if 64-bit hashes of their words are."""
+    split = words(pa.array([text for _, text in rows], pa.string()))
+    sizes = np.diff(split.bounds())
+    names = sorted({str(item) for item, _ in rows})
+    number = {name: i for i, name in enumerate(names)}
+    item = np.array([number[str(i)] for i, _ in rows], np.int64)
+    first, length, window, holder = [], [], [], []
+    made = 0
+    for n in np.unique(np.minimum(sizes[sizes > 0], size)).tolist():
+        at, hashes = shingles(split, n)
+        if n < size:
+            whole = sizes[split.row[at]] == n
+            at, hashes = at[whole], hashes[whole]
+        _, one, group = np.unique(hashes, return_index=True, return_inverse=True)
+        first.append(at[one])
+        length.append(np.full(len(one), n))
+        window.append(group.ravel() + made)
+        holder.append(item[split.row[at]])
+        made += len(one)
+    if not made:
+        none = np.zeros(0, np.int64)
+        return Windows(split, none, none, none, np.zeros(1, np.int64), names)
+    pairs = np.unique(np.stack([np.concatenate(window), np.concatenate(holder)]), axis=1)
+    return Windows(split, np.concatenate(first), np.concatenate(length), pairs[1], np.searchsorted(pairs[0], np.arange(made + 1)), names)
+
+
+def tokens_of(found: Windows, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows whose shingles have ``k`` words, and the hash of the shingle at each word of the block (0 where there is none)."""
+    own = np.flatnonzero(np.minimum(found.length, SHINGLE) == k)
+    at, hashes = shingles(found.split, k)
+    token = np.zeros(len(found.split.hash), np.uint64)
+    token[at] = hashes
+    return own, token
 
 
 class Members:
@@ -87,13 +107,16 @@ class Members:
         return at[same], place[same]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def rarity(docs: DataFrame, found: list[Window]) -> dict[int, int]:
-    """How often each shingle of the windows occurs in all documents; one row for each at most."""
-    kinds = {k: Members({h for w in found for n, h in w.tokens if n == k}) for k in {n for w in found for n, _ in w.tokens}}
+def rarity(docs: DataFrame, found: Windows) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """How often each shingle of the windows occurs in all documents, as sorted shingles and counts by their number of words."""
+    kinds = {}
+    for k in range(1, SHINGLE + 1):
+        own, token = tokens_of(found, k)
+        if len(own):
+            inside = np.zeros(len(token), bool)
+            for j in range(int(found.length[own].max()) - k + 1):
+                inside[found.first[own[found.length[own] - k >= j]] + j] = True
+            kinds[k] = Members(token[inside])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {k: np.zeros(len(m.sorted), np.int64) for k, m in kinds.items()}
@@ -105,38 +128,73 @@ def rarity(docs: DataFrame, found: list[Window]) -> dict[int, int]:
                     totals[k] += np.bincount(place, minlength=len(totals[k]))
         for k, total in totals.items():
             keep = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds[k].sorted[keep].view(np.int64)), pa.array(total[keep])], ["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), k, np.int32)), pa.array(keep), pa.array(total[keep])], ["k", "place", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return {row.token & (1 << 64) - 1: row.n for row in counts.collect()}
+    # a row for each distinct shingle of the block at most
+    counts = docs.select("text").mapInArrow(run, "k int, place bigint, n bigint").groupBy("k", "place").agg(F.sum("n").alias("n")).toPandas()
+    out = {}
+    for k, members in kinds.items():
+        total, own = np.zeros(len(members.sorted), np.int64), counts[counts["k"] == k]
+        total[own["place"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
+        out[k] = members.sorted, total
+    return out
 
 
-def _candidates(split: Words, by_size: dict) -> Iterator[tuple[int, int]]:
-    """(first word, window) where a window's rarest shingle occurs and its place fits the text."""
-    bounds = split.bounds()
-    for k, (members, lists) in by_size.items():
-        at, token = shingles(split, k)
-        index, place = members.find(token)
-        for position, p in zip(at[index].tolist(), place.tolist(), strict=True):
-            row = split.row[position]
-            for window, offset, length in lists[p]:
-                begin = position - offset
-                if begin >= bounds[row] and begin + length <= bounds[row + 1]:
-                    yield begin, window
+class Prefixes(NamedTuple):
+    """The rarest shingle of each window of one shingle size: shingles, and the windows of each with their offsets."""
 
+    members: Members
+    at: np.ndarray
+    window: np.ndarray
+    offset: np.ndarray
 
-def hits(docs: DataFrame, found: list[Window], counts: dict[int, int]) -> DataFrame:
+
+def prefixes_of(found: Windows, counts: dict) -> dict[int, Prefixes]:
+    out = {}
+    for k, (tokens, total) in counts.items():
+        own, token = tokens_of(found, k)
+        offset, least, chosen = np.zeros(len(own), np.int64), np.full(len(own), np.iinfo(np.int64).max), np.zeros(len(own), np.uint64)
+        for j in range(int(found.length[own].max()) - k + 1):
+            fits = np.flatnonzero(found.length[own] - k >= j)
+            here = token[found.first[own[fits]] + j]
+            n = total[np.searchsorted(tokens, here)]
+            better = n < least[fits]
+            fits = fits[better]
+            offset[fits], least[fits], chosen[fits] = j, n[better], here[better]
+        seen = np.flatnonzero(least > 0)  # a window with a shingle that occurs nowhere is in no document
+        order = seen[np.argsort(chosen[seen], kind="stable")]
+        members = Members(chosen[order])
+        out[k] = Prefixes(members, np.searchsorted(chosen[order], np.append(members.sorted, np.uint64(2**64 - 1))), own[order], offset[order])
+        out[k].at[-1] = len(order)
+    return out
+
+
+def _candidates(split: Words, found: Windows, by_size: dict[int, Prefixes]) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, window) where a window's rarest shingle occurs, its place fits the text and all words have equal hashes."""
+    bounds, begins, windows = split.bounds(), [], []
+    for k, prefix in by_size.items():
+        at, token = shingles(split, k)
+        index, place = prefix.members.find(token)
+        n = prefix.at[place + 1] - prefix.at[place]
+        entry = np.repeat(prefix.at[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        position, window = np.repeat(at[index], n), prefix.window[entry]
+        begin, row = position - prefix.offset[entry], split.row[position]
+        fits = (begin >= bounds[row]) & (begin + found.length[window] <= bounds[row + 1])
+        begin, window = begin[fits], window[fits]
+        for j in range(int(found.length[window].max(initial=0))):
+            longer = np.flatnonzero(found.length[window] > j)
+            wrong = longer[split.hash[begin[longer] + j] != found.split.hash[found.first[window[longer]] + j]]
+            begin, window = np.delete(begin, wrong), np.delete(window, wrong)
+        begins.append(begin)
+        windows.append(window)
+    return (np.concatenate(begins), np.concatenate(windows)) if begins else (np.zeros(0, np.int64),) * 2
+
+
+def hits(docs: DataFrame, found: Windows, counts: dict) -> DataFrame:
     """Each document row's number of words, disjoint spans of hit words and items; narrow."""
-    chosen: dict[int, dict[int, list]] = {}
-    for number, w in enumerate(found):
-        _, place = min((counts.get(h, 0), i) for i, (_, h) in enumerate(w.tokens))
-        k, h = w.tokens[place]
-        chosen.setdefault(k, {}).setdefault(h, []).append((number, place, len(w.words)))
-    by_size = {}
-    for k, lists in chosen.items():
-        members = Members(lists)
-        by_size[k] = members, [lists[int(h)] for h in members.sorted]
-    texts, items = [w.words for w in found], [[str(i) for i in w.items] for w in found]
+    by_size = prefixes_of(found, counts)
+    # only words, windows and items go to the tasks: their size is that of the block
+    low = LOWER[found.split.data]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,32 +203,31 @@ def hits(docs: DataFrame, found: list[Window], counts: dict[int, int]) -> DataFr
                 bounds = split.bounds()
                 marks = np.zeros(len(split.hash) + 1, np.int64)
                 holders: dict[int, set] = {}
-                data = split.data
-                for begin, window in set(_candidates(split, by_size)):
-                    expected = texts[window]
-                    if all(LOWER[data[split.begin[begin + j] : split.end[begin + j]]].tobytes() == word for j, word in enumerate(expected)):
+                for begin, window in zip(*(x.tolist() for x in _candidates(split, found, by_size)), strict=True):
+                    one, n = int(found.first[window]), int(found.length[window])
+                    if all(LOWER[split.data[split.begin[begin + j] : split.end[begin + j]]].tobytes() == low[found.split.begin[one + j] : found.split.end[one + j]].tobytes() for j in range(n)):
                         marks[begin] += 1
-                        marks[begin + len(expected)] -= 1
-                        holders.setdefault(int(split.row[begin]), set()).update(items[window])
+                        marks[begin + n] -= 1
+                        holders.setdefault(int(split.row[begin]), set()).update(found.holders[found.at[window] : found.at[window + 1]].tolist())
                 edges = np.diff((np.cumsum(marks) > 0).astype(np.int8), prepend=0)
                 begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
                 spans: dict[int, list] = {}
                 for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
                     for row in range(split.row[begin], split.row[end - 1] + 1):  # texts may touch
-                        low, high = max(begin, bounds[row]), min(end, bounds[row + 1])
-                        spans.setdefault(row, []).append({"begin": low - bounds[row], "end": high - bounds[row]})
+                        first, last = max(begin, bounds[row]), min(end, bounds[row + 1])
+                        if first < last:
+                            spans.setdefault(row, []).append({"begin": first - bounds[row], "end": last - bounds[row]})
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("digest"), pa.array(np.diff(bounds), pa.int64()),
                         pa.array([spans.get(i, []) for i in range(n)], pa.list_(pa.struct({"begin": pa.int64(), "end": pa.int64()}))),
-                        pa.array([sorted(holders.get(i, ())) for i in range(n)], pa.list_(pa.string())),
+                        pa.array([[found.items[h] for h in sorted(holders.get(i, ()))] for i in range(n)], pa.list_(pa.string())),
                     ],
                     ["doc_id", "digest", "n_words", "spans", "items"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, digest string, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>"
+    schema = with_fields([docs.schema["doc_id"]], "digest string, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>")
     return docs.select("doc_id", "text", "digest").mapInArrow(run, schema)
 
 
@@ -204,15 +261,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, sh
     plain = docs.withColumn("digest", F.lit(None).cast("string"))
     if second is None:
         found = windows_of(first, size)
-        out = hits(plain, found, rarity(docs, found) if found else {})
+        out = hits(plain, found, rarity(docs, found) if len(found.first) else {})
     else:
         keyed, tables = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), []
         for rows in chain([first, second], parts):
             found = windows_of(rows, size)
             tables.append(written(hits(keyed, found, rarity(docs, found)).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "digest"]), "hits")[0])
         merged = reduce(DataFrame.unionByName, tables).groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        rest = hits(keyed, [], {}).select("doc_id", "digest", "n_words")
-        out = rest.join(merged, ["doc_id", "digest"], "left").withColumns({c: F.coalesce(c, F.array().cast(merged.schema[c].dataType)) for c in ("spans", "items")})
+        rest = hits(keyed, windows_of([], size), {}).select("doc_id", "digest", "n_words")
+        same = rest["doc_id"].eqNullSafe(merged["doc_id"]) & (rest["digest"] == merged["digest"])
+        out = rest.join(merged, same, "left").select(rest["doc_id"], "n_words", "spans", "items").withColumns({c: F.coalesce(c, F.array().cast(merged.schema[c].dataType)) for c in ("spans", "items")})
     out = out.select("doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
