@@ -315,4 +315,15 @@ def brute_force(texts: dict, items: dict, size: int = SIZE) -> dict:
 
 
 QUERIES = {"op2_decontaminate": op2_decontaminate}
-ORACLES: dict[str, str] = {}
+_SPLIT = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES = {
+    "op2_decontaminate": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT} AS w FROM documents),
+  i AS (SELECT CAST(item_id AS VARCHAR) AS item, v, least(13, len(v)) AS n FROM (SELECT item_id, {_SPLIT} AS v FROM benchmark) WHERE len(v) > 0),
+  s AS (SELECT DISTINCT item, n, array_to_string(v[p : p + n - 1], ' ') AS k FROM (SELECT item, n, v, unnest(range(1, len(v) - n + 2)) AS p FROM i)),
+  x AS (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i))),
+  h AS (SELECT r, p, x.n, item FROM x JOIN s ON x.k = s.k AND x.n = s.n),
+  c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM h)) GROUP BY r),
+  g AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+  FROM d LEFT JOIN c USING (r) LEFT JOIN g USING (r)"""
+}

@@ -74,15 +74,25 @@ def page_record(page_id, url: str | None, payload: bytes, length: int, sha: str,
 def archive(pages: DataFrame, folder: str, *, least: int = 0, level: int = 1) -> DataFrame:
     """Writes the pages' records into shards below ``folder``; the (shard, records) written, as a table."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    numbered = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row"))
-    ids = numbered.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n"), "row").filter(F.col("n") >= least)
+    ids = pages.select("page_id", "url", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n")).filter(F.col("n") >= least)
+    # of a page's rows of one payload the least url is first; rows that are equal in all are counted
+    urls = ids.groupBy("page_id", "sha", "url").agg(F.count("*").alias("copies"))
+    own = urls.groupBy("page_id", "sha").agg(F.min(F.struct("url", "copies")).alias("least"))
     # digests of hot payloads are joined with one row each; the join may be split where they gather
-    firsts = ids.groupBy("sha").agg(F.min("page_id").alias("first"))
-    refs = ids.groupBy("page_id", "sha").agg(F.min("row").alias("first_row")).join(firsts, "sha").withColumnsRenamed({"page_id": "page", "sha": "digest"})
-    marked = numbered.withColumn("sha", F.sha1(payload))
-    one = (F.col("page_id") == F.col("first")) & (F.col("row") == F.col("first_row"))
-    refers_to = F.when(F.col("first").isNotNull() & ~F.coalesce(one, F.lit(False)), F.col("first"))
-    joined = marked.join(refs, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("sha") == F.col("digest")), "left").select("page_id", "url", "html", refers_to.alias("refers_to"))
+    firsts = own.groupBy("sha").agg(F.min("page_id").alias("first"))
+    refs, _ = written(own.join(firsts, "sha").select(F.col("page_id").alias("page"), F.col("sha").alias("digest"), "first", F.col("least.url").alias("first_url"), F.col("least.copies").alias("copies")), "refs")
+    marked = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha"))
+    joined = marked.join(refs, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("sha") == F.col("digest")), "left")
+    one = F.coalesce((F.col("page_id") == F.col("first")) & F.col("url").eqNullSafe(F.col("first_url")), F.lit(False))
+    joined = joined.withColumn("one", one).withColumn("refers_to", F.when(~F.col("one"), F.col("first")))
+    columns = ["page_id", "url", "html", "refers_to"]
+    if refs.filter((F.col("page") == F.col("first")) & (F.col("copies") > 1)).isEmpty():
+        joined = joined.select(columns)
+    else:
+        # rows equal in all are made anew from one of them: a response and its revisits
+        several = F.col("one") & (F.col("copies") > 1)
+        again = joined.filter(several).dropDuplicates(["page_id", "sha", "url"]).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("refers_to", F.when(F.col("turn") > 1, F.col("first")))
+        joined = joined.filter(~several).select(columns).unionByName(again.repartition("page_id", "turn").select(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(folder)
@@ -294,4 +304,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_warc": op8_warc}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_warc": """WITH p AS (SELECT page_id, row_number() OVER (PARTITION BY page_id, html) AS copy, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+  q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+  SELECT page_id, octet_length(b) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(j // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) // CAST(pow(32, 3 - j % 4) AS INTEGER)) % 32 + 1 AS INTEGER), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first AND copy = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first AND copy = 1 THEN NULL ELSE first END AS refers_to FROM q"""
+}
