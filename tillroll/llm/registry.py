@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = [
     "op01_licenses", "op02_decontaminate", "op03_language", "op04_spans", "op05_bytebpe",
-    "op06_chat", "op07_media", "op08_warc", "op09_probminhash", "op10_extract", "op12_importance", "op13_alignment",
+    "op06_chat", "op07_media", "op08_warc", "op09_probminhash", "op10_extract", "op11_jaccard", "op12_importance", "op13_alignment",
 ]
 
 

@@ -1,7 +1,8 @@
 """Words of many texts at once, as 64-bit hashes in NumPy arrays.
 
 A word is a maximal run of ASCII digits, ASCII letters (lower-cased) and bytes from 0x80, i.e. of
-``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z, read on the UTF-8 bytes.
+``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z, read on the UTF-8 bytes.  With other ``letters`` it is a
+maximal run of those.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ LOWER[65:91] += 32
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[65:91] = True
 IS_WORD[128:] = True
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)[LOWER]
-_BYTE[~IS_WORD] = 0
+_EVERY = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)[LOWER]
+#: Bytes of words that end at ASCII white space only, ``[^\\x20\\x09-\\x0D]``.
+NOT_SPACE = np.ones(256, dtype=bool)
+NOT_SPACE[[32, *range(9, 14)]] = False
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWER = np.cumprod(np.full(256, np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)
 
@@ -60,16 +63,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array) -> Words:
+def words(column: pa.Array, letters: np.ndarray = IS_WORD) -> Words:
     data, offsets = utf8(column)
+    values = np.where(letters, _EVERY, np.uint64(0))
     begins, ends, hashes = [], [], []
     low = 0
     while low < len(data):
         high = min(len(data), low + _CHUNK)
-        while high < len(data) and IS_WORD[data[high]]:
+        while high < len(data) and letters[data[high]]:
             high += 1
         part = data[low:high]
-        inside = IS_WORD[part]
+        inside = letters[part]
         edge = np.zeros(len(part) + 1, dtype=bool)
         inner = offsets[(offsets >= low) & (offsets < high)] - low
         edge[inner] = True
@@ -81,7 +85,7 @@ def words(column: pa.Array) -> Words:
         if len(begin):
             number = np.cumsum(first, dtype=np.int32) - 1
             place = np.arange(len(part), dtype=np.int32) - begin.astype(np.int32)[np.maximum(number, 0)]
-            value = _BYTE[part] * _POWER[place & 255]
+            value = values[part] * _POWER[place & 255]
             hashes.append(mix(np.add.reduceat(value, begin)))
             begins.append(begin + low)
             ends.append(np.flatnonzero(last) + 1 + low)
