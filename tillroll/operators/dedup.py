@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators.state import ordered_fold
+from tillroll.sources.scratch import kept
 
 MINUTES, DAYS = 15, 1
 
@@ -20,7 +23,7 @@ def _rule(new: str, old: str) -> Column:
     return (
         F.when(shared.isNotNull(), F.concat(F.lit("reference:"), shared))
         .when(~a("member_id").eqNullSafe(b("member_id")), None)
-        .when(differs(a("merchant_code"), b("merchant_code")), None)
+        .when(differs(F.nullif(a("merchant_code"), F.lit("")), F.nullif(b("merchant_code"), F.lit(""))), None)
         .when(F.coalesce(F.abs(F.datediff(a("receipt_date"), b("receipt_date"))) > DAYS, F.lit(False)), None)
         .when(F.coalesce(F.abs(a("receipt_time_s") - b("receipt_time_s")) > MINUTES * 60, F.lit(False)), None)
         .otherwise("same purchase")
@@ -54,57 +57,103 @@ def match_against_ledger(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     return incoming.select("id").join(best, "id", "left").select("id", F.col("b").isNotNull().alias("is_duplicate"), F.coalesce("b.reason", F.lit("none")).alias("reason"), F.col("b.existing_id").alias("existing_id"))
 
 
-def _duplicate(new: dict, old: dict) -> bool:
-    codes = {c.lower() for c in old["reference_codes"]}
-    if any(c.lower() in codes for c in new["reference_codes"]):
-        return True
-    if new["member_id"] != old["member_id"]:
-        return False
-    if new["merchant_code"] and old["merchant_code"] and new["merchant_code"] != old["merchant_code"]:
-        return False
-    if new["date"] is not None and old["date"] is not None and abs(new["date"] - old["date"]) > DAYS:
-        return False
-    known = new["receipt_time_s"] is not None and old["receipt_time_s"] is not None
-    return not (known and abs(new["receipt_time_s"] - old["receipt_time_s"]) > MINUTES * 60)
-
+#: Entries (receipts, their hubs and neighbouring hubs) that one task decides in order; more are decided in rounds.
+FEW = 1 << 19
 
-def _neighbours(rows: DataFrame, key: str) -> DataFrame:
-    """The id of each row that has another one of its ``key`` (nulls alike) within a cent."""
-    order = Window.partitionBy("tenant_id", key).orderBy("cents")
-    within = lambda other: F.coalesce(F.abs(F.col("cents") - other("cents").over(order)) <= 1, F.lit(False))
-    return rows.withColumn("near", within(F.lag) | within(F.lead)).filter("near").select("id")
 
+def _hubs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, hub, live) of the hubs that receipts lie in, and (hub, other) of the hubs whose receipts match; live ones may be kept.
 
-def replay_dedup(rows: DataFrame) -> DataFrame:
+    A hub is a set of receipts that all match each other: those of one tenant, amount and reference code, and those of one tenant, amount,
+    member, merchant, date and time.  So at most one receipt of a hub is ever kept, whatever their number.
+    """
+    text = lambda *names: F.concat_ws("\1", *(F.coalesce(F.col(c).cast("string"), F.lit("\2")) for c in names))
+    sound = rows.filter("id IS NOT NULL AND cents IS NOT NULL")
+    codes = _by_code(sound.select("id", "tenant_id", "cents", "reference_codes", "status")).withColumn("hub", text("tenant_id", "cents", "code"))
+    same = ["tenant_id", "cents", "member_id", "merchant_code", "receipt_date", "receipt_time_s"]
+    bought = sound.select("id", "status", *same).withColumn("hub", text(*same))
+    live = F.coalesce(F.col("status") != "REJECTED", F.lit(True)).alias("live")
+    held = codes.select("id", F.concat(F.lit("c"), "hub").alias("hub"), live).unionByName(bought.select("id", F.concat(F.lit("b"), "hub").alias("hub"), live))
+
+    # hubs of one receipt that no other one is near fall out here, before rounds begin
+    code_hubs = codes.select("tenant_id", "code", "cents", F.concat(F.lit("c"), "hub").alias("hub")).distinct()
+    near_codes = _within_a_cent(code_hubs, ["tenant_id", "code"]).select(F.col("n.hub").alias("hub"), F.col("o.hub").alias("other"))
+    buy_hubs = bought.select(*same, F.concat(F.lit("b"), "hub").alias("hub"), F.array().cast("array<string>").alias("reference_codes")).distinct()
+    near_buys = _within_a_cent(buy_hubs, ["tenant_id", "member_id"]).filter(_rule("n", "o").isNotNull()).select(F.col("n.hub").alias("hub"), F.col("o.hub").alias("other"))
+    return held, near_codes.unionByName(near_buys)
+
+
+def _within_a_cent(hubs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (n, o) of hubs of the same ``keys`` (nulls alike) whose amounts are at most a cent apart."""
+    new = hubs.withColumn("near", F.explode(F.array(F.col("cents") - 1, F.col("cents"), F.col("cents") + 1)))
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    return new.alias("n").join(hubs.alias("o"), [F.col("n.near") == F.col("o.cents"), *same])
+
+
+def _decide_in_order(rest: DataFrame) -> DataFrame:
+    """(id, accepted) of the receipts of ``rest`` (id, live, hubs, others), one after the other in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: set[str] = set()
+        for batch in batches:
+            accepted = []
+            for live, hubs, others in zip(batch["live"], batch["hubs"], batch["others"], strict=True):
+                accepted.append(taken.isdisjoint(others))
+                if accepted[-1] and live:
+                    taken.update(hubs)
+            yield pd.DataFrame({"id": batch["id"], "accepted": accepted})
+
+    return rest.repartition(1).sortWithinPartitions("id").mapInPandas(run, "id bigint, accepted boolean")
+
+
+def replay_dedup(rows: DataFrame, *, few: int = FEW) -> DataFrame:
     """D-01b: (id, accepted, existing_id) when rows arrive in the order of id and only accepted ones are kept.
 
-    A row that has no other row of its member or of one of its codes within a cent neither is a duplicate nor
-    has one, and is accepted at once.  The others meet inside one tenant and one island of amounts (neighbouring
-    amounts at most a cent apart); islands come from distinct amounts of these rows, and each is replayed in
-    one task, because the rule is sequential there.  Kept rows are looked up by code and by member.
+    An ordered greedy independent set: in each round a receipt falls if a kept one before it matches, and is accepted
+    if no undecided one before it does.  Rounds see hubs (see :func:`_hubs`) with their first kept and first undecided
+    receipt, never pairs of receipts, so a round is a few joins and aggregates that combine before the shuffle.  When at most
+    ``few`` entries are left, one task decides them in order; a chain of receipts that each wait for the one before
+    is the case that takes many rounds otherwise.
+
+    Null tenants, members, merchants, dates and times are values like others here, as far as the rule lets them.  Rows without
+    id or amount match nothing and are accepted; different rows of one id are one receipt.  Of several kept ones an AWARDED one wins, else
+    the least id.
     """
-    near = _neighbours(rows.select("id", "tenant_id", "cents", "member_id"), "member_id").unionByName(_neighbours(_by_code(rows).select("id", "tenant_id", "cents", "code"), "code")).distinct()
-    alone = rows.join(near, "id", "left_anti").select("id", F.lit(True).alias("accepted"), F.lit(None).cast("bigint").alias("existing_id"))
-    rows = rows.join(near, "id", "left_semi")
-    order = Window.partitionBy("tenant_id").orderBy("cents")
-    starts = rows.select("tenant_id", "cents").distinct().withColumn("start", (F.coalesce(F.col("cents") - F.lag("cents").over(order), F.lit(2)) > 1).cast("int"))
-    islands = starts.withColumn("island", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("tenant_id", "cents", "island")
-    ready = rows.join(islands, ["tenant_id", "cents"]).select("tenant_id", "island", "id", "total_amount", "cents", "member_id", "merchant_code", F.unix_date("receipt_date").alias("date"), "receipt_time_s", F.coalesce("reference_codes", F.array().cast("array<string>")).alias("reference_codes"), "status")
-
-    def step(kept: dict, row: dict) -> tuple:
-        row["reference_codes"] = list(row["reference_codes"])
-        row = {k: None if isinstance(v, float) and v != v else v for k, v in row.items()}
-        held = [("member", row["member_id"]), *(("code", c.lower()) for c in row["reference_codes"])]
-        close = [o for key in held for cents in (-1, 0, 1) for o in kept.get((*key, row["cents"] + cents), ())]
-        found = [o for o in close if abs(o["total_amount"] - row["total_amount"]) <= 0.01 + 1e-9 and _duplicate(row, o)]
-        best = min(found, key=lambda o: (o["status"] != "AWARDED", o["id"]), default=None)
-        if best is None and row["status"] != "REJECTED":
-            for key in held:
-                kept.setdefault((*key, row["cents"]), []).append(row)
-        return row["id"], best is None, best and best["id"]
-
-    grouped = ready.withColumn("group", F.concat_ws(":", "tenant_id", "island")).drop("tenant_id", "island")
-    return alone.unionByName(ordered_fold(grouped, "group", ["id"], dict, step, "id bigint, accepted boolean, existing_id bigint"))
+    held, near = (kept(x, n) for x, n in zip(_hubs(rows), ("hubs", "near"), strict=True))
+    crowded = held.groupBy("hub").agg((F.max("id") > F.min("id")).alias("many"))
+    linked = near.join(crowded, "hub").filter("many OR hub <> other").select("hub").distinct()
+    mine = kept(held.join(linked, "hub"), "held")
+    near = kept(near.join(linked, "hub", "left_semi").join(linked.withColumnRenamed("hub", "other"), "other", "left_semi"), "near")
+    state = mine.groupBy("id").agg(F.max("live").alias("live"), F.lit("open").alias("state"))
+
+    while True:
+        placed = mine.select("id", "hub").join(state, "id")
+        first = lambda s: F.min(F.when(F.col("live") & (F.col("state") == s), F.col("id")))
+        hubs = placed.filter("state <> 'out'").groupBy("hub").agg(first("in").alias("kept"), first("open").alias("open"))
+        seen = near.join(hubs.withColumnRenamed("hub", "other"), "other").groupBy("hub").agg(F.min("kept").alias("kept"), F.min("open").alias("open"))
+        told = placed.filter("state = 'open'").join(seen, "hub", "left").groupBy("id").agg(F.min("kept").alias("kept"), F.min("open").alias("open"))
+        signal = state.join(told, "id", "left")
+        before = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
+        moved = F.when(F.col("state") != "open", F.col("state")).when(before("kept"), "out").when(before("open"), "open").otherwise("in")
+        waiting = F.when(F.col("state") != "open", F.col("state")).when(before("kept"), "out").otherwise("open")
+        turn = kept(signal.select("id", "live", moved.alias("state"), waiting.alias("waiting")), "state")
+        open_ids = turn.filter("waiting = 'open'").select("id")
+        if turn.filter("state = 'open'").isEmpty():
+            state = turn.drop("waiting")
+            break
+        around = mine.join(open_ids, "id", "left_semi").join(near, "hub", "left").groupBy("id", "live").agg(F.collect_set("hub").alias("hubs"), F.collect_set("other").alias("others"))
+        if mine.join(open_ids, "id", "left_semi").join(near, "hub").count() <= few:
+            done = _decide_in_order(around).select("id", F.when(F.col("accepted"), "in").otherwise("out").alias("now"))
+            state = kept(turn.join(done, "id", "left").select("id", "live", F.coalesce("now", "waiting").alias("state")), "state")
+            break
+        state = turn.drop("waiting")
+
+    status = rows.filter("id IS NOT NULL").groupBy("id").agg(F.min((F.col("status") != "AWARDED").cast("int")).alias("later"))
+    winners = mine.join(state.filter("state = 'in' AND live"), "id", "left_semi").join(status, "id").select(F.col("hub").alias("other"), F.struct("later", "id").alias("winner"))
+    fallen = mine.select("id", "hub").join(state.filter("state = 'out'"), "id", "left_semi")
+    found = fallen.join(near.join(winners, "other"), "hub").filter("winner.id < id").groupBy("id").agg(F.min("winner").alias("winner"))
+    decided = found.select("id", F.col("winner.id").alias("existing_id"))
+    return rows.select("id").join(decided, "id", "left").select("id", F.col("existing_id").isNull().alias("accepted"), "existing_id")
 
 
 def fingerprint(receipts: DataFrame) -> DataFrame:

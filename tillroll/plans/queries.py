@@ -143,6 +143,19 @@ def dedup_confusion(s: SparkSession, p: str) -> DataFrame:
     return evaluate.dedup_confusion(dedup.replay_dedup(rows), rows.select("id", purchase.alias("purchase")))
 
 
+#: The replay in rounds over all pairs: a receipt is out if a kept one before it matches, in if none before it is open.
+_REPLAY = f"""WITH RECURSIVE {R}, {I}, a AS MATERIALIZED (SELECT * FROM receipts UNION ALL SELECT * FROM incoming),
+p AS MATERIALIZED (SELECT n.id AS n, o.id AS o, o.status <> 'AWARDED' AS later FROM (SELECT *, cents + unnest([-1, 0, 1]) AS near FROM a) n JOIN a o ON n.near = o.cents AND n.tenant_id IS NOT DISTINCT FROM o.tenant_id
+  WHERE o.id < n.id AND o.status <> 'REJECTED' AND (len(list_intersect(n.reference_codes, o.reference_codes)) > 0 OR n.member_id IS NOT DISTINCT FROM o.member_id AND NOT coalesce(n.merchant_code <> o.merchant_code, false)
+    AND NOT coalesce(abs(date_diff('day', n.receipt_date, o.receipt_date)) > 1, false) AND NOT coalesce(abs(n.receipt_time_s - o.receipt_time_s) > 900, false))),
+s AS (SELECT id, 0 AS turn, 'open' AS st FROM a
+  UNION ALL SELECT id, turn + 1, CASE WHEN st <> 'open' THEN st WHEN fell THEN 'out' WHEN waits THEN 'open' ELSE 'in' END
+  FROM (SELECT x.id, x.turn, x.st, coalesce(bool_or(y.st = 'in'), false) AS fell, coalesce(bool_or(y.st = 'open'), false) AS waits FROM s x LEFT JOIN p ON p.n = x.id LEFT JOIN s y ON y.id = p.o GROUP BY x.id, x.turn, x.st)
+  WHERE (SELECT bool_or(st = 'open') FROM s)),
+e AS (SELECT id, st FROM s WHERE turn = (SELECT max(turn) FROM s)),
+r AS (SELECT e.id, e.st = 'in' AS accepted, arg_min(k.id, struct_pack(later := p.later, id := k.id)) FILTER (k.st = 'in' AND e.st = 'out') AS existing_id FROM e LEFT JOIN p ON p.n = e.id LEFT JOIN e k ON k.id = p.o GROUP BY e.id, e.st) """
+
+
 def rate_limit(s: SparkSession, p: str) -> DataFrame:
     return state.rate_limit(d.hits(s, p), limit=1).select("event_id", "key", "count", "allowed", "retry_after")
 
@@ -287,6 +300,10 @@ ORACLES = {
     "normalize_phone": f"""WITH {M}, x AS (SELECT id, regexp_replace(phone, '[^0-9]', '', 'g') AS p FROM members), y AS (SELECT id, CASE WHEN p LIKE '66%' THEN '0' || regexp_replace(substr(p, 3), '^0', '') ELSE p END AS p FROM x)
       SELECT id, CASE WHEN regexp_full_match(p, '0[689][0-9]{{8}}') THEN p END AS phone FROM y""",
     "dup_vs_ledger": _DUP,
+    "dedup_replay": _REPLAY + "SELECT id, accepted, existing_id FROM r",
+    "dedup_confusion": _REPLAY + """, t AS (SELECT id, accepted, CASE WHEN id >= 2000000000 THEN id WHEN id >= 1000000000 THEN id - 1000000000 ELSE id END AS purchase FROM r),
+      u AS (SELECT *, coalesce(id > min(id) FILTER (accepted) OVER (PARTITION BY purchase), false) AS again FROM t)
+      SELECT count(*) FILTER (again AND NOT accepted) AS caught, count(*) FILTER (again AND accepted) AS missed, count(*) FILTER (NOT again AND NOT accepted) AS over_blocked FROM u""",
     "rate_limit": _FOLD.format(w=600) + "SELECT event_id, key, n AS count, n <= 1 AS allowed, CASE WHEN n <= 1 THEN CAST(0 AS BIGINT) ELSE start + 600 - t END AS retry_after FROM f",
     "first_claim": _FOLD.format(w=300) + "SELECT event_id, key, holder AS claimed_by, holder = event_id AS is_first FROM f",
     "job_status": f"""SELECT key, state, ts FROM (SELECT user_id AS key, event_type AS state, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
