@@ -252,34 +252,47 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda a: a.n)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, share: int = 20, block: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per document row: n_words, n_hit, items (ids of the items with occurring windows, sorted as
     strings) and ``contaminated`` (some word is hit, and hit words * ``share`` reach n_words).
     """
+    return _judged(docs, benchmark, F.lit(None), **options).drop("digest")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, digest: Column, *, size: int = SIZE, share: int = 20, block: int = BLOCK) -> DataFrame:
+    """:func:`decontaminate` with a ``digest`` of each text, which may be null where one block of the benchmark suffices."""
     parts = blocks(benchmark, block)
     first, second = next(parts), next(parts, None)
-    plain = docs.withColumn("digest", F.lit(None).cast("string"))
+    plain = docs.withColumn("digest", digest.cast("string"))
     if second is None:
         found = windows_of(first, size)
         out = hits(plain, found, rarity(docs, found) if len(found.first) else {})
     else:
-        keyed, tables = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), []
+        keyed, tables = docs.withColumn("digest", _digest()), []
         for rows in chain([first, second], parts):
             found = windows_of(rows, size)
             tables.append(written(hits(keyed, found, rarity(docs, found)).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "digest"]), "hits")[0])
         merged = reduce(DataFrame.unionByName, tables).groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         rest = hits(keyed, windows_of([], size), {}).select("doc_id", "digest", "n_words")
         same = rest["doc_id"].eqNullSafe(merged["doc_id"]) & (rest["digest"] == merged["digest"])
-        out = rest.join(merged, same, "left").select(rest["doc_id"], "n_words", "spans", "items").withColumns({c: F.coalesce(c, F.array().cast(merged.schema[c].dataType)) for c in ("spans", "items")})
-    out = out.select("doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "items")
+        out = rest.join(merged, same, "left").select(rest["doc_id"], rest["digest"], "n_words", "spans", "items").withColumns({c: F.coalesce(c, F.array().cast(merged.schema[c].dataType)) for c in ("spans", "items")})
+    out = out.select("doc_id", "digest", "n_words", _covered(F.col("spans")).alias("n_hit"), "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
+def _digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without contaminated rows: few ids are joined, the texts stay in place where Spark
-    finds them few enough to broadcast.  Rows of one doc_id go together; null doc_ids stay."""
-    bad = decontaminate(docs, benchmark, **options).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """``docs`` without contaminated rows: few keys are joined, the texts stay in place where Spark
+    finds them few enough to broadcast.  Rows go by doc_id (nulls alike) and text, so of different texts of one doc_id
+    only the contaminated ones go, and all rows of a contaminated text under one doc_id."""
+    bad = _judged(docs.select("doc_id", "text"), benchmark, _digest(), **options).filter("contaminated").select(F.col("doc_id").alias("bad_id"), "digest").distinct()
+    # the digest's name must not clash with a column of docs
+    name = "_" * (max(map(len, docs.columns)) + 1)
+    keyed = docs.withColumn(name, _digest())
+    return keyed.join(bad, (keyed[name] == bad["digest"]) & keyed["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti").drop(name)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
