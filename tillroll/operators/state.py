@@ -1,71 +1,38 @@
 """Keyed, expiring state over logs: rate limits, claims, job status, one-time codes, circuit breakers.
 
-The folds need each key's rows in order.  Rows are dealt by key and sorted inside the partitions, and a fold
-streams through them with the state of one key at a time, so a hot key needs no more memory than others.
+Rate limits, claims, codes and breakers are machines of a few states (:mod:`tillroll.operators.machine`), whose folds are split over tasks
+inside a key.  In all of them a null key is a key like others, and a row without a time or an event_id has null results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], tuple], schema: str) -> DataFrame:
-    """Applies ``step(state, row) -> output row`` along the rows of each key; ``start`` makes a new state."""
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: object = object()
-        state: dict = {}
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                if row[key] != held:
-                    held, state = row[key], start()
-                out.append(step(state, row))
-            frame = pd.DataFrame(out, columns=names)
-            for part in schema.split(", "):
-                if part.endswith(" bigint"):
-                    frame[part.split()[0]] = frame[part.split()[0]].astype("Int64")
-            yield frame
-
-    dealt = df.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
-    return dealt.mapInPandas(run, schema)
+from tillroll.operators.machine import HOLD, PIECE, Machine, fold
 
 
 def _seconds(name: str) -> Column:
     return F.unix_seconds(F.col(name).cast("timestamp"))
 
 
-def rate_limit(hits: DataFrame, *, limit: int = 5, window_s: int = 600) -> DataFrame:
-    """T-01: (event_id, key, count, allowed, retry_after).  A window begins at the first hit, isn't aligned and
-    isn't extended; denied hits count too.  ``hits``: event_id, key, ts."""
+def _windows(hits: DataFrame, length_s: int, piece: int) -> DataFrame:
+    """Windows that a hit outside of any other opens and later hits don't extend: one state, and every hit seen begins a hold."""
+    timed = hits.select("event_id", "key", _seconds("ts").alias("t"), F.lit(0).alias("kind"))
+    return fold(timed, ["key"], Machine(((HOLD,),), length_s), piece=piece)
 
-    def step(state: dict, row: dict) -> tuple:
-        now = row["t"]
-        if not state or now >= state["from"] + window_s:
-            state.update({"from": now, "n": 0})
-        state["n"] += 1
-        allowed = state["n"] <= limit
-        return row["event_id"], row["key"], state["n"], allowed, 0 if allowed else int(state["from"] + window_s - now)
 
-    timed = hits.select("event_id", "key", _seconds("ts").alias("t"))
-    return ordered_fold(timed, "key", ["t", "event_id"], dict, step, "event_id bigint, key bigint, count bigint, allowed boolean, retry_after bigint")
+def rate_limit(hits: DataFrame, *, limit: int = 5, window_s: int = 600, piece: int = PIECE) -> DataFrame:
+    """T-01: (event_id, key, count, allowed, retry_after).  A window begins at the first hit, isn't aligned and
+    isn't extended; denied hits count too.  ``hits``: event_id, key, ts."""
+    allowed = F.col("since") <= limit
+    retry = F.when(allowed, F.lit(0).cast("bigint")).otherwise(F.col("holder_t") + window_s - F.col("t"))
+    return _windows(hits, window_s, piece).select("event_id", "key", F.col("since").alias("count"), allowed.alias("allowed"), F.when(allowed.isNotNull(), retry).alias("retry_after"))
 
 
-def first_claim(hits: DataFrame, *, ttl_s: int = 300) -> DataFrame:
+def first_claim(hits: DataFrame, *, ttl_s: int = 300, piece: int = PIECE) -> DataFrame:
     """T-02: (event_id, key, claimed_by, is_first): the first claim in a window wins; the window isn't extended."""
-
-    def step(state: dict, row: dict) -> tuple:
-        if not state or row["t"] >= state["from"] + ttl_s:
-            state.update({"from": row["t"], "by": row["event_id"]})
-        return row["event_id"], row["key"], state["by"], state["by"] == row["event_id"]
-
-    timed = hits.select("event_id", "key", _seconds("ts").alias("t"))
-    return ordered_fold(timed, "key", ["t", "event_id"], dict, step, "event_id bigint, key bigint, claimed_by bigint, is_first boolean")
+    return _windows(hits, ttl_s, piece).select("event_id", "key", F.col("holder").alias("claimed_by"), (F.col("holder") == F.col("event_id")).alias("is_first"))
 
 
 def job_status(events: DataFrame, as_of: str, ttl_s: int = 3600) -> DataFrame:
@@ -74,61 +41,43 @@ def job_status(events: DataFrame, as_of: str, ttl_s: int = 3600) -> DataFrame:
     return last.filter(_seconds("ts") + ttl_s > F.unix_seconds(F.lit(as_of).cast("timestamp")))
 
 
-def otp_attempts(attempts: DataFrame, *, limit: int = 5, ttl_s: int = 300) -> DataFrame:
+def otp_attempts(attempts: DataFrame, *, limit: int = 5, ttl_s: int = 300, piece: int = PIECE) -> DataFrame:
     """T-04: (event_id, key, outcome) of tries at a code that was issued at ``issued``.
 
     Order of tests: expired, counted (over the limit: locked and cleared), matching (cleared) or
-    wrong.  ``attempts``: event_id, key, ts, issued, good.  A cleared code is expired afterwards.
+    wrong.  ``attempts``: event_id, key, ts, issued, good.  A cleared code is expired afterwards.  The tries of one code are
+    a fold of their own; the counter lives as long as the code, as no try counts that comes later.  A null
+    ``good`` is a wrong try, a code without a time of issue has expired.
     """
+    timed = attempts.select("event_id", "key", _seconds("ts").alias("t"), _seconds("issued").alias("issued_s"), F.coalesce("good", F.lit(False)).alias("good"))
+    dead = F.coalesce(F.col("t") >= F.col("issued_s") + ttl_s, F.lit(True))
+    timed = timed.withColumn("kind", F.when(dead, 2).when(F.col("good"), 1).otherwise(0))
+    gone = limit + 1
+    counted = tuple((min(n + 1, limit) if n < limit else gone, gone, n) for n in range(limit + 1))
+    rows = fold(timed, ["key", "issued_s"], Machine((*counted, (gone, gone, gone))), piece=piece)
+    outcome = F.when((F.col("state") == gone) | (F.col("kind") == 2), "expired").when(F.col("state") == limit, "locked").when(F.col("kind") == 1, "verified").otherwise("wrong")
+    return rows.select("event_id", "key", F.when(F.col("seen"), outcome).alias("outcome"))
+
+
+def breaker_machine(failures: int, open_s: int) -> Machine:
+    """States: 0 to failures - 1 consecutive failures while closed, then half-open.  Inputs: ok, retryable, rejected."""
+    closed = tuple((0, n + 1 if n + 1 < failures else HOLD, n) for n in range(failures))
+    return Machine((*closed, (0, HOLD, failures)), open_s, failures)
 
-    def step(state: dict, row: dict) -> tuple:
-        if row["issued_s"] != state.get("code"):
-            state.clear()
-            state["code"] = row["issued_s"]
-        now = row["t"]
-        if state.get("gone") or now >= row["issued_s"] + ttl_s:
-            return row["event_id"], row["key"], "expired"
-        if "from" not in state or now >= state["from"] + ttl_s:
-            state.update({"from": now, "n": 0})
-        state["n"] += 1
-        if state["n"] > limit:
-            state["gone"] = True
-            return row["event_id"], row["key"], "locked"
-        if row["good"]:
-            state["gone"] = True
-            return row["event_id"], row["key"], "verified"
-        return row["event_id"], row["key"], "wrong"
-
-    timed = attempts.select("event_id", "key", "good", _seconds("ts").alias("t"), _seconds("issued").alias("issued_s"))
-    return ordered_fold(timed, "key", ["t", "event_id"], dict, step, "event_id bigint, key bigint, outcome string")
-
-
-def circuit_breaker(calls: DataFrame, *, failures: int = 5, open_s: int = 30) -> DataFrame:
-    """T-05, T-06: (event_id, key, admitted, state) of calls to a service.
-
-    ``calls``: event_id, key, ts, outcome (ok, retryable, rejected).  Consecutive retryable failures
+
+def circuit_breaker(calls: DataFrame, *, failures: int = 5, open_s: int = 30, piece: int = PIECE) -> DataFrame:
+    """T-05, T-06: (event_id, key, admitted, state) of calls to a service; ``state`` is that after the call.
+
+    ``calls``: event_id, key, ts, outcome (ok, retryable, rejected; others and null count as rejected).  Consecutive retryable failures
     open the breaker; after ``open_s`` one call is let through half-open; success closes it, a failure
     there reopens it.  Rejected calls neither count nor reset.  A call is one that retries have ended on.
     """
-
-    def start() -> dict:
-        return {"state": "closed", "n": 0, "at": 0}
-
-    def step(state: dict, row: dict) -> tuple:
-        if state["state"] == "open":
-            if row["t"] - state["at"] < open_s:
-                return row["event_id"], row["key"], False, "open"
-            state["state"] = "half_open"
-        if row["outcome"] == "ok":
-            state.update(state="closed", n=0)
-        elif row["outcome"] == "retryable":
-            state["n"] += 1
-            if state["state"] == "half_open" or state["n"] >= failures:
-                state.update(state="open", at=row["t"])
-        return row["event_id"], row["key"], True, state["state"]
-
-    timed = calls.select("event_id", "key", "outcome", _seconds("ts").alias("t"))
-    return ordered_fold(timed, "key", ["t", "event_id"], start, step, "event_id bigint, key bigint, admitted boolean, state string")
+    kind = F.when(F.col("outcome") == "ok", 0).when(F.col("outcome") == "retryable", 1).otherwise(2)
+    rows = fold(calls.select("event_id", "key", _seconds("ts").alias("t"), kind.alias("kind")), ["key"], breaker_machine(failures, open_s), piece=piece)
+    half = F.col("state") == failures
+    opens = (F.col("kind") == 1) & (half | (F.col("state") == failures - 1))
+    after = F.when(opens, "open").when(half & (F.col("kind") == 2), "half_open").otherwise("closed")
+    return rows.select("event_id", "key", F.col("seen").alias("admitted"), F.when(F.col("seen"), after).when(~F.col("seen"), "open").alias("state"))
 
 
 def backoff_delay(attempt: Column, base: float = 0.5, multiplier: float = 2.0, most: float = 8.0) -> Column:

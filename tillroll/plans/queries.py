@@ -167,7 +167,7 @@ def first_claim(s: SparkSession, p: str) -> DataFrame:
 _FOLD = """WITH RECURSIVE e AS (SELECT event_id, user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
 f AS (SELECT event_id, key, t, k, t AS start, CAST(1 AS BIGINT) AS n, event_id AS holder FROM e WHERE k = 1
   UNION ALL SELECT e.event_id, e.key, e.t, e.k, CASE WHEN e.t >= f.start + {w} THEN e.t ELSE f.start END, CASE WHEN e.t >= f.start + {w} THEN 1 ELSE f.n + 1 END,
-  CASE WHEN e.t >= f.start + {w} THEN e.event_id ELSE f.holder END FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1) """
+  CASE WHEN e.t >= f.start + {w} THEN e.event_id ELSE f.holder END FROM f JOIN e ON e.key IS NOT DISTINCT FROM f.key AND e.k = f.k + 1) """
 
 
 def job_status(s: SparkSession, p: str) -> DataFrame:
@@ -317,17 +317,17 @@ ORACLES = {
       count(*) FILTER (id % 6 <> 0 AND id % 4 <> 0) AS with_reference, count(*) FILTER (id % 9 <> 0 AND merchant_code IS NOT NULL) AS merchants FROM receipts""",
     "item_accuracy": """WITH o AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (l_orderkey % 7 = 0 AND l_linenumber >= 3) AS gone, count(*) FILTER (l_linenumber % 3 <> 0 AND (l_orderkey % 7 <> 0 OR l_linenumber < 3)) AS seen FROM lineitem GROUP BY l_orderkey)
       SELECT CAST(k AS VARCHAR) AS name, gone = 0 AS same_count, CAST(n AS INTEGER) AS expected, seen AS similar FROM o WHERE gone < n""",
-    "otp_attempts": """WITH e AS (SELECT event_id, user_id AS key, event_id % 7 = 0 AS good, date_trunc('day', ts) AS d, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY floor(epoch(ts)), event_id) AS i FROM events WHERE user_id IS NOT NULL),
+    "otp_attempts": """WITH e AS (SELECT event_id, user_id AS key, event_id % 7 = 0 AS good, date_trunc('day', ts) AS d, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
       g AS (SELECT *, coalesce(min(CASE WHEN good THEN i END) OVER (PARTITION BY key, d), 9) AS g FROM e)
       SELECT event_id, key, CASE WHEN i > least(g, 3) THEN 'expired' WHEN i = g AND g <= 2 THEN 'verified' WHEN i = 3 THEN 'locked' ELSE 'wrong' END AS outcome FROM g""",
     "circuit_breaker": """WITH RECURSIVE e AS (SELECT event_id, user_id % 5 AS key, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN event_id % 3 = 0 THEN 'ok' WHEN event_id % 11 = 0 THEN 'rejected' ELSE 'retryable' END AS o,
-        row_number() OVER (PARTITION BY user_id % 5 ORDER BY floor(epoch(ts)), event_id) AS k FROM events WHERE user_id IS NOT NULL),
+        row_number() OVER (PARTITION BY user_id % 5 ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
       f AS (SELECT CAST(NULL AS BIGINT) AS event_id, key, CAST(0 AS BIGINT) AS k, 'closed' AS state, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS at, false AS admitted FROM (SELECT DISTINCT key FROM e)
         UNION ALL SELECT e.event_id, e.key, e.k,
           CASE WHEN f.state = 'open' AND e.t - f.at < 7200 THEN 'open' WHEN o = 'ok' THEN 'closed' WHEN o = 'retryable' AND (f.state <> 'closed' OR f.n >= 4) THEN 'open' WHEN f.state = 'open' THEN 'half_open' ELSE f.state END,
           CASE WHEN f.state = 'open' AND e.t - f.at < 7200 THEN f.n WHEN o = 'ok' THEN 0 WHEN o = 'retryable' THEN f.n + 1 ELSE f.n END,
           CASE WHEN NOT (f.state = 'open' AND e.t - f.at < 7200) AND o = 'retryable' AND (f.state <> 'closed' OR f.n >= 4) THEN e.t ELSE f.at END,
-          NOT (f.state = 'open' AND e.t - f.at < 7200) FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)
+          NOT (f.state = 'open' AND e.t - f.at < 7200) FROM f JOIN e ON e.key IS NOT DISTINCT FROM f.key AND e.k = f.k + 1)
       SELECT event_id, key, admitted, state FROM f WHERE k > 0""",
     "mask_text": """SELECT c_custkey, 'user ' || substr('08' || lpad(CAST(c_custkey AS VARCHAR), 8, '1'), 1, 3) || '*****' || right(lpad(CAST(c_custkey AS VARCHAR), 8, '1'), 2) || ' token=***&x=1 "password": "***" Bearer ***' AS masked,
       'http://a/b' AS url FROM customer""",
