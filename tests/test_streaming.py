@@ -25,13 +25,6 @@ def streamed(spark, batches, build, mode):
     return out
 
 
-def test_rate_limit_stream(spark):
-    first = [(1, 7, "2024-01-01T00:00:00", "x"), (2, 7, "2024-01-01T00:00:10", "x"), (3, 8, "2024-01-01T00:00:10", "x")]
-    later = [(4, 7, "2024-01-01T00:00:20", "x"), (5, 7, "2024-01-01T00:10:00", "x")]
-    got = streamed(spark, [first, later], lambda s: jobs.rate_limit_stream(s.select("event_id", "key", "ts"), limit=2), "append")
-    assert sorted(got) == [(1, 7, 1, True, 0), (2, 7, 2, True, 0), (3, 8, 1, True, 0), (4, 7, 3, False, 580), (5, 7, 1, True, 0)]
-
-
 def test_job_status_stream_forgets(spark):
     batches = [[(1, 1, "2024-01-01T00:00:00", "queued"), (2, 1, "2024-01-01T00:00:05", "running")], [(3, 1, "2024-01-01T00:00:01", "late")], [(4, 2, "2024-01-01T05:00:00", "queued")], [(5, 2, "2024-01-01T05:00:01", "done")]]
     got = [(k, s) for k, s, _ in streamed(spark, batches, lambda s: jobs.job_status_stream(s), "update")]

@@ -39,7 +39,7 @@ PIECE = 1 << 16
 #: over or beginning one; and the number of rows since then, itself included.
 ADDED = "seen boolean, state int, holder bigint, holder_t bigint, since bigint"
 #: A state between rows: ``state`` (HOLD inside a hold) and the hold's row, time and number of rows so far.
-_LINK = "state int, holder bigint, holder_t bigint, since bigint"
+LINK = "state int, holder bigint, holder_t bigint, since bigint"
 
 
 class Machine(NamedTuple):
@@ -50,7 +50,7 @@ class Machine(NamedTuple):
     after_hold: int = 0
 
 
-class _Piece:
+class Piece:
     """A piece's rows as arrays: ``run`` numbers its keys from 0, ``t`` is the time, ``kind`` the input."""
 
     def __init__(self, machine: Machine, run: np.ndarray, t: np.ndarray, kind: np.ndarray, event: np.ndarray):
@@ -94,6 +94,15 @@ class _Piece:
             out.append((to, int(self.event[row]), int(self.t[row]), int(self.ends[self.run[row]]) - row) if hold else (to, None, None, None))
         return out
 
+    def leaving(self, link: tuple) -> tuple:
+        """The link with which the first run is left when it is entered with ``link``."""
+        if link[0] != HOLD:
+            return self.left(np.array([link[0]]))[0]
+        land = self.landing(link[2] + self.machine.hold_s)
+        if land == self.ends[0]:
+            return (*link[:3], link[3] + land)
+        return self.left(np.array([land * self.states + self.machine.after_hold]))[0]
+
     def landing(self, until: int) -> int:
         """The first row of the first run at or behind a time."""
         return int(np.searchsorted(self.t[: self.ends[0]], until, "left"))
@@ -123,7 +132,7 @@ class _Piece:
         return {"seen": seen, "state": state, "inside": inside, "holder": holder, "holder_t": holder_t, "since": since}
 
 
-def _added(x: dict[str, np.ndarray], slice_: slice) -> list[pa.Array]:
+def added_columns(x: dict[str, np.ndarray], slice_: slice) -> list[pa.Array]:
     seen, inside = x["seen"][slice_], x["inside"][slice_]
     masked = lambda name, kind, keep: pa.array(x[name][slice_], kind, mask=~keep)
     return [pa.array(seen), masked("state", pa.int32(), seen), *(masked(c, pa.int64(), inside) for c in ("holder", "holder_t", "since"))]
@@ -153,6 +162,14 @@ def _regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def last_links(rows: DataFrame, keys: list[str], machine: Machine) -> DataFrame:
+    """The state of each key behind its last row of a fold's result: keys, state, holder, holder_t, since."""
+    moves = F.lit([list(m) for m in machine.moves])
+    after = F.when(F.col("x.holder").isNotNull(), F.lit(HOLD)).otherwise(F.element_at(F.element_at(moves, F.col("x.state") + 1), F.col("x.kind") + 1))
+    last = rows.filter("seen IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct("state", "kind", "holder", "holder_t", "since"), F.struct("t", "event_id")).alias("x"))
+    return last.select(*keys, after.alias("state"), *(F.col(f"x.{c}").alias(c) for c in ("holder", "holder_t", "since")))
+
+
 _NAMES = [c.split()[0] for c in ADDED.split(", ")]
 
 
@@ -166,7 +183,7 @@ def fold(df: DataFrame, keys: list[str], machine: Machine, *, piece: int = PIECE
     names = df.columns
     held = [placed.schema[c] for c in names]
     empty = [T.StructField(f.name, f.dataType, True) for f in held]
-    extra = T.StructType.fromDDL("what string, piece bigint, " + ADDED + f", last boolean, length bigint, maps array<struct<{', '.join(c.replace(' ', ':', 1) for c in _LINK.split(', '))}>>, until array<bigint>").fields
+    extra = T.StructType.fromDDL("what string, piece bigint, " + ADDED + f", last boolean, length bigint, maps array<struct<{', '.join(c.replace(' ', ':', 1) for c in LINK.split(', '))}>>, until array<bigint>").fields
     schema = T.StructType([*empty, *extra])
 
     def row_of(batch: pa.RecordBatch, i: int, target: pa.Schema, **values) -> pa.RecordBatch:
@@ -178,12 +195,12 @@ def fold(df: DataFrame, keys: list[str], machine: Machine, *, piece: int = PIECE
 
         target, number = to_arrow_schema(schema), TaskContext.get().partitionId() << 32
         for batch in _regrouped(batches, piece):
-            whole = _Piece(machine, _changes(batch, keys), *(batch.column(c).to_numpy() for c in ("t", "kind", "event_id")))
+            whole = Piece(machine, _changes(batch, keys), *(batch.column(c).to_numpy() for c in ("t", "kind", "event_id")))
             first, n = int(whole.ends[0]), batch.num_rows
             base = batch.columns
             if first < n:
                 rest = slice(first, n)
-                done = [*(c.slice(first) for c in base), pa.array(["done"] * (n - first)), pa.array([number] * (n - first)), *_added(whole.columns(None), rest)]
+                done = [*(c.slice(first) for c in base), pa.array(["done"] * (n - first)), pa.array([number] * (n - first)), *added_columns(whole.columns(None), rest)]
                 yield pa.RecordBatch.from_arrays([*done, *(pa.nulls(n - first, f.type) for f in list(target)[len(done) :])], schema=target)
             waits = [*(c.slice(0, first) for c in base), pa.array(["waits"] * first), pa.array([number] * first)]
             yield pa.RecordBatch.from_arrays([*waits, *(pa.nulls(first, f.type) for f in list(target)[len(waits) :])], schema=target)
@@ -228,8 +245,8 @@ def fold(df: DataFrame, keys: list[str], machine: Machine, *, piece: int = PIECE
     def finish(table: pa.Table) -> pa.Table:
         table = table.sort_by([("t", "ascending"), ("event_id", "ascending")])
         link = tuple(table.column(c)[0].as_py() for c in ("in_state", "in_holder", "in_t", "in_since"))
-        whole = _Piece(machine, np.zeros(table.num_rows, np.int64), *(table.column(c).to_numpy() for c in ("t", "kind", "event_id")))
-        added = _added(whole.columns(link), slice(None))
+        whole = Piece(machine, np.zeros(table.num_rows, np.int64), *(table.column(c).to_numpy() for c in ("t", "kind", "event_id")))
+        added = added_columns(whole.columns(link), slice(None))
         return pa.Table.from_arrays([*(table.column(c) for c in names), *added], [*names, *_NAMES])
 
     finished = waiting.groupBy("piece").applyInArrow(finish, T.StructType([*empty, *T.StructType.fromDDL(ADDED).fields]))

@@ -16,23 +16,36 @@ def _seconds(name: str) -> Column:
     return F.unix_seconds(F.col(name).cast("timestamp"))
 
 
-def _windows(hits: DataFrame, length_s: int, piece: int) -> DataFrame:
+def windows_machine(length_s: int) -> Machine:
     """Windows that a hit outside of any other opens and later hits don't extend: one state, and every hit seen begins a hold."""
-    timed = hits.select("event_id", "key", _seconds("ts").alias("t"), F.lit(0).alias("kind"))
-    return fold(timed, ["key"], Machine(((HOLD,),), length_s), piece=piece)
+    return Machine(((HOLD,),), length_s)
+
+
+def hit_inputs(hits: DataFrame) -> DataFrame:
+    return hits.select("event_id", "key", _seconds("ts").alias("t"), F.lit(0).alias("kind"))
+
+
+def hit_counts(rows: DataFrame, limit: int, window_s: int) -> DataFrame:
+    """What a rate limit says to folded hits."""
+    allowed = F.col("since") <= limit
+    retry = F.when(allowed, F.lit(0).cast("bigint")).otherwise(F.col("holder_t") + window_s - F.col("t"))
+    return rows.select("event_id", "key", F.col("since").alias("count"), allowed.alias("allowed"), F.when(allowed.isNotNull(), retry).alias("retry_after"))
+
+
+def hit_claims(rows: DataFrame) -> DataFrame:
+    """Who holds the claim at folded hits."""
+    return rows.select("event_id", "key", F.col("holder").alias("claimed_by"), (F.col("holder") == F.col("event_id")).alias("is_first"))
 
 
 def rate_limit(hits: DataFrame, *, limit: int = 5, window_s: int = 600, piece: int = PIECE) -> DataFrame:
     """T-01: (event_id, key, count, allowed, retry_after).  A window begins at the first hit, isn't aligned and
     isn't extended; denied hits count too.  ``hits``: event_id, key, ts."""
-    allowed = F.col("since") <= limit
-    retry = F.when(allowed, F.lit(0).cast("bigint")).otherwise(F.col("holder_t") + window_s - F.col("t"))
-    return _windows(hits, window_s, piece).select("event_id", "key", F.col("since").alias("count"), allowed.alias("allowed"), F.when(allowed.isNotNull(), retry).alias("retry_after"))
+    return hit_counts(fold(hit_inputs(hits), ["key"], windows_machine(window_s), piece=piece), limit, window_s)
 
 
 def first_claim(hits: DataFrame, *, ttl_s: int = 300, piece: int = PIECE) -> DataFrame:
     """T-02: (event_id, key, claimed_by, is_first): the first claim in a window wins; the window isn't extended."""
-    return _windows(hits, ttl_s, piece).select("event_id", "key", F.col("holder").alias("claimed_by"), (F.col("holder") == F.col("event_id")).alias("is_first"))
+    return hit_claims(fold(hit_inputs(hits), ["key"], windows_machine(ttl_s), piece=piece))
 
 
 def job_status(events: DataFrame, as_of: str, ttl_s: int = 3600) -> DataFrame:
@@ -41,6 +54,25 @@ def job_status(events: DataFrame, as_of: str, ttl_s: int = 3600) -> DataFrame:
     return last.filter(_seconds("ts") + ttl_s > F.unix_seconds(F.lit(as_of).cast("timestamp")))
 
 
+def code_machine(limit: int) -> Machine:
+    """States: 0 to ``limit`` tries counted, then gone.  Inputs: wrong, good, too late."""
+    gone = limit + 1
+    counted = tuple((n + 1 if n < limit else gone, gone, n) for n in range(limit + 1))
+    return Machine((*counted, (gone, gone, gone)))
+
+
+def code_inputs(attempts: DataFrame, ttl_s: int) -> DataFrame:
+    timed = attempts.select("event_id", "key", _seconds("ts").alias("t"), _seconds("issued").alias("issued_s"), F.coalesce("good", F.lit(False)).alias("good"))
+    late = F.coalesce(F.col("t") >= F.col("issued_s") + ttl_s, F.lit(True))
+    return timed.select("event_id", "key", "issued_s", "t", F.when(late, 2).when(F.col("good"), 1).otherwise(0).alias("kind"))
+
+
+def code_outcomes(rows: DataFrame, limit: int) -> DataFrame:
+    """What folded tries come to."""
+    outcome = F.when((F.col("state") == limit + 1) | (F.col("kind") == 2), "expired").when(F.col("state") == limit, "locked").when(F.col("kind") == 1, "verified").otherwise("wrong")
+    return rows.select("event_id", "key", F.when(F.col("seen"), outcome).alias("outcome"))
+
+
 def otp_attempts(attempts: DataFrame, *, limit: int = 5, ttl_s: int = 300, piece: int = PIECE) -> DataFrame:
     """T-04: (event_id, key, outcome) of tries at a code that was issued at ``issued``.
 
@@ -49,14 +81,7 @@ def otp_attempts(attempts: DataFrame, *, limit: int = 5, ttl_s: int = 300, piece
     a fold of their own; the counter lives as long as the code, as no try counts that comes later.  A null
     ``good`` is a wrong try, a code without a time of issue has expired.
     """
-    timed = attempts.select("event_id", "key", _seconds("ts").alias("t"), _seconds("issued").alias("issued_s"), F.coalesce("good", F.lit(False)).alias("good"))
-    dead = F.coalesce(F.col("t") >= F.col("issued_s") + ttl_s, F.lit(True))
-    timed = timed.withColumn("kind", F.when(dead, 2).when(F.col("good"), 1).otherwise(0))
-    gone = limit + 1
-    counted = tuple((min(n + 1, limit) if n < limit else gone, gone, n) for n in range(limit + 1))
-    rows = fold(timed, ["key", "issued_s"], Machine((*counted, (gone, gone, gone))), piece=piece)
-    outcome = F.when((F.col("state") == gone) | (F.col("kind") == 2), "expired").when(F.col("state") == limit, "locked").when(F.col("kind") == 1, "verified").otherwise("wrong")
-    return rows.select("event_id", "key", F.when(F.col("seen"), outcome).alias("outcome"))
+    return code_outcomes(fold(code_inputs(attempts, ttl_s), ["key", "issued_s"], code_machine(limit), piece=piece), limit)
 
 
 def breaker_machine(failures: int, open_s: int) -> Machine:
@@ -65,6 +90,19 @@ def breaker_machine(failures: int, open_s: int) -> Machine:
     return Machine((*closed, (0, HOLD, failures)), open_s, failures)
 
 
+def call_inputs(calls: DataFrame) -> DataFrame:
+    kind = F.when(F.col("outcome") == "ok", 0).when(F.col("outcome") == "retryable", 1).otherwise(2)
+    return calls.select("event_id", "key", _seconds("ts").alias("t"), kind.alias("kind"))
+
+
+def call_states(rows: DataFrame, failures: int) -> DataFrame:
+    """Whether folded calls were let through, and the breaker's state after each."""
+    half = F.col("state") == failures
+    opens = (F.col("kind") == 1) & (half | (F.col("state") == failures - 1))
+    after = F.when(opens, "open").when(half & (F.col("kind") == 2), "half_open").otherwise("closed")
+    return rows.select("event_id", "key", F.col("seen").alias("admitted"), F.when(F.col("seen"), after).when(~F.col("seen"), "open").alias("state"))
+
+
 def circuit_breaker(calls: DataFrame, *, failures: int = 5, open_s: int = 30, piece: int = PIECE) -> DataFrame:
     """T-05, T-06: (event_id, key, admitted, state) of calls to a service; ``state`` is that after the call.
 
@@ -72,12 +110,7 @@ def circuit_breaker(calls: DataFrame, *, failures: int = 5, open_s: int = 30, pi
     open the breaker; after ``open_s`` one call is let through half-open; success closes it, a failure
     there reopens it.  Rejected calls neither count nor reset.  A call is one that retries have ended on.
     """
-    kind = F.when(F.col("outcome") == "ok", 0).when(F.col("outcome") == "retryable", 1).otherwise(2)
-    rows = fold(calls.select("event_id", "key", _seconds("ts").alias("t"), kind.alias("kind")), ["key"], breaker_machine(failures, open_s), piece=piece)
-    half = F.col("state") == failures
-    opens = (F.col("kind") == 1) & (half | (F.col("state") == failures - 1))
-    after = F.when(opens, "open").when(half & (F.col("kind") == 2), "half_open").otherwise("closed")
-    return rows.select("event_id", "key", F.col("seen").alias("admitted"), F.when(F.col("seen"), after).when(~F.col("seen"), "open").alias("state"))
+    return call_states(fold(call_inputs(calls), ["key"], breaker_machine(failures, open_s), piece=piece), failures)
 
 
 def backoff_delay(attempt: Column, base: float = 0.5, multiplier: float = 2.0, most: float = 8.0) -> Column:

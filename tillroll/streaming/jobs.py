@@ -1,4 +1,4 @@
-"""Streaming forms: keyed windows with timers, job status, and queue messages."""
+"""Streaming forms: job status and queue messages."""
 
 from __future__ import annotations
 
@@ -11,34 +11,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tillroll.sources.derived import parse_jobs
 
-HIT = "event_id bigint, key bigint, count bigint, allowed boolean, retry_after bigint"
-
-
-def rate_limit_stream(hits: DataFrame, *, limit: int = 5, window_s: int = 600, late: str = "10 minutes") -> DataFrame:
-    """T-01 on a stream of (event_id, key, ts): the state of a key is its window's start and count, and
-    it expires by event time.  Hits that come late but inside the watermark are counted on arrival."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        begin, n = state.get if state.exists else (None, 0)
-        out = []
-        rows = pd.concat(batches).sort_values(["ts", "event_id"])
-        for event, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            now = int(ts.timestamp())
-            if begin is None or now >= begin + window_s:
-                begin, n = now, 0
-            n += 1
-            out.append((event, key[0], n, n <= limit, 0 if n <= limit else begin + window_s - now))
-        state.update((begin, n))
-        state.setTimeoutTimestamp(max((begin + window_s) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in HIT.split(", ")])
-
-    marked = hits.withWatermark("ts", late)
-    return marked.groupBy("key").applyInPandasWithState(step, HIT, "begin bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def job_status_stream(events: DataFrame, *, ttl_s: int = 3600, late: str = "10 minutes") -> DataFrame:
     """T-03 on a stream of (key, ts, event_id, event_type): (key, state, ts) of each key whose latest state changes.
 
