@@ -48,6 +48,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
         files.delete_dir(folder)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds Arrow batches by bytes, where the session doesn't: 10,000 long texts are much memory in the JVM and in a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1))) > most:
+        spark.conf.set(name, str(most))
+
+
 def with_fields(held: Iterable[T.StructField], ddl: str) -> T.StructType:
     """A schema of fields that exist, whatever their names are, and of new ones."""
     return T.StructType([*held, *T.StructType.fromDDL(ddl).fields])
