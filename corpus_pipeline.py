@@ -12,27 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import op02_decontaminate, op03_language, op04_spans, op05_bytebpe, op09_probminhash
-from tillroll.llm.common import written
+from tillroll.llm.common import small_batches, written
 
 LEAST_SCORE = 0.3
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = op03_language.learn(docs)
     found = op03_language.predict(docs.select("doc_id", "text", "lang", "source", "n_chars"), model, keep_text=True)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return op09_probminhash.keep_one(docs, op09_probminhash.near_duplicates(docs)).select(COLUMNS)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return op04_spans.deduplicate(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return op02_decontaminate.clean(docs.select(COLUMNS), items).select(COLUMNS)
 
@@ -40,6 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
         return op05_bytebpe.encode_documents(docs, file.read(), public_tokenizers.PATTERN, with_ids=True)
 
