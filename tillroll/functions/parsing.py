@@ -20,6 +20,7 @@ NOT_MONEY = [
     rf"{B}[0-9]{{7,}}{E}",
     rf"{B}[0-9]{{1,3}},[0-9]{{2}}(?![0-9])",
 ]
+# How amounts, dates and times are written.
 DECIMAL = rf"{B}([0-9]{{1,3}}(?:[,\s][0-9]{{3}})+|[0-9]+)[.,\-]([0-9]{{2}})(?![0-9])"
 WHOLE = rf"(?<![{W}.,\-])([0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?![0-9.,\-])"
 LOW, HIGH = 0.01, 1_000_000.0
@@ -66,6 +67,7 @@ def best_amount(found: Column) -> Column:
     return F.array_max(ranked)["v"]
 
 
+# Dates.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 NUMERIC_DATE = r"(?<![0-9])([0-9]{1,2})([/\-.])([0-9]{1,2})\2([0-9]{2,4})(?![0-9])"
 MONTH_FIRST = rf"(?i){B}([a-z]{{3}})[a-z]*\.?\s+([0-9]{{1,2}})\s*,?\s*([0-9]{{4}}){E}"
@@ -116,6 +118,7 @@ def find_date(lines: Column, as_of: Column) -> Column:
     return let(F.filter(F.transform(F.transform(lines, digits), scored), lambda x: x["d"].isNotNull()), best)
 
 
+# Times.
 _MERIDIEM = rf"(?i)(?<![0-9])([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}}))?\s*([ap])[a-z]?{E}"
 _PLAIN = r"(?<![0-9])([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?![0-9])"
 _SPACED = r"(?<![0-9])([0-9]{2})\s([0-9]{2})\s([0-9]{2})(?![0-9])"
@@ -145,6 +148,7 @@ def find_time(lines: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(F.transform(lines, digits), of), lambda t: t.isNotNull()), F.lit(1))
 
 
+# Words before a receipt's number.
 RECEIPT_NO = ["เลขที่", "เลขที่ใบเสร็จ", "receipt no", "invoice no", "no.", "bill no"]
 
 

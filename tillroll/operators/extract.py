@@ -155,6 +155,7 @@ def find_total(df: DataFrame) -> DataFrame:
     return df.withColumn("total", F.when(F.col("is_slip"), slips).otherwise(plain)).withColumn("keyword_total", key).drop(*drop, "keyword")
 
 
+# How codes are cut, and which characters are read for others.
 _SPLIT, _HEAD, _FUSED, _TRIM = re.compile(r"[\s()\[\]:,]+"), re.compile("[A-Za-zก-๙]+"), re.compile(r"([A-Za-z.#]{2,})(\d{5,}.*)"), " .:#-_*"
 _LOOK = str.maketrans({"0": "o", "1": "i", "5": "s", "8": "b", "|": "i", "!": "i", "u": "v"})
 
@@ -205,6 +206,7 @@ def reference_codes(lines: pd.Series) -> pd.Series:
 
 def line_items(lines: Column, total: Column) -> Column:
     """F-21, W-03: array of (name, price) between the last header line and the first end marker."""
+    # fixed values in the next three: an item list's end, its header lines, and the price at a line's end
     ended = lambda s: let(F.lower(s), lambda low: low.rlike("ยอ.{0,3}ทธ") | whole_word(low, END_OF_ITEMS) | (holds(low, AMBIGUOUS_END) & best_amount(amounts(s)).isNotNull()))
     head = lambda s: s.rlike(r"^[\s*\-=_.~#]+$") | s.rlike(r"\d{1,2}:\d{2}|\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}") | whole_word(F.lower(s), HEADER)
     tail = r"[\s.]*([\d,]+(?:[.,\-]\d{2})?)(?:\s+\d{1,2})?\s*[^\d\s]{0,2}\s*$"

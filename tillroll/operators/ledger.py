@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.sources.scratch import kept
+
 STATUSES = ("PENDING", "AWARDED", "FAILED", "DEAD", "REJECTED")
 SEND_LIMIT = 5
 
 
-def status_metrics(receipts: DataFrame, *, as_of: str | None = None, since_days: int | None = None) -> DataFrame:
-    """A-01 to A-04, P-04: counts by status in one pass; a window of N days reaches back to midnight N days ago."""
+def status_metrics(receipts: DataFrame, tenants: DataFrame, *, as_of: str | None = None, since_days: int | None = None) -> DataFrame:
+    """A-01 to A-04, P-04: counts by status in one pass; a window of N days reaches back to midnight N days ago.
+
+    Each of ``tenants`` (tenant_id) has a row, with zeros if it has no receipts; receipts of other tenants, and those without one,
+    are counted under their own.
+    """
     if since_days is not None:
         receipts = receipts.filter(F.col("created_at") >= F.date_sub(F.lit(as_of).cast("date"), since_days).cast("timestamp"))
     counts = receipts.groupBy("tenant_id").agg(*(F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES))
+    counts = _each_tenant(tenants, counts, [s.lower() for s in STATUSES])
     eligible = sum((F.col(c) for c in ("awarded", "pending", "failed")), F.col("dead"))
     return counts.withColumns({
         "total": sum((F.col(s.lower()) for s in STATUSES[1:]), F.col("pending")),
@@ -22,14 +29,20 @@ def status_metrics(receipts: DataFrame, *, as_of: str | None = None, since_days:
     })
 
 
+def _each_tenant(tenants: DataFrame, counts: DataFrame, columns: list[str]) -> DataFrame:
+    """``counts`` with a row of zeros for each of ``tenants`` that has none."""
+    zeros = tenants.select("tenant_id", *(F.lit(0).cast("bigint").alias(c) for c in columns))
+    return counts.select("tenant_id", *columns).unionByName(zeros).groupBy("tenant_id").agg(*(F.sum(c).alias(c) for c in columns))
+
+
 def dead_letters(receipts: DataFrame, tenant: str, limit: int = 100) -> DataFrame:
     """O-03: the oldest DEAD rows of a tenant."""
     return receipts.filter((F.col("tenant_id") == tenant) & (F.col("status") == "DEAD")).orderBy("created_at", "id").limit(limit)
 
 
-def status_count(receipts: DataFrame, status: str) -> DataFrame:
-    """A-05: rows of one status for each tenant, whatever the lists' limits are."""
-    return receipts.groupBy("tenant_id").agg(F.count_if(F.col("status") == status).alias("n"))
+def status_count(receipts: DataFrame, tenants: DataFrame, status: str) -> DataFrame:
+    """A-05: rows of one status for each tenant, whatever the lists' limits are; tenants without receipts have 0."""
+    return _each_tenant(tenants, receipts.groupBy("tenant_id").agg(F.count_if(F.col("status") == status).alias("n")), ["n"])
 
 
 def unsent(receipts: DataFrame, members: DataFrame) -> DataFrame:
@@ -108,11 +121,32 @@ def eligible_members(members: DataFrame) -> DataFrame:
 
 
 def get_or_create(members: DataFrame, asked: DataFrame) -> DataFrame:
-    """S-03, J-10: members by (tenant_id, line_user_id); those asked for and unknown are added without an id."""
+    """S-03, J-10: members by (tenant_id, line_user_id); those asked for and unknown are added with new ids.
+
+    New ids go on behind the greatest one without gaps, in the order of tenant and user, so a second run gives the
+    same ones.  New rows are sorted by range into a table; the counts of its parts (one number a part goes to the driver) say where each
+    part's numbers begin, so no task sees more than its part.  Asked rows without a user are no members and drop out; a null tenant is one like others.
+    """
     keys = ["tenant_id", "line_user_id"]
-    new = asked.select(*keys).distinct().join(members, keys, "left_anti")
-    known = members.join(asked.select(*keys).distinct(), keys, "left_semi").select("id", *keys)
-    return known.withColumn("created", F.lit(False)).unionByName(new.select(F.lit(None).cast("bigint").alias("id"), *keys, F.lit(True).alias("created")))
+    wanted = asked.select(*keys).filter("line_user_id IS NOT NULL").distinct()
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
+    known = members.alias("m").join(wanted.alias("w"), same, "left_semi").select("id", *keys)
+    new = wanted.alias("w").join(members.select(*keys).alias("m"), same, "left_anti")
+    top = members.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
+    made = numbered(new, keys, top + 1).select("id", *keys, F.lit(True).alias("created"))
+    return known.withColumn("created", F.lit(False)).unionByName(made)
+
+
+def numbered(rows: DataFrame, order: list[str], first: int) -> DataFrame:
+    """``rows`` with a column ``id`` from ``first`` on, without gaps, in ``order`` (nulls first)."""
+    by = [F.asc_nulls_first(c) for c in order]
+    held = kept(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    begins, total = {}, first
+    for part, n in sorted(held.groupBy("part").count().collect()):
+        begins[part] = total
+        total += n
+    begin = F.element_at(F.create_map(*(F.lit(x) for pair in begins.items() for x in pair)), F.col("part")) if begins else F.lit(first)
+    return held.select((begin + F.col("place")).cast("bigint").alias("id"), *rows.columns)
 
 
 def stuck_pending(receipts: DataFrame, as_of: str, days: int = 1) -> DataFrame:

@@ -15,17 +15,19 @@ _COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in
 
 
 def _metrics_sql(where: str) -> str:
-    return f"""WITH {R}, c AS (SELECT tenant_id, {_COUNTS} FROM receipts {where} GROUP BY tenant_id)
+    zero = ", ".join(f"coalesce({x.lower()}, 0) AS {x.lower()}" for x in ledger.STATUSES)
+    return f"""WITH {R}, g AS (SELECT tenant_id, {_COUNTS} FROM receipts {where} GROUP BY tenant_id),
+c AS (SELECT coalesce(g.tenant_id, t.tenant_id) AS tenant_id, {zero} FROM g FULL JOIN (SELECT 't' || r_regionkey AS tenant_id FROM region) t ON g.tenant_id = t.tenant_id)
 SELECT *, pending + awarded + failed + dead + rejected AS total,
   coalesce(round(awarded / nullif(awarded + pending + failed + dead, 0), 3), 0.0) AS award_rate, dead > 0 AS needs_attention FROM c"""
 
 
 def metrics_by_tenant(s: SparkSession, p: str) -> DataFrame:
-    return ledger.status_metrics(d.receipts(s, p))
+    return ledger.status_metrics(d.receipts(s, p), d.tenants(s, p))
 
 
 def metrics_window(s: SparkSession, p: str) -> DataFrame:
-    return ledger.status_metrics(d.receipts(s, p), as_of=AS_OF, since_days=90)
+    return ledger.status_metrics(d.receipts(s, p), d.tenants(s, p), as_of=AS_OF, since_days=90)
 
 
 def dead_letter(s: SparkSession, p: str) -> DataFrame:
@@ -33,7 +35,7 @@ def dead_letter(s: SparkSession, p: str) -> DataFrame:
 
 
 def dead_count(s: SparkSession, p: str) -> DataFrame:
-    return ledger.status_count(d.receipts(s, p), "DEAD")
+    return ledger.status_count(d.receipts(s, p), d.tenants(s, p), "DEAD")
 
 
 def export_unsent(s: SparkSession, p: str) -> DataFrame:
@@ -278,7 +280,7 @@ ORACLES = {
     "metrics_by_tenant": _metrics_sql(""),
     "metrics_window": _metrics_sql(f"WHERE created_at >= DATE '{AS_OF}' - INTERVAL 90 DAY"),
     "dead_letter": f"WITH {R} SELECT id, member_id, cents, send_attempts, created_at FROM receipts WHERE tenant_id = 't1' AND status = 'DEAD' ORDER BY created_at, id LIMIT 100",
-    "dead_count": f"WITH {R} SELECT tenant_id, count(*) FILTER (status = 'DEAD') AS n FROM receipts GROUP BY tenant_id",
+    "dead_count": f"WITH {R}, t AS (SELECT 't' || r_regionkey AS tenant_id FROM region) SELECT t.tenant_id, count(r.id) AS n FROM t LEFT JOIN receipts r ON r.tenant_id = t.tenant_id AND r.status = 'DEAD' GROUP BY t.tenant_id",
     "export_unsent": f"""WITH {R}, {M} SELECT r.id, r.created_at, m.phone, coalesce(m.crm_customer_id, '') AS crm_customer_id,
       CAST(r.cents // 100 AS VARCHAR) || '.' || lpad(CAST(r.cents % 100 AS VARCHAR), 2, '0') AS amount, r.status, coalesce(r.merchant_code, '') AS merchant_code
       FROM receipts r JOIN members m ON r.member_id = m.id WHERE r.status IN ('FAILED', 'PENDING', 'DEAD')""",
@@ -291,7 +293,8 @@ ORACLES = {
     "purged_ledger": f"WITH {R}, p AS ({_DUE}) SELECT tenant_id, count(*) FILTER (source_image_id = '' OR id IN (SELECT id FROM p)) AS purged, count(*) AS kept FROM receipts GROUP BY tenant_id",
     "eligible_members": f"WITH {M} SELECT id, coalesce(crm_customer_id, '') <> '' AND phone_verified AS may_scan, coalesce(crm_customer_id, '') <> '' AS may_receive FROM members",
     "member_upsert": f"""WITH {M}, a AS (SELECT DISTINCT tenant_id, CASE WHEN id % 8 = 0 THEN line_user_id || 'x' ELSE line_user_id END AS line_user_id FROM members WHERE id % 4 = 0)
-      SELECT m.id, a.tenant_id, a.line_user_id, m.id IS NULL AS created FROM a LEFT JOIN members m ON a.tenant_id = m.tenant_id AND a.line_user_id = m.line_user_id""",
+      SELECT coalesce(m.id, (SELECT max(id) FROM members) + row_number() OVER (PARTITION BY m.id IS NULL ORDER BY a.tenant_id, a.line_user_id)) AS id, a.tenant_id, a.line_user_id, m.id IS NULL AS created
+      FROM a LEFT JOIN members m ON a.tenant_id = m.tenant_id AND a.line_user_id = m.line_user_id""",
     "stuck_pending": f"WITH {R} SELECT tenant_id, count(*) AS n, min(id) AS first_id FROM receipts WHERE status = 'PENDING' AND created_at < DATE '{AS_OF}' - INTERVAL 1 DAY GROUP BY tenant_id",
     "fingerprints": f"WITH {R} SELECT id, content_fingerprint, 'gp' || id AS crm_reference FROM ({_fingerprint_sql('receipts')})",
     "fingerprint_conflict": f"""WITH {R}, {I}, f AS ({_fingerprint_sql('(SELECT * FROM receipts UNION ALL SELECT * FROM incoming)')}),

@@ -58,6 +58,11 @@ INCOMING_SQL = """incoming AS (
   FROM receipts WHERE status <> 'REJECTED' AND id % 10 = 1)"""
 
 
+def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One for each region; not all of them have receipts."""
+    return table(spark, sf_dir, "region").select(F.concat(F.lit("t"), "r_regionkey").alias("tenant_id"))
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
