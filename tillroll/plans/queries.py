@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import privacy
 from tillroll.operators import dedup, evaluate, extract, ledger, state
 from tillroll.sources import derived as d
+from tillroll.sources import exports
 
 R, I, M = d.RECEIPTS_SQL, d.INCOMING_SQL, d.MEMBERS_SQL
 AS_OF = d.AS_OF
@@ -211,6 +212,19 @@ def extract_full(s: SparkSession, p: str) -> DataFrame:
     )
 
 
+def unsent_sheet(s: SparkSession, p: str) -> DataFrame:
+    """S-12: the sheet of each tenant; every third receipt has a reference of the CRM already."""
+    r = d.receipts(s, p).withColumns({"crm_reference": F.when(F.col("id") % 3 == 0, F.concat(F.lit("gp"), "id")), "merchant": F.col("merchant_code")})
+    return exports.unsent_sheet(r, d.members(s, p), "std")
+
+
+def extraction_report(s: SparkSession, p: str) -> DataFrame:
+    """S-13, F-40: the report of extraction; every seventh receipt lost its total and its items."""
+    lines = F.when(F.col("id") % 7 == 0, F.slice("lines", 1, 4)).otherwise(F.col("lines"))
+    records = extract.extract_receipts(_rendered(s, p).withColumn("lines", lines), "1999-06-01")
+    return exports.extraction_report(records.withColumn("filename", F.concat(F.lit("r_"), "id", F.lit(".jpg")))).withColumn("total_amount", F.round("total_amount", 2))
+
+
 def parse_date(s: SparkSession, p: str) -> DataFrame:
     from tillroll.functions.parsing import find_date
 
@@ -272,7 +286,7 @@ QUERIES = {
     for f in (
         metrics_by_tenant, metrics_window, dead_letter, dead_count, export_unsent, history_top20, resend_batch, resend_summary, revive, purge_plan, purged_ledger, eligible_members,
         member_upsert, stuck_pending, fingerprints, fingerprint_conflict, points, normalize_phone, dup_vs_ledger, dedup_replay, dedup_confusion, rate_limit, first_claim, job_status,
-        otp_attempts, circuit_breaker, extract_full, parse_date, line_items_sum, field_accuracy, item_accuracy, mask_text, sanitize, amount_accuracy,
+        otp_attempts, circuit_breaker, extract_full, unsent_sheet, extraction_report, parse_date, line_items_sum, field_accuracy, item_accuracy, mask_text, sanitize, amount_accuracy,
     )
 }
 
@@ -313,6 +327,17 @@ ORACLES = {
       WHERE k = 1 AND floor(epoch(ts)) + 3456000 > epoch(TIMESTAMP '2024-01-15 00:00:00')""",
     "extract_full": f"""WITH {R} SELECT id, round(cents / 100, 2) AS total_amount, CAST(receipt_time_s AS BIGINT) AS receipt_time_s, lpad(CAST(id AS VARCHAR), 9, '0') AS codes,
       [{', '.join(f"'{m[0]}'" for m in extract.MERCHANTS)}][member_id % 6 + 1] AS merchant_code, CAST(1 AS BIGINT) AS n_items, 'NOODLE SET' AS item, true AS items_match FROM receipts""",
+    "unsent_sheet": f"""WITH {R}, {M} SELECT r.tenant_id, r.created_at, r.id, CASE WHEN r.id % 3 = 0 THEN 'gp' || r.id ELSE '' END AS crm_reference, coalesce(m.crm_customer_id, '') AS customer_id,
+      CAST(r.cents // 100 AS VARCHAR) || '.' || lpad(CAST(r.cents % 100 AS VARCHAR), 2, '0') AS amount, 'std' AS formula_id, coalesce(r.merchant_code, '') AS merchant, strftime(r.receipt_date, '%Y-%m-%d') AS receipt_date, r.status
+      FROM receipts r JOIN members m ON r.member_id = m.id WHERE r.status IN ('FAILED', 'PENDING', 'DEAD')""",
+    "extraction_report": f"""WITH {R}, l AS (SELECT *, lpad(CAST(id AS VARCHAR), 9, '0') AS code, format('{{:,}}', cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS amount,
+        lpad(CAST(receipt_time_s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(receipt_time_s % 3600 // 60 AS VARCHAR), 2, '0') AS clock, id % 7 <> 0 AS good FROM receipts),
+      m AS (SELECT *, [{', '.join(f"'{m[2]}'" for m in extract.MERCHANTS)}][member_id % 6 + 1] AS tax, [{', '.join(f"'{m[0]}'" for m in extract.MERCHANTS)}][member_id % 6 + 1] AS shop, [{', '.join(f"'{m[1]}'" for m in extract.MERCHANTS)}][member_id % 6 + 1] AS shop_name FROM l)
+      SELECT 'r_' || id || '.jpg' AS filename, CASE WHEN good THEN '✓' ELSE '✗' END AS ok, CASE WHEN good THEN shop_name ELSE '' END AS merchant, CASE WHEN good THEN shop ELSE '' END AS merchant_code,
+        CASE WHEN good THEN round(cents / 100, 2) END AS total_amount, CASE WHEN good AND year(receipt_date) BETWEEN 1994 AND 2000 THEN strftime(receipt_date, '%Y-%m-%d') ELSE '' END AS receipt_date, CASE WHEN good THEN clock ELSE '' END AS receipt_time,
+        CASE WHEN good THEN code ELSE '' END AS reference_codes, CASE WHEN good THEN 'NOODLE SET = ' || CAST(CAST(round_even(cents / 100, 0) AS BIGINT) AS VARCHAR) ELSE '' END AS items, CASE WHEN good THEN '' ELSE 'no total' END AS reason,
+        'CORNER HOUSE' || chr(10) || 'TAX ID: ' || tax || chr(10) || 'Date ' || strftime(receipt_date, '%d/%m/%Y') || ' ' || clock || ':' || lpad(CAST(receipt_time_s % 60 AS VARCHAR), 2, '0') || chr(10) || 'Invoice ID: ' || code
+        || CASE WHEN good THEN chr(10) || 'NOODLE SET ' || amount || chr(10) || 'Order Total ' || amount || chr(10) || 'Thank you' ELSE '' END AS raw_text FROM m""",
     "parse_date": f"WITH {R} SELECT id, CASE WHEN year(receipt_date) BETWEEN 1994 AND 2000 THEN receipt_date END AS receipt_date FROM receipts",
     "line_items_sum": """WITH s AS (SELECT l_orderkey, count(*) AS n_items, sum(round(l_extendedprice * 100)) FILTER (l_orderkey % 11 <> 0 AND l_linenumber <> 6) AS cents FROM lineitem GROUP BY l_orderkey)
       SELECT l_orderkey, n_items, cents IS NOT NULL AND CASE l_orderkey % 4 WHEN 2 THEN false WHEN 3 THEN abs(cents - round(o_totalprice * 100)) <= 5 ELSE true END AS items_match FROM s JOIN orders ON o_orderkey = l_orderkey""",
