@@ -1,6 +1,10 @@
-"""What the stages of the corpus pipeline take away and keep."""
+"""What the stages of the corpus pipeline take away and keep; pages that were slow to read."""
 
-from tillroll.llm import op02_decontaminate
+import time
+
+import pytest
+
+from tillroll.llm import op02_decontaminate, op10_extract
 
 
 def test_clean_by_text_not_by_id(spark):
@@ -13,3 +17,22 @@ def test_clean_by_text_not_by_id(spark):
         assert left.columns == df.columns
         assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "clean without an id"), (5, "a clean text of the same id"), (7, ""), (8, "")]
     assert op02_decontaminate.clean(df.limit(0), benchmark).count() == 0 and op02_decontaminate.clean(df, benchmark.limit(0)).count() == len(docs)
+
+
+@pytest.mark.parametrize("piece, tail", [("<div>", ""), ("<div class=x>t", ""), ("a<b ", ""), ("<a ", ""), ("<a \">\" ", ""), ("<iframe/>x", ""), ("<head>", "</head>"), ("</script", ">"), ("<p>a<table>", ""), ("<ul><li>x", ""), ("<select><option>", ""), ("<b>", "</i>" * 99_999)])
+def test_a_page_of_one_megabyte_is_read_in_linear_time(piece, tail):
+    field, took = op10_extract.default_field(), []
+    for n in (100_000, 1_000_000):
+        begin = time.process_time()
+        op10_extract.extract_text(piece * (n // len(piece)) + tail, field)
+        took.append(time.process_time() - begin)
+    assert took[1] < 15 and took[1] < 30 * max(took[0], 0.05)
+
+
+def test_formulas_stay_and_scores_are_sums_over_distinct_features():
+    page = "<body><article class='post post'><p>Let <math><mi>x</mi></math> be <svg><text>no</text></svg> one.<div class='post ad'>b"
+    assert [t for t, _ in op10_extract.blocks(page)] == ["Let x be one.", "b"]
+    field = op10_extract.default_field()
+    for (text, _, node), own, (_, features) in zip(found := op10_extract._leaves(page), op10_extract._own(found), op10_extract.blocks(page), strict=True):
+        assert len(set(features)) == len(features)
+        assert abs(field.score(features) - field.score(own) - node.score(field.weights)) < 1e-9

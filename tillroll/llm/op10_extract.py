@@ -10,7 +10,8 @@ bounded sample); other labelled pages may be passed to :func:`train`.  Markup, s
 comments of the markup, forms' controls and what stands in the head is no block at all.
 
 Edge cases: null and empty html, and pages without any main block, have the text ''.  Unclosed tags are closed by
-their parents (elements of raw text only by their own end tag), stray end tags are ignored, a ``<`` that opens no tag is text.  Repeated rows give repeated rows.
+their parents (elements of raw text only by their own end tag), stray end tags are ignored, a ``<`` that opens no tag is text.  A formula's text stays.
+Reading takes time linear in the page, whatever its markup.  Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -28,16 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.llm.common import pieces
 
 TRAIN = 400
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.DOTALL,
-)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>", re.DOTALL)
+_OPEN = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+_OPEN_SIMPLE = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+_TO_THE_END = re.compile(r"<!--|<!\[CDATA\[")
+_HEAD_ENDS = re.compile("</head(?![a-zA-Z0-9])|<body", re.IGNORECASE)
+#: Tags whose quotes may stay open up to the page's end; later ones end at their first ``>``, so that no page is read more often than this.
+OPEN_QUOTES = 16
 _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z]+")
 # Elements of HTML by their content model.
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-SKIP = set("script style noscript template iframe svg math object head title textarea select button option canvas audio video".split())
+SKIP = set("script style noscript template iframe svg object head title textarea select button option canvas audio video".split())
 #: Those of SKIP whose content is raw text up to their own end tag; the others are nodes, hidden until closed.
 RAW = set("script style noscript title textarea iframe".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,133 +52,200 @@ SCOPE = {"ul", "ol", "table", "dl", "menu"}
 
 
 class _Node:
-    __slots__ = ("features", "hidden", "section", "tag")
+    """An open element.  ``new`` has the features that none of its ancestors has; ``block`` is the nearest visible block element."""
 
-    def __init__(self, tag: str, attributes: str, parent: _Node | None) -> None:
-        self.tag = tag
+    __slots__ = ("block", "hidden", "names", "new", "parent", "section", "tag", "total")
+
+    def __init__(self, tag: str, names: list[str], section: str, parent: _Node | None) -> None:
+        self.tag, self.names, self.section, self.parent, self.total = tag, names, section, parent, None
         self.hidden = tag in SKIP or parent is not None and parent.hidden
-        self.section = parent.section if parent else "-"
-        new = []
+        self.block = self if parent is None or tag in BLOCK and not self.hidden else parent.block
+        self.new: list[str] = []
+
+    def features(self) -> list[str]:
+        chain, node = [], self
+        while node:
+            chain.append(node.new)
+            node = node.parent
+        return [f for new in reversed(chain) for f in new]
+
+    def score(self, weights: dict[str, float]) -> float:
+        """The sum of weights of all features, kept on each node, so that a page's nodes are summed once."""
+        chain, node = [], self
+        while node and node.total is None:
+            chain.append(node)
+            node = node.parent
+        total = node.total if node else 0.0
+        for x in reversed(chain):
+            total += sum([weights.get(f, 0.0) for f in x.new])
+            x.total = total
+        return total
+
+
+class _Stack:
+    """The open elements of a page, with the places of each tag's elements and the number of open elements that have a feature."""
+
+    def __init__(self) -> None:
+        self.nodes = [_Node("", [], "-", None)]
+        self.places: dict[str, list[int]] = {}
+        self.skipped: list[int] = []
+        self.count: dict[str, int] = {}
+        self.links = 0
+
+    def push(self, tag: str, attributes: str) -> None:
+        parent = self.nodes[-1]
+        section, names = parent.section, []
         if tag in BLOCK and tag not in ("html", "body", "div", "p"):
-            new.append(f"in:{tag}")
+            names.append(f"in:{tag}")
         if tag in SECTION:
-            new.append(f"edge:{self.section}>{tag}")
-            self.section = tag
+            names.append(f"edge:{section}>{tag}")
+            section = tag
         if attributes:
             for match in _NAMES.finditer(attributes):
-                words = [w.lower() for w in _PART.findall(match[1] or match[2] or match[3] or "")]
-                new += [f"name:{w}" for w in words]
-        self.features = parent.features + tuple(new) if parent else tuple(new)
-
-
-def blocks(page: str) -> list[tuple[str, list[str]]]:
-    """(text, features) of a page's leaf blocks in order."""
-    stack = [_Node("", "", None)]
+                names += [f"name:{w.lower()}" for w in _PART.findall(match[1] or match[2] or match[3] or "")]
+        node = _Node(tag, names, section, parent)
+        for name in names:
+            n = self.count.get(name, 0)
+            if not n:
+                node.new.append(name)
+            self.count[name] = n + 1
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in SKIP:
+            self.skipped.append(len(self.nodes))
+        self.links += tag == "a"
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags, or 0."""
+        return max((held[-1] for t in tags if (held := self.places.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in SKIP:
+                self.skipped.pop()
+            self.links -= node.tag == "a"
+            for name in node.names:
+                self.count[name] -= 1
+
+
+def _leaves(page: str) -> list[tuple[str, int, _Node]]:
+    """(text, characters in links, block element) of a page's leaf blocks in order, in time linear in the page."""
+    stack = _Stack()
     parts: list[str] = []
     found: list[tuple[str, int, _Node]] = []
-    linked, links = 0, 0
+    linked, quotes = 0, OPEN_QUOTES
+    last_end = page.rfind(">")
+    endless: set[str] = set()
+    head_ends: int | None = None
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                block = next((n for n in reversed(stack) if n.tag in BLOCK and not n.hidden), stack[0])
-                found.append((text, linked, block))
+                found.append((text, linked, stack.nodes[-1].block))
             parts.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if stack[-1].hidden:
+        if stack.nodes[-1].hidden:
             return
         text = entities.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if links:
+        if stack.links:
             linked += len(text)
 
-    def close(i: int) -> None:
-        nonlocal links
-        links -= sum(node.tag == "a" for node in stack[i:])
-        del stack[i:]
-
-    at, n = 0, len(page)
-    while at < n:
-        match = _TOKEN.search(page, at)
-        if not match:
-            add(page[at:])
+    at = look = 0
+    while at < len(page):
+        sign = page.find("<", look)
+        if sign < 0 or sign > last_end:  # no tag can end any more
+            rest = _TO_THE_END.search(page, sign) if sign >= 0 else None
+            add(page[at : rest.start()] if rest else page[at:])
             break
-        if match.start() > at:
-            add(page[at : match.start()])
-        at = match.end()
-        if match[1]:
-            tag = match[1].lower()
+        match = _MARKUP.match(page, sign)
+        opening = None
+        if not match:
+            opening = _OPEN.match(page, sign) if quotes else None
+            if not opening:
+                opening = _OPEN_SIMPLE.match(page, sign)
+                quotes -= bool(opening and quotes)
+            if not opening:
+                look = sign + 1
+                continue
+        if sign > at:
+            add(page[at:sign])
+        at = look = (match or opening).end()
+        if match:
+            tag = (match[1] or "").lower()
             if tag == "br":
                 parts.append(" ")
-            elif i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0):
-                if tag in BLOCK and not stack[i].hidden:
+            elif place := stack.last((tag,)):
+                if tag in BLOCK and not stack.nodes[place].hidden:
                     flush()
-                close(i)
-            continue
-        tag = (match[2] or match[4] or "").lower()
-        attributes = match[3] if match[2] else match[5] or ""
-        if not tag:
+                stack.close(place)
             continue
+        tag, attributes = opening[1].lower(), opening[2]
         if tag in RAW:
-            if tag == "title" and not stack[-1].hidden:
+            if tag == "title" and not stack.nodes[-1].hidden:
                 flush()
-            end = re.compile(f"</{tag}(?![a-zA-Z0-9])[^>]*>", re.IGNORECASE).search(page, at)
+            end = None if tag in endless else re.compile(f"</{tag}(?![a-zA-Z0-9])[^>]*>", re.IGNORECASE).search(page, at, last_end + 1)
             if end:
-                at = end.end()
+                at = look = end.end()
             elif attributes[-1:] != "/":
-                at = n
+                at = look = len(page)
+            else:
+                endless.add(tag)
             parts.append(" ")
             continue
-        if tag == "body" and (i := next((i for i, node in enumerate(stack) if node.tag == "head"), 0)):
-            close(i)
+        if tag == "body" and stack.places.get("head"):
+            stack.close(stack.places["head"][0])
         if tag in CONTROLS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CONTROLS[tag]:
-                    close(i)
-                    break
-                if stack[i].tag in SKIP and stack[i].tag != "option" or stack[i].tag in ("datalist", "optgroup"):
-                    break
+            place = stack.last(CONTROLS[tag])
+            if place > stack.last((SKIP - {"option"} | {"datalist", "optgroup"}) - CONTROLS[tag]):
+                stack.close(place)
         if tag in SKIP:
             if tag == "head":
-                if not re.compile("</head(?![a-zA-Z0-9])|<body", re.IGNORECASE).search(page, at):
+                if head_ends is None:
+                    head_ends = max((m.start() for m in _HEAD_ENDS.finditer(page)), default=-1)
+                if head_ends < at:
                     continue
                 flush()
             parts.append(" ")
         elif tag in BLOCK:
-            if not stack[-1].hidden:
+            if not stack.nodes[-1].hidden:
                 flush()
-            low = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in SKIP), 0)
-            if tag in CLOSES_P and (i := next((i for i in range(len(stack) - 1, low, -1) if stack[i].tag == "p"), 0)):
-                close(i)
-            for i in range(len(stack) - 1, low, -1):
-                if stack[i].tag in SCOPE and tag in PEERS:
-                    break
-                if stack[i].tag in PEERS.get(tag, ()):
-                    close(i)
-                    break
+            low = stack.skipped[-1] if stack.skipped else 0
+            if tag in CLOSES_P and (place := stack.last("p")) > low:
+                stack.close(place)
+            if tag in PEERS and (place := stack.last(PEERS[tag])) > max(low, stack.last(SCOPE)):
+                stack.close(place)
         if tag in VOID or attributes[-1:] == "/":
             if tag in ("br", "wbr", "img", "hr"):
                 parts.append("" if tag == "wbr" else " ")
             continue
-        links += tag == "a"
-        stack.append(_Node(tag, attributes, stack[-1]))
+        stack.push(tag, attributes)
     flush()
-    out = []
+    return found
+
+
+def _own(found: list[tuple[str, int, _Node]]) -> Iterator[list[str]]:
+    """The features of each block that aren't its ancestors'."""
     for i, (text, inside, node) in enumerate(found):
         size, words = len(text), text.count(" ") + 1
         own = [
             "bias", f"tag:{node.tag}", f"section:{node.section}", f"tag:{node.tag}|section:{node.section}", f"words:{min(8, words.bit_length())}", f"links:{inside * 4 // size}",
             f"end:{text[-1] if text[-1] in '.!?:;' else '-'}", f"from_end:{min(3, len(found) - 1 - i)}", f"start:{min(3, i)}",
         ]
-        if "©" in text:
-            own.append("copyright")
-        out.append((text, own + list(dict.fromkeys(node.features))))
-    return out
+        yield [*own, "copyright"] if "©" in text else own
+
+
+def blocks(page: str) -> list[tuple[str, list[str]]]:
+    """(text, features) of a page's leaf blocks in order."""
+    found = _leaves(page)
+    return [(text, own + node.features()) for (text, _, node), own in zip(found, _own(found), strict=True)]
 
 
 class Field:
@@ -189,20 +259,19 @@ class Field:
         get = self.weights.get
         return sum([get(f, 0.0) for f in features])
 
-    def viterbi(self, page: list[list[str]]) -> list[int]:
-        """The best labels of a page's blocks."""
+    def viterbi(self, scores: list[float]) -> list[int]:
+        """The best labels of a page's blocks with these scores."""
         p = self.pairs
         p00, p01, p10, p11 = p[0, 0], p[0, 1], p[1, 0], p[1, 1]
         back, zero, one = [], 0.0, 0.0
-        for i, features in enumerate(page):
-            s = self.score(features)
+        for i, s in enumerate(scores):
             if i:
                 from_zero, from_one = zero + p01, one + p11
                 back.append((int(one + p10 > zero + p00), int(from_one > from_zero)))
                 zero, one = max(zero + p00, one + p10), max(from_zero, from_one) + s
             else:
                 one = s
-        if not page:
+        if not scores:
             return []
         labels = [int(one > zero)]
         for choice in reversed(back):
@@ -370,9 +439,9 @@ def default_field(n: int = TRAIN, seed: int = 11) -> Field:
 
 
 def extract_text(page: str | None, field: Field) -> str:
-    found = blocks(page or "")
-    labels = field.viterbi([f for _, f in found])
-    return "\n".join(text for (text, _), keep in zip(found, labels, strict=True) if keep)
+    found = _leaves(page or "")
+    labels = field.viterbi([field.score(own) + node.score(field.weights) for (_, _, node), own in zip(found, _own(found), strict=True)])
+    return "\n".join(text for (text, _, _), keep in zip(found, labels, strict=True) if keep)
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
