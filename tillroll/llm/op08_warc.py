@@ -123,32 +123,62 @@ def archive(pages: DataFrame, folder: str, *, least: int = 0, level: int = 1) ->
     return written(joined.mapInArrow(run, "shard string, records bigint"), "warc-shards")[0]
 
 
+class Damaged(ValueError):
+    """A record that fails a check.  ``end`` is where its stated length ends, if a record's end stands there."""
+
+    def __init__(self, reason: str, end: int | None = None) -> None:
+        super().__init__(reason)
+        self.end = end
+
+
+#: Headers of a record that was found inside a gap: it may be a record, or a part of a damaged record's payload.
+DOUBTFUL = "(doubtful)"
+_HASHES = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha384": hashlib.sha384, "sha512": hashlib.sha512, "md5": hashlib.md5}
+
+
 def _headers(block: bytes) -> dict[str, str]:
-    out = {}
+    """Header fields; lines that begin with white space go on with the line before."""
+    out: dict[str, str] = {}
+    key = ""
     for line in block.split(b"\r\n"):
-        key, colon, value = line.partition(b":")
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and key:
+            out[key] = f"{out[key]} {text.strip()}".strip()
+            continue
+        name, colon, value = text.partition(":")
         if not colon:
-            raise ValueError("a header line without a colon")
-        out[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+            raise Damaged("a header line without a colon")
+        key = name.strip().lower()
+        out[key] = value.strip()
     return out
 
 
+def fits(stated: str, data: bytes) -> bool:
+    """Whether a digest (``algorithm:value`` in base32 or hexadecimal digits of any case) is that of the bytes; one of an unknown algorithm isn't checked."""
+    name, _, value = stated.partition(":")
+    made = _HASHES.get(name.strip().lower().replace("-", ""))
+    if not made:
+        return True
+    raw, value = made(data).digest(), value.strip().rstrip("=").upper()
+    return value in (raw.hex().upper(), base64.b32encode(raw).decode().rstrip("="))
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, end) of the plain record at ``at``; ValueError where a check fails."""
+    """(headers, block, end) of the plain record at ``at``; :class:`Damaged` where a check fails."""
     begin = _HEAD.match(data, at)
     stop = data.find(b"\r\n\r\n", at)
     if not begin or stop < 0:
-        raise ValueError("no version line or no end of the headers")
+        raise Damaged("no version line or no end of the headers")
     fields = _headers(data[begin.end() : stop])
-    size = int(fields.get("content-length", "-1"))
-    end = stop + 4 + size
-    if size < 0 or data[end : end + 4] != b"\r\n\r\n":
-        raise ValueError("the length doesn't fit")
+    stated = fields.get("content-length", "")
+    end = stop + 4 + int(stated) if stated.isascii() and stated.isdigit() else -1
+    if end < 0 or data[end : end + 4] != b"\r\n\r\n":
+        raise Damaged("the length doesn't fit")
     block = data[stop + 4 : end]
-    if (sha := fields.get("warc-block-digest")) and sha != f"sha1:{digest(block)}":
-        raise ValueError("the block's digest doesn't fit")
-    if fields.get("warc-type") == "response" and (sha := fields.get("warc-payload-digest")) and sha != f"sha1:{digest(block.partition(b'\r\n\r\n')[2])}":
-        raise ValueError("the payload's digest doesn't fit")
+    if (sha := fields.get("warc-block-digest")) and not fits(sha, block):
+        raise Damaged("the block's digest doesn't fit", end + 4)
+    if fields.get("warc-type") == "response" and (sha := fields.get("warc-payload-digest")) and not fits(sha, block.partition(b"\r\n\r\n")[2]):
+        raise Damaged("the payload's digest doesn't fit", end + 4)
     return fields, block, end + 4
 
 
@@ -199,19 +229,46 @@ class _Places:
         return min(self.version, self.packed)
 
 
+def _border(data: bytes, at: int) -> bool:
+    """Whether a record or member may begin at ``at``, or the data end there."""
+    return at >= len(data) or bool(_HEAD.match(data, at)) or data.startswith(_GZIP, at)
+
+
+class _Found:
+    """Records in order.  Those behind a search wait until their run ends: if another record, or the data's end, follows, the search
+    had found the next record; otherwise it may have found a record inside the damaged one's payload, and they are doubtful."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.sound, self.waiting, self.searched = data, [], [], False
+
+    def add(self, at: int, fields: dict[str, str], block: bytes) -> None:
+        (self.waiting if self.searched else self.sound).append((at, fields, block))
+
+    def stop(self, at: int, search: bool) -> None:
+        """The run of records ends at ``at``; ``search`` tells that the next one has to be searched for."""
+        sure = _border(self.data, at)
+        self.sound += [(a, f if sure else f | {DOUBTFUL: "found inside a gap"}, b) for a, f, b in self.waiting]
+        self.waiting = []
+        self.searched = search or self.searched and not sure
+
+
 def _plain(plain: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """The sound records of inflated bytes, and the gaps between them."""
-    records, gaps, at, places = [], [], 0, None
+    """The records of inflated bytes, and the gaps between them."""
+    found, gaps, at, places = _Found(plain), [], 0, None
     while at < len(plain):
         try:
-            fields, block, at = parse_record(plain, at)
-            records.append((fields, block))
-        except ValueError as error:
+            fields, block, end = parse_record(plain, at)
+            found.add(at, fields, block)
+            at = end
+        except Damaged as error:
+            jump = error.end is not None and _border(plain, error.end)
+            found.stop(at, not jump)
             places = places or _Versions(plain)
-            after = places.after(at + 1)
+            after = error.end if jump else places.after(at + 1)
             gaps.append((at, after, str(error)))
             at = after
-    return records, gaps
+    found.stop(at, False)
+    return [(fields, block) for _, fields, block in found.sound], gaps
 
 
 class _Versions(_Places):
@@ -223,11 +280,13 @@ class _Versions(_Places):
 
 
 def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """The sound records of an archive as (offset, headers, block) and the gaps as (begin, end, reason).
+    """The records of an archive as (offset, headers, block) and the gaps as (begin, end, reason).
 
     Offsets are of the archive's bytes; a gap inside a member spans the member, and its reason names the inflated bytes.
+    Where a digest alone is wrong, the stated end is the end of the gap.  A record that was searched for, and whose
+    end no other record follows, may be a part of a damaged record's payload: it has the header :data:`DOUBTFUL`.
     """
-    records, gaps, at, places = [], [], 0, _Places(data)
+    found, gaps, at, places = _Found(data), [], 0, _Places(data)
 
     def quarantine(begin: int, end: int, why: str) -> None:
         if gaps and gaps[-1][1] == begin:
@@ -236,35 +295,39 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[
             gaps.append((begin, end, why))
 
     while at < len(data):
+        jump = None
         if data.startswith(_GZIP, at):
             plain, end, why = _inflated(data, at)
-            found, inner = _plain(plain)
-            records += [(at, fields, block) for fields, block in found]
+            inside, inner = _plain(plain)
+            found.stop(at, False)
+            found.sound += [(at, fields, block) for fields, block in inside]
             if why is None:
                 gaps += [(at, end, f"inflated bytes {a} to {b}: {reason}") for a, b, reason in inner]
                 at = end
                 continue
         else:
             try:
-                fields, block, at_end = parse_record(data, at)
-                records.append((at, fields, block))
-                at = at_end
+                fields, block, end = parse_record(data, at)
+                found.add(at, fields, block)
+                at = end
                 continue
-            except ValueError as error:
-                why = str(error)
-        after = places.after(at + 1)
+            except Damaged as error:
+                why, jump = str(error), error.end if error.end is not None and _border(data, error.end) else None
+        found.stop(at, jump is None)
+        after = places.after(at + 1) if jump is None else jump
         quarantine(at, after, why)
         at = after
-    return records, gaps
+    found.stop(at, False)
+    return found.sound, gaps
 
 
-_ROW = {"shard": pa.string(), "offset": pa.int64(), "gap_end": pa.int64(), "reason": pa.string(), "page_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "payload": pa.string()}
+_ROW = {"shard": pa.string(), "offset": pa.int64(), "gap_end": pa.int64(), "reason": pa.string(), "page_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "payload": pa.string(), "doubtful": pa.bool_()}
 
 
 def read_archives(shards: DataFrame, folder: str, *, payloads: bool = False, strict: bool = False) -> DataFrame:
     """A row for each page record of the shards, and for each quarantined gap one with its ``reason``.
 
-    ``payload_bytes`` and ``payload_digest`` are of the full payload, for revisits from their headers.  ``strict``
+    ``payload_bytes`` and ``payload_digest`` are of the full payload, for revisits from their headers.  ``doubtful`` marks records that may be a part of a damaged one.  ``strict``
     raises where a shard has a gap or yields another number of page records than ``shards`` says.
     """
 
@@ -286,12 +349,13 @@ def read_archives(shards: DataFrame, folder: str, *, payloads: bool = False, str
                     rows.append({
                         "shard": shard, "offset": at, "gap_end": None, "reason": None, "page_id": fields.get("x-page-id"), "url": fields.get("warc-target-uri"),
                         "record_type": fields["warc-type"], "refers_to": fields.get("x-refers-to-page-id"), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"),
-                        "payload_bytes": len(body) if fields["warc-type"] == "response" else int(length[1]) if length else None, "payload": body.decode("utf-8", "replace") if payloads else None,
+                        "payload_bytes": len(body) if fields["warc-type"] == "response" else int(length[1]) if length else None, "payload": body.decode("utf-8", "replace") if payloads else None, "doubtful": DOUBTFUL in fields,
                     })
                 for i in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + 2000]], kind) for c, kind in _ROW.items()], list(_ROW))
 
-    schema = ", ".join(f"{c} {'bigint' if kind == pa.int64() else 'string'}" for c, kind in _ROW.items())
+    names = {pa.int64(): "bigint", pa.bool_(): "boolean", pa.string(): "string"}
+    schema = ", ".join(f"{c} {names[kind]}" for c, kind in _ROW.items())
     return shards.select("shard", "records").repartition(max(1, shards.sparkSession.sparkContext.defaultParallelism * 4)).mapInArrow(run, schema)
 
 
