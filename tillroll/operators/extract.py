@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tillroll.functions.fuzzy import alike, any_like, first_near, ratio
 from tillroll.functions.parsing import B, amounts, best_amount, find_date, find_time, let, receipt_no
+from tillroll.functions.sums import arithmetic
 
 # Words of receipts, most specific first.
 TOTAL_KEYWORDS = [
@@ -125,23 +126,17 @@ def find_total(df: DataFrame) -> DataFrame:
     flat = F.flatten("found")
     decimals = F.array_sort(F.array_distinct(F.transform(F.filter(flat, lambda x: x["has_decimals"]), lambda x: x["value"])))
     df = df.withColumn("decimals", decimals)
-    triples = F.flatten(F.transform("decimals", lambda a: F.flatten(F.transform(F.filter("decimals", lambda b: (a > b) & (F.abs(b - a * 0.07) <= F.greatest(F.lit(0.05), a * 0.005))), lambda b: F.filter("decimals", lambda c: F.abs(c - (a + b)) <= 0.05)))))
-    math = F.when(F.size("decimals") >= 3, F.array_max(triples))
     printed = F.transform(F.filter(flat, lambda x: x["has_decimals"]), lambda x: x["value"])
-    df = df.withColumn("printed", printed)
-    n = F.size("printed")
-    at = lambda i: F.try_element_at("printed", i)
-    upto = lambda a: F.when(a <= n, F.sequence(a, n)).otherwise(F.array().cast("array<int>"))
-    spent = F.flatten(F.transform(upto(F.lit(1)), lambda i: F.flatten(F.transform(upto(i + 1), lambda j: F.transform(F.filter(upto(j + 1), lambda k: (at(j) < at(i)) & (F.abs(at(i) - at(j) - at(k)) <= 0.05)), lambda k: at(j))))))
-    slip = F.try_element_at(spent, F.lit(1))
     footer = F.try_element_at(F.filter(F.zip_with("low", "best", lambda s, v: F.when(s.rlike(r"c\w?rd\s*n[o0]"), v)), lambda v: v.isNotNull()), F.lit(1))
     text = F.array_join("low", " ")
     is_slip = sum((F.regexp_count(text, F.lit(w)) for w in SLIP[1:]), F.regexp_count(text, F.lit(SLIP[0]))) >= 2
+    sums = arithmetic(F.col("decimals"), F.when(is_slip, printed).otherwise(F.array().cast("array<double>")))
+    df = df.withColumn("sums", sums)
     marked = F.flatten(F.zip_with("low", "found", lambda s, f: F.when(~holds(s, PAYMENT), F.transform(F.filter(f, lambda x: x["has_currency"] & x["has_decimals"]), lambda x: x["value"])).otherwise(F.array().cast("array<double>"))))
     single = F.when(F.size(F.array_distinct(marked)) == 1, F.array_distinct(marked)[0])
     subtotal = F.array_max(F.zip_with("low", "best", lambda s, v: F.when(holds(s, SUBTOTAL), v)))
     has_vat = F.coalesce(F.exists(F.zip_with("low", "best", lambda s, v: holds(s, VAT) & v.isNotNull()), lambda x: x), F.lit(False))
-    df = df.withColumns({"math": math, "slip": slip, "footer": footer, "is_slip": is_slip, "single": single, "subtotal": F.when(~has_vat, subtotal)})
+    df = df.withColumns({"math": F.col("sums.taxed"), "slip": F.col("sums.spent"), "footer": footer, "is_slip": is_slip, "single": single, "subtotal": F.when(~has_vat, subtotal)})
     key = F.col("keyword.value")
     pick = lambda v, score, why: F.struct(v.alias("value"), F.lit(score).alias("score"), F.lit(why).alias("reason"))
     slips = F.when(F.col("slip").isNotNull(), pick(F.col("slip"), 80, "balance difference")).when(F.col("footer").isNotNull(), pick(F.col("footer"), 85, "card footer")).when(key.isNotNull() & F.col("keyword.exact"), pick(key, 45, "keyword"))
@@ -151,7 +146,7 @@ def find_total(df: DataFrame) -> DataFrame:
         .when(F.col("math").isNotNull(), pick(F.col("math"), 60, "arithmetic")).when(F.col("single").isNotNull(), pick(F.col("single"), 40, "only marked amount"))
         .when(F.col("subtotal").isNotNull(), pick(F.col("subtotal"), 30, "subtotal"))
     )
-    drop = ["near", "tokens", "ranks", "decimals", "printed", "math", "slip", "footer", "is_slip", "single", "subtotal", "negative"]
+    drop = ["near", "tokens", "ranks", "decimals", "sums", "math", "slip", "footer", "is_slip", "single", "subtotal", "negative"]
     return df.withColumn("total", F.when(F.col("is_slip"), slips).otherwise(plain)).withColumn("keyword_total", key).drop(*drop, "keyword")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions import privacy
@@ -203,6 +203,40 @@ def _rendered(s: SparkSession, p: str) -> DataFrame:
     return r.select("id", lines.alias("lines"))
 
 
+def _layouts(s: SparkSession, p: str) -> DataFrame:
+    """Orders as text boxes of receipts in twelve layouts and three kinds of head; each layout takes another way to the total."""
+    r = d.receipts(s, p)
+    k, cents = F.col("id") % 12, F.col("cents")
+    tax = F.floor((cents * 7 + 50) / 100).cast("bigint")
+    net, levy, gross, more = (ledger.money(x) for x in (cents, tax, cents + tax, cents + 5000))
+    line = lambda left, right="": F.struct(F.lit(left).alias("left"), (right if isinstance(right, Column) else F.lit(right)).alias("right"))
+    sums = [line("Goods", net), line("Levy", levy)]
+    bodies = [
+        [*sums, line("Amount due", gross)], [*sums, line("paid", gross), line("Grand total", "12.40")], [line("Soup", "40"), line("Net total", net)], [line("Total"), line("pcs"), line("", net)],
+        [*sums, line("paid", gross)], [line("Snack", F.concat(F.lit("฿"), net))], [line("Stew", "66"), line("Subtotal", net)], [line("old balance", more), line("used", net), line("new balance", "50.00")],
+        [line("balance before"), line("balance behind"), line("Card no x paid", net)], [line("balance a"), line("balance b"), line("total amount", net)], [line("only words"), line("three spoons")], [line("T0TAL", net)],
+    ]
+    number = F.element_at(F.array(*(F.lit(m[2]) for m in extract.MERCHANTS)), (F.col("member_id") % 6 + 1).cast("int"))
+    heads = [[line("HILLTOP BOOKS"), line("North Gate")], [line("CORNER HOUSE"), line("TAX ID:", number)], [line("Bangkok Bank"), line("CORNER HOUSE")]]
+    chosen = lambda by, cases: F.element_at(F.array(*(F.array(*c) for c in cases)), (by + 1).cast("int"))
+    dated = F.array(line("", F.date_format("receipt_date", "dd/MM/yyyy")), line("Bill no:", F.concat(F.lit("K"), "id")))
+    lines = F.concat(chosen(F.floor(F.col("id") / 12) % 3, heads), dated, chosen(k, bodies))
+    box = lambda x, i, part, x1: F.struct(x[part].alias("text"), F.lit(x1).alias("x1"), (i * 20 + x1 % 7).alias("y1"), F.lit(x1 + 40).alias("x2"), (i * 20 + 13).alias("y2"))
+    # the right box of a line is told before the left one, and blank boxes stand between
+    boxes = F.flatten(F.transform(lines, lambda x, i: F.array(box(x, i, "right", 100), box(x, i, "left", 10))))
+    return r.select("id", extract.box_lines(boxes).alias("lines"))
+
+
+def receipt_layouts(s: SparkSession, p: str) -> DataFrame:
+    """F-01, F-05 to F-11, F-15, F-18 to F-20, F-22, W-02, W-04, W-05 from boxes to records."""
+    out = extract.extract_receipts(_layouts(s, p), "1999-06-01")
+    rule = lambda name: F.when(F.array_contains("rules.passed", name), "passed").when(F.array_contains("rules.failed", name), "failed").when(F.array_contains("rules.skipped", name), "skipped")
+    return out.select(
+        "id", F.round("total_amount", 2).alias("total_amount"), F.col("total.score").cast("bigint").alias("score"), F.col("total.reason").alias("reason"), "receipt_no", "merchant_text", "merchant_code", "merchant", "rejected",
+        *(rule(n).alias(n) for n in ("total_in_range", "date_not_in_future", "date_not_too_old")), extract.trusted(F.col("total_amount"), F.col("rules")).alias("trusted"),
+    )
+
+
 def extract_full(s: SparkSession, p: str) -> DataFrame:
     out = extract.extract_receipts(_rendered(s, p), "1999-06-01")
     first = F.col("items")[0]
@@ -286,7 +320,7 @@ QUERIES = {
     for f in (
         metrics_by_tenant, metrics_window, dead_letter, dead_count, export_unsent, history_top20, resend_batch, resend_summary, revive, purge_plan, purged_ledger, eligible_members,
         member_upsert, stuck_pending, fingerprints, fingerprint_conflict, points, normalize_phone, dup_vs_ledger, dedup_replay, dedup_confusion, rate_limit, first_claim, job_status,
-        otp_attempts, circuit_breaker, extract_full, unsent_sheet, extraction_report, parse_date, line_items_sum, field_accuracy, item_accuracy, mask_text, sanitize, amount_accuracy,
+        otp_attempts, circuit_breaker, extract_full, receipt_layouts, unsent_sheet, extraction_report, parse_date, line_items_sum, field_accuracy, item_accuracy, mask_text, sanitize, amount_accuracy,
     )
 }
 
@@ -327,6 +361,17 @@ ORACLES = {
       WHERE k = 1 AND floor(epoch(ts)) + 3456000 > epoch(TIMESTAMP '2024-01-15 00:00:00')""",
     "extract_full": f"""WITH {R} SELECT id, round(cents / 100, 2) AS total_amount, CAST(receipt_time_s AS BIGINT) AS receipt_time_s, lpad(CAST(id AS VARCHAR), 9, '0') AS codes,
       [{', '.join(f"'{m[0]}'" for m in extract.MERCHANTS)}][member_id % 6 + 1] AS merchant_code, CAST(1 AS BIGINT) AS n_items, 'NOODLE SET' AS item, true AS items_match FROM receipts""",
+    "receipt_layouts": f"""WITH {R}, l AS (SELECT *, id % 12 AS k, id // 12 % 3 AS head, (cents * 7 + 50) // 100 AS tax, CASE WHEN year(receipt_date) BETWEEN 1994 AND 2000 THEN receipt_date END AS day FROM receipts),
+      m AS (SELECT *, CASE WHEN k IN (0, 1, 4) THEN round((cents + tax) / 100, 2) WHEN k <> 10 THEN round(cents / 100, 2) END AS total,
+        CASE head WHEN 0 THEN 'HILLTOP BOOKS North Gate' ELSE 'CORNER HOUSE' END AS merchant_text,
+        CASE head WHEN 1 THEN [{', '.join(f"'{m[0]}'" for m in extract.MERCHANTS)}][member_id % 6 + 1] END AS code, CASE head WHEN 1 THEN [{', '.join(f"'{m[1]}'" for m in extract.MERCHANTS)}][member_id % 6 + 1] END AS name FROM l)
+      SELECT id, total AS total_amount, CAST([100, 70, 50, 50, 60, 40, 30, 80, 85, 45, NULL, 50][k + 1] AS BIGINT) AS score,
+        ['keyword and arithmetic', 'arithmetic', 'keyword', 'keyword', 'arithmetic', 'only marked amount', 'subtotal', 'balance difference', 'card footer', 'keyword', NULL, 'keyword'][k + 1] AS reason,
+        'K' || id AS receipt_no, merchant_text, code AS merchant_code, coalesce(name, merchant_text) AS merchant, k = 10 AS rejected,
+        CASE WHEN total BETWEEN 1 AND 500000 THEN 'passed' ELSE 'failed' END AS total_in_range,
+        CASE WHEN day IS NULL THEN 'skipped' WHEN day <= DATE '1999-06-02' THEN 'passed' ELSE 'failed' END AS date_not_in_future,
+        CASE WHEN day IS NULL THEN 'skipped' WHEN date_diff('day', day, DATE '1999-06-01') <= 400 THEN 'passed' ELSE 'failed' END AS date_not_too_old,
+        coalesce(total BETWEEN 1 AND 500000, false) AND coalesce(day <= DATE '1999-06-02', true) AS trusted FROM m""",
     "unsent_sheet": f"""WITH {R}, {M} SELECT r.tenant_id, r.created_at, r.id, CASE WHEN r.id % 3 = 0 THEN 'gp' || r.id ELSE '' END AS crm_reference, coalesce(m.crm_customer_id, '') AS customer_id,
       CAST(r.cents // 100 AS VARCHAR) || '.' || lpad(CAST(r.cents % 100 AS VARCHAR), 2, '0') AS amount, 'std' AS formula_id, coalesce(r.merchant_code, '') AS merchant, strftime(r.receipt_date, '%Y-%m-%d') AS receipt_date, r.status
       FROM receipts r JOIN members m ON r.member_id = m.id WHERE r.status IN ('FAILED', 'PENDING', 'DEAD')""",
