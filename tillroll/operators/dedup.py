@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,7 +62,7 @@ FEW = 1 << 19
 
 
 def _hubs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, hub, live) of the hubs that receipts lie in, and (hub, other) of the hubs whose receipts match; live ones may be kept.
+    """(id, hub, live) of the hubs that receipts lie in, and (hub, other) of different hubs whose receipts match, both ways; live ones may be kept.
 
     A hub is a set of receipts that all match each other: those of one tenant, amount and reference code, and those of one tenant, amount,
     member, merchant, date and time.  So at most one receipt of a hub is ever kept, whatever their number.
@@ -75,19 +75,19 @@ def _hubs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     live = F.coalesce(F.col("status") != "REJECTED", F.lit(True)).alias("live")
     held = codes.select("id", F.concat(F.lit("c"), "hub").alias("hub"), live).unionByName(bought.select("id", F.concat(F.lit("b"), "hub").alias("hub"), live))
 
-    # hubs of one receipt that no other one is near fall out here, before rounds begin
     code_hubs = codes.select("tenant_id", "code", "cents", F.concat(F.lit("c"), "hub").alias("hub")).distinct()
-    near_codes = _within_a_cent(code_hubs, ["tenant_id", "code"]).select(F.col("n.hub").alias("hub"), F.col("o.hub").alias("other"))
+    near_codes = _pairs(code_hubs, ["tenant_id", "code"], [1])
     buy_hubs = bought.select(*same, F.concat(F.lit("b"), "hub").alias("hub"), F.array().cast("array<string>").alias("reference_codes")).distinct()
-    near_buys = _within_a_cent(buy_hubs, ["tenant_id", "member_id"]).filter(_rule("n", "o").isNotNull()).select(F.col("n.hub").alias("hub"), F.col("o.hub").alias("other"))
-    return held, near_codes.unionByName(near_buys)
+    near_buys = _pairs(buy_hubs, ["tenant_id", "member_id"], [0, 1]).filter(_rule("n", "o").isNotNull())
+    once = near_codes.select("n.hub", F.col("o.hub").alias("other")).unionByName(near_buys.select("n.hub", F.col("o.hub").alias("other")))
+    return held, once.unionByName(once.select(F.col("other").alias("hub"), F.col("hub").alias("other")))
 
 
-def _within_a_cent(hubs: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (n, o) of hubs of the same ``keys`` (nulls alike) whose amounts are at most a cent apart."""
-    new = hubs.withColumn("near", F.explode(F.array(F.col("cents") - 1, F.col("cents"), F.col("cents") + 1)))
+def _pairs(hubs: DataFrame, keys: list[str], ahead: list[int]) -> DataFrame:
+    """Pairs (n, o) of different hubs of the same ``keys`` (nulls alike), each pair once, where o's amount is so many cents ahead."""
+    new = hubs.withColumn("near", F.explode(F.array(*(F.col("cents") + k for k in ahead))))
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-    return new.alias("n").join(hubs.alias("o"), [F.col("n.near") == F.col("o.cents"), *same])
+    return new.alias("n").join(hubs.alias("o"), [F.col("n.near") == F.col("o.cents"), *same, (F.col("n.cents") < F.col("o.cents")) | (F.col("n.hub") < F.col("o.hub"))])
 
 
 def _decide_in_order(rest: DataFrame) -> DataFrame:
@@ -106,6 +106,26 @@ def _decide_in_order(rest: DataFrame) -> DataFrame:
     return rest.repartition(1).sortWithinPartitions("id").mapInPandas(run, "id bigint, accepted boolean")
 
 
+def _rounds(mine: DataFrame, near: DataFrame, state: DataFrame, small: Callable, in_order: Callable) -> DataFrame:
+    """(id, live, state) of all receipts, ``in`` or ``out``; the last ones are decided in order when they are few."""
+    while True:
+        placed = mine.select("id", "hub").join(state, "id")
+        first = lambda s: F.min(F.when(F.col("live") & (F.col("state") == s), F.col("id")))
+        hubs = placed.filter("state <> 'out'").groupBy("hub").agg(first("in").alias("kept"), first("open").alias("open"))
+        seen = near.join(hubs.withColumnRenamed("hub", "other"), "other").select("hub", "kept", "open").unionByName(hubs).groupBy("hub").agg(F.min("kept").alias("kept"), F.min("open").alias("open"))
+        told = placed.filter("state = 'open'").join(seen, "hub", "left").groupBy("id").agg(F.min("kept").alias("kept"), F.min("open").alias("open"))
+        signal = state.join(told, "id", "left")
+        before = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
+        decided = F.when(F.col("state") != "open", F.col("state")).when(before("kept"), "out")
+        turn = kept(signal.select("id", "live", decided.when(before("open"), "open").otherwise("in").alias("state"), decided.otherwise("open").alias("waiting")), "state")
+        if turn.filter("state = 'open'").isEmpty():
+            return turn
+        rest = mine.join(turn.filter("waiting = 'open'").select("id"), "id", "left_semi")
+        if small(rest):
+            return kept(turn.join(in_order(rest), "id", "left").select("id", "live", F.coalesce("now", "waiting").alias("state")), "state")
+        state = turn
+
+
 def replay_dedup(rows: DataFrame, *, few: int = FEW) -> DataFrame:
     """D-01b: (id, accepted, existing_id) when rows arrive in the order of id and only accepted ones are kept.
 
@@ -119,39 +139,31 @@ def replay_dedup(rows: DataFrame, *, few: int = FEW) -> DataFrame:
     id or amount match nothing and are accepted; different rows of one id are one receipt.  Of several kept ones an AWARDED one wins, else
     the least id.
     """
-    held, near = (kept(x, n) for x, n in zip(_hubs(rows), ("hubs", "near"), strict=True))
-    crowded = held.groupBy("hub").agg((F.max("id") > F.min("id")).alias("many"))
-    linked = near.join(crowded, "hub").filter("many OR hub <> other").select("hub").distinct()
-    mine = kept(held.join(linked, "hub"), "held")
-    near = kept(near.join(linked, "hub", "left_semi").join(linked.withColumnRenamed("hub", "other"), "other", "left_semi"), "near")
-    state = mine.groupBy("id").agg(F.max("live").alias("live"), F.lit("open").alias("state"))
+    held, near = _hubs(rows)
+    near = kept(near, "near")
+    # hubs of one receipt that no other one is near fall out here, before rounds begin
+    crowded = held.groupBy("hub").agg((F.max("id") > F.min("id")).alias("many")).filter("many").select("hub")
+    mine = kept(held.join(crowded.unionByName(near.select("hub")).distinct(), "hub"), "held")
+    state = mine.groupBy("id").agg(F.max("live").alias("live"), F.lit("open").alias("state"), F.lit("open").alias("waiting"))
 
-    while True:
-        placed = mine.select("id", "hub").join(state, "id")
-        first = lambda s: F.min(F.when(F.col("live") & (F.col("state") == s), F.col("id")))
-        hubs = placed.filter("state <> 'out'").groupBy("hub").agg(first("in").alias("kept"), first("open").alias("open"))
-        seen = near.join(hubs.withColumnRenamed("hub", "other"), "other").groupBy("hub").agg(F.min("kept").alias("kept"), F.min("open").alias("open"))
-        told = placed.filter("state = 'open'").join(seen, "hub", "left").groupBy("id").agg(F.min("kept").alias("kept"), F.min("open").alias("open"))
-        signal = state.join(told, "id", "left")
-        before = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
-        moved = F.when(F.col("state") != "open", F.col("state")).when(before("kept"), "out").when(before("open"), "open").otherwise("in")
-        waiting = F.when(F.col("state") != "open", F.col("state")).when(before("kept"), "out").otherwise("open")
-        turn = kept(signal.select("id", "live", moved.alias("state"), waiting.alias("waiting")), "state")
-        open_ids = turn.filter("waiting = 'open'").select("id")
-        if turn.filter("state = 'open'").isEmpty():
-            state = turn.drop("waiting")
-            break
-        around = mine.join(open_ids, "id", "left_semi").join(near, "hub", "left").groupBy("id", "live").agg(F.collect_set("hub").alias("hubs"), F.collect_set("other").alias("others"))
-        if mine.join(open_ids, "id", "left_semi").join(near, "hub").count() <= few:
-            done = _decide_in_order(around).select("id", F.when(F.col("accepted"), "in").otherwise("out").alias("now"))
-            state = kept(turn.join(done, "id", "left").select("id", "live", F.coalesce("now", "waiting").alias("state")), "state")
-            break
-        state = turn.drop("waiting")
+    def small(some: DataFrame) -> bool:
+        return some.count() + some.join(near, "hub").count() <= few
+
+    def in_order(some: DataFrame) -> DataFrame:
+        with_near = some.join(near, "hub", "left").withColumn("other", F.explode(F.array_compact(F.array("hub", "other"))))
+        around = with_near.groupBy("id").agg(F.max("live").alias("live"), F.collect_set("hub").alias("hubs"), F.collect_set("other").alias("others"))
+        return _decide_in_order(around).select("id", F.when(F.col("accepted"), "in").otherwise("out").alias("now"))
+
+    if small(mine):
+        state = kept(state.join(in_order(mine), "id").select("id", "live", F.col("now").alias("state")), "state")
+    else:
+        state = _rounds(mine, near, state, small, in_order)
 
     status = rows.filter("id IS NOT NULL").groupBy("id").agg(F.min((F.col("status") != "AWARDED").cast("int")).alias("later"))
     winners = mine.join(state.filter("state = 'in' AND live"), "id", "left_semi").join(status, "id").select(F.col("hub").alias("other"), F.struct("later", "id").alias("winner"))
     fallen = mine.select("id", "hub").join(state.filter("state = 'out'"), "id", "left_semi")
-    found = fallen.join(near.join(winners, "other"), "hub").filter("winner.id < id").groupBy("id").agg(F.min("winner").alias("winner"))
+    around = near.join(winners, "other").select("hub", "winner").unionByName(winners.select(F.col("other").alias("hub"), "winner"))
+    found = fallen.join(around, "hub").filter("winner.id < id").groupBy("id").agg(F.min("winner").alias("winner"))
     decided = found.select("id", F.col("winner.id").alias("existing_id"))
     return rows.select("id").join(decided, "id", "left").select("id", F.col("existing_id").isNull().alias("accepted"), "existing_id")
 
