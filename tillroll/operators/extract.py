@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tillroll.functions.fuzzy import alike, any_like, first_near, ratio
 from tillroll.functions.parsing import B, amounts, best_amount, find_date, find_time, let, receipt_no
 from tillroll.functions.sums import arithmetic
+from tillroll.operators.merchants import identify_by
 
 # Words of receipts, most specific first.
 TOTAL_KEYWORDS = [
@@ -304,11 +305,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def extract_receipts(df: DataFrame, as_of: str) -> DataFrame:
-    """F-23: the record of each row of ``lines``; ``rejected`` where no total above 0 was found (P-08)."""
+def extract_receipts(df: DataFrame, as_of: str, registry: DataFrame | None = None) -> DataFrame:
+    """F-23: the record of each row of ``lines``; ``rejected`` where no total above 0 was found (P-08).
+
+    Merchants are those of ``registry`` (see ``merchants.identify_by``), without one the six known ones.
+    """
     today = F.lit(as_of).cast("date")
     df = spread(df)
-    df = identify(find_merchant(find_total(df)))
+    df = find_merchant(find_total(df))
+    df = identify(df) if registry is None else identify_by(df, registry)
     df = df.withColumns({"total_amount": F.col("total.value"), "receipt_date": find_date(F.col("lines"), today), "receipt_time_s": find_time(F.col("lines")), "receipt_no": receipt_no(F.col("lines")), "reference_codes": reference_codes("lines")})
     df = df.withColumn("items", line_items(F.col("lines"), F.col("total_amount")))
     df = df.withColumn("rules", validate(F.col("items"), F.col("total_amount"), F.col("receipt_date"), today))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import privacy
 from tillroll.functions.parsing import B, E
-from tillroll.operators import dedup, evaluate, extract, ledger, state
+from tillroll.operators import dedup, evaluate, extract, ledger, merchants, state
 from tillroll.sources import derived as d
 from tillroll.sources import exports
 
@@ -249,6 +249,35 @@ def extract_full(s: SparkSession, p: str) -> DataFrame:
     )
 
 
+def _shop_word(key: Column) -> Column:
+    """12 to 18 letters by rule from a key."""
+    return F.translate(F.substring(F.md5(key.cast("string")), F.lit(1), F.lit(12) + (key % 7).cast("int")), "0123456789abcdef", "bcdfghjklmnprstv")
+
+
+def _slips(s: SparkSession, p: str) -> tuple[DataFrame, DataFrame]:
+    """(a slip for each line of an order, the registry of suppliers); a slip names its supplier in one of six ways."""
+    k, v = F.col("l_suppkey"), F.col("l_orderkey") % 6
+    word = _shop_word(k)
+    damaged = lambda places: F.transform(F.split(word, ""), lambda c, i: F.when(i.isin(*places), "x").otherwise(c))
+    tax = F.regexp_replace((F.lit(10**12) + k * 7919).cast("string"), r"^(.)(.{4})(.{5})", "$1-$2 $3-")
+    ways = [
+        F.array(F.concat(F.lit("Tax no. "), tax), F.concat(F.lit("by "), _shop_word(F.lit(0)))), F.array(F.concat(F.upper(_shop_word(k + 1)), F.lit(" next to "), F.upper(word))),
+        F.array(F.lit(None).cast("string"), F.concat(F.lit("at "), F.translate(word, "bs", "85"))), F.array(F.lit("hall"), F.concat_ws("", damaged([3, 8])), F.lit("stall 9")),
+        F.array(F.concat_ws("", damaged([2, 5, 8, 11]))), F.array(F.lit("no shop named")),
+    ]
+    slips = d.table(s, p, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*ways), (v + 1).cast("int")).alias("lines"))
+    key = F.col("s_suppkey")
+    shops = d.table(s, p, "supplier").select(
+        F.concat(F.lit("s"), key).alias("code"), F.concat(F.lit("Shop "), key).alias("name"), F.when(key % 9 != 4, (F.lit(10**12) + key * 7919).cast("string")).alias("tax_id"), F.array(_shop_word(key)).alias("keywords"), key.alias("priority"),
+    )
+    return slips, shops
+
+
+def merchants_by_registry(s: SparkSession, p: str) -> DataFrame:
+    """F-19, F-20, J-05, J-06 over a registry table."""
+    return merchants.identify_by(*_slips(s, p)).select("l_orderkey", "l_linenumber", "merchant_code", "merchant")
+
+
 def unsent_sheet(s: SparkSession, p: str) -> DataFrame:
     """S-12: the sheet of each tenant; every third receipt has a reference of the CRM already."""
     r = d.receipts(s, p).withColumns({"crm_reference": F.when(F.col("id") % 3 == 0, F.concat(F.lit("gp"), "id")), "merchant": F.col("merchant_code")})
@@ -323,7 +352,7 @@ QUERIES = {
     for f in (
         metrics_by_tenant, metrics_window, dead_letter, dead_count, export_unsent, history_top20, resend_batch, resend_summary, revive, purge_plan, purged_ledger, eligible_members,
         member_upsert, stuck_pending, fingerprints, fingerprint_conflict, points, normalize_phone, dup_vs_ledger, dedup_replay, dedup_confusion, rate_limit, first_claim, job_status,
-        otp_attempts, circuit_breaker, extract_full, receipt_layouts, unsent_sheet, extraction_report, parse_date, line_items_sum, field_accuracy, item_accuracy, mask_text, sanitize, amount_accuracy,
+        otp_attempts, circuit_breaker, extract_full, receipt_layouts, merchants_by_registry, unsent_sheet, extraction_report, parse_date, line_items_sum, field_accuracy, item_accuracy, mask_text, sanitize, amount_accuracy,
     )
 }
 
@@ -379,6 +408,8 @@ ORACLES = {
         CASE WHEN day IS NULL THEN 'skipped' WHEN day <= DATE '1999-06-02' THEN 'passed' ELSE 'failed' END AS date_not_in_future,
         CASE WHEN day IS NULL THEN 'skipped' WHEN date_diff('day', day, DATE '1999-06-01') <= 400 THEN 'passed' ELSE 'failed' END AS date_not_too_old,
         coalesce(total BETWEEN 1 AND 500000, false) AND coalesce(day <= DATE '1999-06-02', true) AS trusted FROM m""",
+    "merchants_by_registry": """WITH k AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 6 = 0 AND l_suppkey % 9 = 4 THEN 0 WHEN l_orderkey % 6 < 4 THEN l_suppkey END AS shop FROM lineitem)
+      SELECT l_orderkey, l_linenumber, 's' || shop AS merchant_code, coalesce('Shop ' || shop, 'unknown') AS merchant FROM k""",
     "unsent_sheet": f"""WITH {R}, {M} SELECT r.tenant_id, r.created_at, r.id, CASE WHEN r.id % 3 = 0 THEN 'gp' || r.id ELSE '' END AS crm_reference, coalesce(m.crm_customer_id, '') AS customer_id,
       CAST(r.cents // 100 AS VARCHAR) || '.' || lpad(CAST(r.cents % 100 AS VARCHAR), 2, '0') AS amount, 'std' AS formula_id, coalesce(r.merchant_code, '') AS merchant, strftime(r.receipt_date, '%Y-%m-%d') AS receipt_date, r.status
       FROM receipts r JOIN members m ON r.member_id = m.id WHERE r.status IN ('FAILED', 'PENDING', 'DEAD')""",
