@@ -46,6 +46,8 @@ ROWS, BANDS = 5, 28
 REGISTERS = ROWS * BANDS
 #: Counters of shingle frequencies in the residue, a power of two; they order shingles, so collisions cost time only.
 COUNTERS = 20
+#: Rows of one shingle on either side of the residue's join that meet in one group; a shingle of more rows is split into a grid of groups.
+SPLIT = 4096
 
 
 def weighted_shingles(found: Words, n: int, k: int = WORDS, weight: str = "count") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,19 +232,27 @@ def prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
     return sets.select("node", "root", "elements", "weights").mapInArrow(run, "token bigint, node bigint, root bigint, rest double, size int")
 
 
-def off_star_pairs(residue: DataFrame, least: float) -> DataFrame:
-    """(a, b) of different roots that may be similar; ``residue`` has node, root, elements and weights."""
+def off_star_pairs(residue: DataFrame, least: float, split: int = SPLIT) -> DataFrame:
+    """(a, b) of different roots that may be similar; ``residue`` has node, root, elements and weights.
+
+    No group of the join has more than about ``split`` rows on a side, however many texts share a shingle.
+    """
     tokens, _ = written(prefixes(residue, frequencies(residue), least), "prefixes")
     # per token the root of most rows; its rows meet only those of other roots, so no pairs of one large component are looked at
     roots = tokens.groupBy("token", "root").agg(F.count("*").alias("n"))
-    top = roots.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    strips = lambda n: F.ceil(n / split).cast("int")
+    tops = roots.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    top = tops.filter("roots > 1").select("token", "top", strips(F.col("n") - F.col("most")).alias("rows"), strips(F.col("n")).alias("columns"))
     live, live_at = written(tokens.join(top, "token"), "prefixes")
-    one, two = live.filter("root <> top"), live.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "rest", "size")))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = live.filter("root <> top").withColumn("i", part("rows")).withColumn("j", every("columns"))
+    two = live.withColumn("j", part("columns")).withColumn("i", every("rows")).select("token", "i", "j", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "rest", "size")))
     once = (F.col("root2") == F.col("top")) | (F.col("node") < F.col("node2"))
     shares = 1 / F.col("rest") + 1 / F.col("rest2") <= 1 + 1 / least + 1e-9
     common = F.least(F.col("rest") * F.col("size"), F.col("rest2") * F.col("size2"))
     sizes = (F.col("size") == 0) | (F.col("size2") == 0) | (common >= least / (1 + least) * (F.col("size") + F.col("size2")) - 1e-6)
-    pairs = one.join(two, (one["token"] == two["token"]) & (F.col("root") != F.col("root2")) & once & shares & sizes)
+    pairs = one.join(two, ["token", "i", "j"]).filter((F.col("root") != F.col("root2")) & once & shares & sizes)
     return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
