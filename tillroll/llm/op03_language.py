@@ -9,7 +9,9 @@ narrow pass in which a text of any length costs a table look-up for each n-gram.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; with no labelled documents at
 all, everything is ``und``.  Documents with a null lang are predicted, never learned from.  Repeated
-rows get equal predictions; lang, source and doc_id are no inputs of a prediction.
+rows get equal predictions; lang, source and doc_id are no inputs of a prediction.  Texts of more than
+``SAMPLE_CHARS`` characters are predicted, but the weights aren't fitted on them, so a language of such texts
+only isn't learned; more than 1,000 languages raise a ValueError.
 """
 
 from __future__ import annotations
