@@ -275,7 +275,8 @@ def _slips(s: SparkSession, p: str) -> tuple[DataFrame, DataFrame]:
 
 def merchants_by_registry(s: SparkSession, p: str) -> DataFrame:
     """F-19, F-20, J-05, J-06 over a registry table."""
-    return merchants.identify_by(*_slips(s, p)).select("l_orderkey", "l_linenumber", "merchant_code", "merchant")
+    slips, shops = _slips(s, p)
+    return merchants.identify_by(extract.spread(slips), shops).select("l_orderkey", "l_linenumber", "merchant_code", "merchant")
 
 
 def unsent_sheet(s: SparkSession, p: str) -> DataFrame:
