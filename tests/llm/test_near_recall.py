@@ -1,6 +1,7 @@
 """Near-duplicates against all links of whole tables; hot shingles are split without a change of pairs."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -45,3 +46,18 @@ def test_split_shingles_give_the_same_pairs(spark):
     residue = spark.createDataFrame(rows, "node bigint, root bigint, elements binary, weights binary")
     pairs = {s: sorted(map(tuple, op9.off_star_pairs(residue, 0.6, s).collect())) for s in (2, 5, 4096)}
     assert len(pairs[4096]) > 100 and pairs[2] == pairs[5] == pairs[4096]
+
+
+def test_counters_stay_small_in_the_driver(spark):
+    rng = np.random.default_rng(5)
+    held = [np.unique(rng.integers(0, 1 << 32, 200_000, np.uint32)) for _ in range(6)]
+    held += [held[0], held[0][:7], np.zeros(0, np.uint32)]
+    sets = spark.createDataFrame([(x.astype("<u4").tobytes(),) for x in held], "elements binary").repartition(3)
+    tracemalloc.start()
+    got = op9.frequencies(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, np.bincount(np.concatenate(held) >> np.uint32(32 - op9.COUNTERS), minlength=1 << op9.COUNTERS))
+    assert (got > 0).sum() > 600_000  # rows of counters would take well over 100 MB here
+    assert peak < 32 << 20
+    assert not op9.frequencies(sets.filter("false")).any()

@@ -46,6 +46,8 @@ ROWS, BANDS = 5, 28
 REGISTERS = ROWS * BANDS
 #: Counters of shingle frequencies in the residue, a power of two; they order shingles, so collisions cost time only.
 COUNTERS = 20
+#: Counters go from task to task and to the driver in compressed blocks of ``2**BLOCK``, never as rows.
+BLOCK = 12
 #: Rows of one shingle on either side of the residue's join that meet in one group; a shingle of more rows is split into a grid of groups.
 SPLIT = 4096
 
@@ -188,20 +190,44 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def frequencies(sets: DataFrame) -> np.ndarray:
-    """In about how many of ``sets`` a shingle occurs: ``2**COUNTERS`` counters by its hash, whatever the number of sets."""
+def _packed(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """A row for each block of counters, compressed."""
+    return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in blocks.values()], pa.binary())], ["block", "counts"])
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(counts, 8 << BLOCK, "zstd"), np.int64)
+
+
+def counters(sets: DataFrame) -> DataFrame:
+    """(block, counts) of the ``2**COUNTERS`` counters of shingles by their hash, over all of ``sets``; blocks of zeros are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS, np.int64)
+        total = np.zeros((1 << COUNTERS - BLOCK, 1 << BLOCK), np.int64)
         for batch in batches:
             for held in batch.column("elements").to_pylist():
-                np.add.at(total, np.frombuffer(held, "<u4") >> np.uint32(32 - COUNTERS), 1)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
+                np.add.at(total.reshape(-1), np.frombuffer(held, "<u4") >> np.uint32(32 - COUNTERS), 1)
+        yield _packed({int(i): total[i] for i in np.flatnonzero(total.any(axis=1))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                held[block] = held.get(block, 0) + _unpacked(counts)
+        yield _packed(held)
+
+    kind = "block int, counts binary"
+    return sets.select("elements").mapInArrow(run, kind).repartition("block").mapInArrow(add, kind)
+
 
-    found = sets.select("elements").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << COUNTERS, np.int64)
-    total[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """In about how many of ``sets`` a shingle occurs, whatever the number of sets.
+
+    The driver gets at most ``2**(COUNTERS - BLOCK)`` rows of ``8 << BLOCK`` bytes before compression (8 MB) and keeps 4 MB.
+    """
+    total = np.zeros(1 << COUNTERS, np.uint32)
+    for row in counters(sets).collect():
+        total[row.block << BLOCK : row.block + 1 << BLOCK] = np.minimum(_unpacked(row.counts), (1 << 32) - 1)
     return total
 
 
