@@ -3,6 +3,7 @@
 import json
 import os
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,21 @@ def test_stream_equals_batch(spark):
     got = feed.send(*(rows[i : i + 7] for i in range(0, 60, 7)))
     table = spark.createDataFrame([(r["event_id"], r["key"], r["ts"], r["outcome"]) for r in rows], "event_id bigint, key string, ts string, outcome string")
     assert got == sorted(map(tuple, state.circuit_breaker(table, failures=2, open_s=9).collect()))
+
+
+def test_quiet_stream_in_processing_time_is_idle(spark):
+    folder, out = tempfile.mkdtemp(), []
+    with open(f"{folder}/0.json", "w") as file:
+        file.write(json.dumps(hit(1, "a", 0)) + "\n")
+    source = spark.readStream.schema(SCHEMA).json(folder)
+    claims = machines.first_claim_stream(source, ttl_s=60, store_ttl_s=3600)
+    query = claims.writeStream.outputMode("append").foreachBatch(lambda df, n: out.append((n, len(df.collect())))).option("checkpointLocation", f"{folder}/_state").start()
+    for _ in range(120):
+        if out or query.exception():
+            break
+        time.sleep(0.5)
+    time.sleep(5)
+    query.stop()
+    assert out == [(0, 1)]
+    machines.first_claim_stream(source, ttl_s=60)  # timers of event time need batches without data
+    assert spark.conf.get(machines.NO_DATA) == "true"

@@ -23,6 +23,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tillroll.operators import state
 from tillroll.operators.machine import ADDED, LINK, Machine, Piece
 
+#: Spark's switch for batches without data; a stream reads it from its session when it starts.
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -85,7 +87,12 @@ def machine_stream(rows: DataFrame, keys: list[str], machine: Machine, *, forget
 
     Event time (``forget_s``) needs no clock; with ``store_ttl_s`` instead the state store drops states so many seconds
     of processing time after their last change.  ``initial`` is what :func:`tillroll.operators.machine.last_links` gives.
+
+    In processing time Spark would run one batch without data after the other for ever, so that a quiet stream is never idle.  The store
+    hides what is over without them, and event time needs them for its timers: the session's switch is set to
+    what this stream needs, so start it before another machine is built.
     """
+    rows.sparkSession.conf.set(NO_DATA, str(not store_ttl_s).lower())
     columns = [*keys, *(c for c in rows.columns if c not in (*keys, "ts"))]
     schema = T.StructType([*(T.StructField(c, rows.schema[c].dataType) for c in columns), *T.StructType.fromDDL(ADDED).fields])
     processor = MachineProcessor(machine, columns, len(keys), None if store_ttl_s else forget_s, store_ttl_s)
