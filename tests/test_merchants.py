@@ -91,3 +91,46 @@ def test_records_by_registry(spark):
     df = spark.createDataFrame([(1, ["HILL B00KS", "Total 45.00"]), (2, ["LAKE SHOES", "Total 12.50"])], "id int, lines array<string>")
     got = {r.id: (r.merchant_code, r.merchant, r.total_amount) for r in extract_receipts(df, "2024-01-01", registry).collect()}
     assert got == {1: ("x1", "Hill Books", 45.0), 2: (None, "LAKE SHOES", 12.5)}
+
+
+def test_equal_lines_are_compared_once(spark, monkeypatch):
+    """Repeated rows, null ones and null lines keep their number and order; of each different row the index sees one text."""
+    import pandas as pd
+
+    from tillroll.operators import merchants
+
+    asked = []
+
+    class Counted(Keywords):
+        def near(self, texts):
+            asked.extend(texts)
+            return super().near(texts)
+
+    monkeypatch.setattr(merchants, "keywords", lambda words, least: Counted(words, least))
+    registry = [Row(code="a", name="A", tax_id=None, keywords=["bluewhale"], priority=2), Row(code="b", name="B", tax_id=None, keywords=["greentea"], priority=1)]
+    lines = [["bluevhale"], None, ["green", None, "tea"], ["bluevhale"], ["greentea"], [], ["bluevhale"]] * 50
+    (got,) = merchants.finder(registry).func(iter([pd.Series(lines)]))
+    want = ["a", None, "b", "a", "b", None, "a"] * 50
+    assert [None if x is pd.NA else x for x in got["code"]] == want
+    assert len(asked) == len(set(asked)) <= 4
+    rows = [(i, x) for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "id int, lines array<string>")
+    table = spark.createDataFrame([tuple(r) for r in registry], SCHEMA)
+    for block in (1, 10):
+        assert {r.id: r.merchant_code for r in identify_by(df, table, block=block).collect()} == dict(enumerate(want))
+
+
+def test_index_of_many_letters_is_small():
+    """Long keywords of many different letters: the index grows with their letters, not with pairs times keywords."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    words = tuple({"".join(chr(0x4E00 + rng.randrange(300)) for _ in range(rng.randint(15, 24))) for _ in range(4000)})
+    texts = [f"abc {damaged(rng, rng.choice(words))} xyz" for _ in range(40)]
+    tracemalloc.start()
+    got = Keywords(words, 0.8).near(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [{k for k, word in enumerate(words) if near_texts([t], word, 0.8)} for t in texts]
+    assert got == want and sum(map(len, want)) > 20
+    assert peak < 200 << 20

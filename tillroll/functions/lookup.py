@@ -6,7 +6,8 @@ more (``fuzzy.ratio``), so keyword and stretch have a common subsequence of n -
 * d of 1 or 2: the keyword without any d of its letters equals the stretch without some d of its letters.  Hashes of all these
   are a sorted index of the keywords of each length; the stretches of a batch look them up in arrays.
 * d of 3 or more (15 letters on at 0.8): of the n - 1 pairs of neighbouring letters, at most 2d lose a letter and d are parted, so the others
-  are pairs of the stretch too.  Pieces of text and keywords are vectors over pairs, and one product counts what they share.
+  are pairs of the stretch too.  An index from pairs to keywords counts what a piece of text shares with each keyword, and a
+  common subsequence of keyword and piece, computed for many of them at once, must have n - d letters.
 
 Whatever these let pass is compared by its similarity itself, so the result is that of comparing everything.  A length of fewer
 than ``FEW`` keywords has no index, as comparing them is cheaper.
@@ -26,6 +27,8 @@ BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Characters of text that are looked at together; bounds the memory of a batch.
 PIECE = 1 << 14
 FEW = 32
+#: Entries of the index of pairs that are counted together, and no letter's code.
+COUNTS, NO_LETTER = 1 << 20, 0xFFFFFFFF
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -90,12 +93,18 @@ class Keywords:
     def _pairs(self) -> None:
         held = [codes_of(self.words[i]) for i in self.long]
         pairs = [c[:-1] << np.uint64(32) | c[1:] for c in held]
-        self.pair = np.unique(np.concatenate(pairs))
-        self.weight = np.zeros((len(self.pair), len(held)), np.float32)
-        for k, own in enumerate(pairs):
-            np.add.at(self.weight[:, k], np.searchsorted(self.pair, own), 1)
-        self.need = np.array([len(c) - 1 - 3 * may_differ(len(c), self.least) for c in held], np.float32)
-        self.longest = max(map(len, held))
+        flat, owner = np.concatenate(pairs), np.repeat(np.arange(len(held), dtype=np.int32), [len(p) for p in pairs])
+        order = np.argsort(flat, kind="stable")
+        self.pair, first = np.unique(flat[order], return_index=True)
+        # the keywords of a pair, one as often as it has the pair
+        self.begin, self.held = np.append(first, len(flat)), owner[order]
+        self.letters = [len(c) for c in held]
+        self.need = np.array([n - 1 - 3 * may_differ(n, self.least) for n in self.letters], np.int64)
+        self.common = np.array([n - may_differ(n, self.least) for n in self.letters], np.int64)
+        self.longest = max(self.letters)
+        self.spelled = np.full((len(held), min(self.longest, 64)), NO_LETTER, np.uint32)
+        for k, c in enumerate(held):
+            self.spelled[k, : len(c)] = c[:64]
 
     def exact(self, text: str) -> set[int]:
         return {i for _, i in self.automaton.iter(text)} if self.words else set()
@@ -137,25 +146,74 @@ class Keywords:
             return
         step = self.longest
         # a stretch that begins in one piece of ``step`` characters ends in it or in the next one
-        for i, text in enumerate(texts):
-            codes = codes_of(text)
-            if len(codes) < 2:
-                continue
-            pairs = codes[:-1] << np.uint64(32) | codes[1:]
-            place = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
-            at = np.flatnonzero(self.pair[place] == pairs)
-            for left in range(0, len(codes), step * 1024):
-                pieces = -(-min(len(codes) - left, step * 1024) // step)
-                held = np.zeros((pieces, len(self.pair)), np.float32)
-                own = at[(at >= left) & (at < left + step * (pieces + 1))]
-                number = (own - left) // step
-                held[number[number < pieces], place[own[number < pieces]]] = 1
-                held[number[number > 0] - 1, place[own[number > 0]]] = 1
-                piece, keyword = np.nonzero(held @ self.weight >= self.need)
-                for k in np.unique(keyword):
-                    parts = [text[left + p * step : left + (p + 2) * step] for p in piece[keyword == k]]
-                    if near_texts(parts, self.words[self.long[k]], self.least):
-                        yield i, int(self.long[k])
+        size = np.array([len(t) for t in texts])
+        start, pieces = np.cumsum(size) - size, -(-size // step)
+        before = np.cumsum(pieces) - pieces
+        text_of = np.repeat(np.arange(len(texts)), pieces)
+        left = (np.arange(len(text_of)) - before[text_of]) * step
+        codes = codes_of("".join(texts))
+        if len(codes) < 2:
+            return
+        pairs = codes[:-1] << np.uint64(32) | codes[1:]
+        place = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
+        at = np.flatnonzero(self.pair[place] == pairs)
+        text = np.searchsorted(start + size, at, side="right")
+        number = before[text] + (at - start[text]) // step
+        inner = number > before[text]
+        both = np.unique(np.concatenate([number, number[inner] - 1]) * len(self.pair) + np.concatenate([place[at], place[at[inner]]]))
+        piece, pair = both // len(self.pair), both % len(self.pair)
+        chunk = max(1, COUNTS // len(self.long))
+        for first in range(0, len(text_of), chunk):
+            last = min(first + chunk, len(text_of))
+            own = slice(*np.searchsorted(piece, [first, last]))
+            counts = self._shared(piece[own] - first, pair[own], last - first)
+            near_piece, keyword = np.nonzero(counts >= self.need)
+            near_piece += first
+            fit = self._in_order(codes, start[text_of[near_piece]] + left[near_piece], np.minimum(2 * step, size[text_of[near_piece]] - left[near_piece]), keyword)
+            seen: set[tuple[int, int]] = set()
+            for p, k in zip(near_piece[fit].tolist(), keyword[fit].tolist(), strict=True):
+                i = int(text_of[p])
+                if (i, k) not in seen and near_texts([texts[i][left[p] : left[p] + 2 * step]], self.words[self.long[k]], self.least):
+                    seen.add((i, k))
+                    yield i, int(self.long[k])
+
+    def _shared(self, piece: np.ndarray, pair: np.ndarray, pieces: int) -> np.ndarray:
+        """How many pairs of each keyword each piece has: (pieces, keywords)."""
+        counts = np.zeros(pieces * len(self.long), np.int64)
+        many = self.begin[pair + 1] - self.begin[pair]
+        ends = np.cumsum(many)
+        done = 0
+        while done < len(many):  # about COUNTS entries at a time
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + COUNTS, side="right")))
+            m = many[done:upto]
+            shift = self.begin[pair[done:upto]] - (np.cumsum(m) - m)
+            entry = self.held[np.repeat(shift, m) + np.arange(int(m.sum()))]
+            counts += np.bincount(np.repeat(piece[done:upto] * len(self.long), m) + entry, minlength=len(counts))
+            done = upto
+        return counts.reshape(pieces, len(self.long))
+
+    def _in_order(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, keyword: np.ndarray) -> np.ndarray:
+        """Whether the stretch of ``codes`` and the keyword have a common subsequence that is long enough; of more than 64 letters, always."""
+        out = np.ones(len(begin), bool)
+        if self.longest > 64:
+            return out
+        wide = -(-self.spelled.shape[1] // 8) * 8
+        group = max(1, (1 << 22) // (2 * self.longest * wide))
+        for first in range(0, len(begin), group):
+            own = slice(first, first + group)
+            n = int(size[own].max())
+            index = begin[own] + np.arange(n)[:, None]
+            letters = np.where(np.arange(n)[:, None] < size[own], codes[np.minimum(index, len(codes) - 1)], NO_LETTER - 1).astype(np.uint32)
+            same = np.packbits(letters[:, :, None] == self.spelled[keyword[own]], axis=2, bitorder="little")
+            bits = np.zeros((*same.shape[:2], 8), np.uint8)
+            bits[:, :, : same.shape[2]] = same
+            # Hyyro's recurrence: a zero bit for each letter of the subsequence
+            held = np.full(bits.shape[1], ~np.uint64(0))
+            for mask in bits.view("<u8")[:, :, 0]:
+                hit = held & mask
+                held = (held + hit) | (held - hit)
+            out[own] = np.bitwise_count(~held) >= self.common[keyword[own]]
+        return out
 
 
 @lru_cache(maxsize=4)

@@ -5,8 +5,9 @@ the first merchant (by priority, then code) of which it shows one; otherwise to
 look-alike digits read as letters, or nearly.  Null or empty tax ids and keywords match nothing; a null priority comes last; a
 null code is no merchant.  Keywords are compared in lower case.  Rows without lines have no merchant.
 
-The registry goes to all tasks in blocks of ``block`` rows at most; one of more rows takes a pass over the receipts for each block, and
-only one block is held by the driver at a time.
+Rows are dealt by their lines and sorted within tasks, so that equal lines follow each other and are compared once; a hot text is split over
+tasks by its rows.  The registry goes to all tasks in blocks of ``block`` rows at most; one of more rows takes a pass over the distinct lines for
+each block, and only one block is held by the driver at a time.
 """
 
 from __future__ import annotations
@@ -48,12 +49,12 @@ def finder(rows: list[Row], least: float | None = LEAST):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index = keywords(words, least)
         for batch in batches:
-            best: list[tuple[int, int] | None] = [None] * len(batch)
             texts: list[str] = []
             open_rows: list[int] = []
-            for i, lines in enumerate(batch):
-                if lines is None:
-                    continue
+            number: dict[tuple, int] = {}  # of each different row, in the order of their first occurrence
+            place = [-1 if lines is None else number.setdefault(tuple(lines), len(number)) for lines in batch]
+            best: list[tuple[int, int] | None] = [None] * (len(number) + 1)  # the last one is that of no lines
+            for i, lines in enumerate(number):
                 lines = [s for s in lines if s is not None]
                 ids = [by_tax[t] for s in lines for t in _TAX.findall(_GAP.sub("", s)) if t in by_tax]
                 if ids:
@@ -71,9 +72,9 @@ def finder(rows: list[Row], least: float | None = LEAST):
                 for i, near in zip(open_rows, index.near(texts), strict=True):
                     if near:
                         best[i] = min(best[i] or (2, 0), (1, min(owners[k] for k in near)))
-            out = [(None,) * 4 if b is None else (b[0], *names[b[1]]) for b in best]
-            columns = dict(zip(("tier", "rank", "code", "name"), zip(*out), strict=True)) if out else dict.fromkeys(("tier", "rank", "code", "name"), ())
-            yield pd.DataFrame({c: pd.array(list(v), kind) for (c, v), kind in zip(columns.items(), ("Int32", "Int64", "string", "string"), strict=True)})
+            made = [(None,) * 4 if b is None else (b[0], *names[b[1]]) for b in best]
+            columns = {c: [made[i][k] for i in place] for k, c in enumerate(("tier", "rank", "code", "name"))}
+            yield pd.DataFrame({c: pd.array(v, kind) for (c, v), kind in zip(columns.items(), ("Int32", "Int64", "string", "string"), strict=True)})
 
     return run
 
@@ -87,13 +88,26 @@ def identify_by(df: DataFrame, registry: DataFrame, least: float | None = LEAST,
     size = registry.count()
     blocks = 1 if size <= block else -(-2 * size // block)  # blocks by hash of about half that size
     held = "_" * (max(map(len, df.columns)) + 1)
-    df = df.withColumn(held, F.lit(None).cast(FOUND))
-    for k in range(blocks):
+    at = held + "at"
+    df = df.withColumn(at, F.xxhash64("lines")).hint("rebalance", at).sortWithinPartitions(at)
+
+    def passed(texts: DataFrame, k: int) -> DataFrame:
         rows = registry.filter(F.pmod(F.xxhash64("code"), F.lit(blocks)) == k).collect()
         found = finder(rows, least)(F.col("lines"))
-        df = df.withColumn(held, F.least(held, F.when(found["code"].isNotNull(), found)))
-        if k + 1 < blocks:
-            df = kept(df, "merchants")
+        return texts.withColumn(held, F.least(held, F.when(found["code"].isNotNull(), found)))
+
+    if blocks == 1:
+        df = passed(df.withColumn(held, F.lit(None).cast(FOUND)), 0)
+    else:
+        df = kept(df, "merchants")
+        tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+        texts = df.filter("lines IS NOT NULL").select("lines").distinct().repartition(tasks).withColumn(held, F.lit(None).cast(FOUND))
+        for k in range(blocks):
+            texts = passed(texts, k)
+            if k + 1 < blocks:
+                texts = kept(texts, "merchants")
+        df = df.join(texts, "lines", "left").select(*df.columns, held)
+    df = df.drop(at)
     text = [F.col("merchant_text")] if "merchant_text" in df.columns else []
     out = df.withColumns({"merchant_code": F.col(held)["code"], "merchant": F.coalesce(F.col(held)["name"], *text, F.lit("unknown"))})
     return out.drop(held)

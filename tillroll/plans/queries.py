@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -265,7 +266,8 @@ def _slips(s: SparkSession, p: str) -> tuple[DataFrame, DataFrame]:
         F.array(F.lit(None).cast("string"), F.concat(F.lit("at "), F.translate(word, "bs", "85"))), F.array(F.lit("hall"), F.concat_ws("", damaged([3, 8])), F.lit("stall 9")),
         F.array(F.concat_ws("", damaged([2, 5, 8, 11]))), F.array(F.lit("no shop named")),
     ]
-    slips = d.table(s, p, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*ways), (v + 1).cast("int")).alias("lines"))
+    way = reduce(lambda before, i: before.when(v == i, ways[i]), range(1, len(ways)), F.when(v == 0, ways[0]))
+    slips = extract.spread(d.table(s, p, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")).select("l_orderkey", "l_linenumber", way.alias("lines"))
     key = F.col("s_suppkey")
     shops = d.table(s, p, "supplier").select(
         F.concat(F.lit("s"), key).alias("code"), F.concat(F.lit("Shop "), key).alias("name"), F.when(key % 9 != 4, (F.lit(10**12) + key * 7919).cast("string")).alias("tax_id"), F.array(_shop_word(key)).alias("keywords"), key.alias("priority"),
@@ -276,7 +278,7 @@ def _slips(s: SparkSession, p: str) -> tuple[DataFrame, DataFrame]:
 def merchants_by_registry(s: SparkSession, p: str) -> DataFrame:
     """F-19, F-20, J-05, J-06 over a registry table."""
     slips, shops = _slips(s, p)
-    return merchants.identify_by(extract.spread(slips), shops).select("l_orderkey", "l_linenumber", "merchant_code", "merchant")
+    return merchants.identify_by(slips, shops).select("l_orderkey", "l_linenumber", "merchant_code", "merchant")
 
 
 def unsent_sheet(s: SparkSession, p: str) -> DataFrame:
