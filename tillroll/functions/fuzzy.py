@@ -1,17 +1,20 @@
 """F-39 and its uses: Ratcliff-Obershelp similarity, which Spark lacks, as Arrow-batched functions.
 
-Exact matches are native.  A similarity needs that many equal letters, so letters are counted for a whole batch at once
-and only stretches with enough of them are compared.
+Exact matches are native.  A similarity needs that many equal letters in one order, so letters are counted and common subsequences
+are found for a whole batch at once, and only stretches with enough of them are compared.  Each different text of a batch is looked at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,23 +33,61 @@ def alike(a: str, b: str, least: float) -> bool:
     return sum(c in letters for c in a) >= need and ratio(a, b) >= least
 
 
-def near_texts(texts: list[str], word: str, least: float) -> set[int]:
-    """Which of ``texts`` hold some stretch of the word's length that is at least that similar to it."""
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, and where each text ends."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([len(t) for t in texts], dtype=np.int64)
+
+
+def in_order(stretches: np.ndarray, word: str) -> np.ndarray:
+    """For an array (m, n) of code points: how many letters the longest common subsequence of each row and a word of at most 64 letters has."""
+    letters, place = np.unique(np.array([ord(c) for c in word], np.uint32), return_inverse=True)
+    bits = np.zeros(len(letters) + 1, np.uint64)
+    for i, k in enumerate(place.tolist()):
+        bits[k] |= np.uint64(1 << i)
+    at = np.minimum(np.searchsorted(letters, stretches), len(letters) - 1)
+    masks = bits[np.where(letters[at] == stretches, at, len(letters))]
+    # Hyyro's recurrence: a zero bit for each letter of the subsequence
+    held = np.full(len(stretches), ~np.uint64(0))
+    for mask in masks.T:
+        hit = held & mask
+        held = (held + hit) | (held - hit)
+    return np.bitwise_count(~held)
+
+
+def near_coded(texts: list[str], codes: np.ndarray, ends: np.ndarray, word: str, least: float) -> set[int]:
+    """:func:`near_texts` of texts whose :func:`coded` is known."""
     n = len(word)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(codes) < n:
         return set()
-    ends = np.cumsum([len(t) for t in texts])
-    hits = np.concatenate([[0], np.cumsum(np.isin(codes, [ord(c) for c in word]))])
+    hits = np.concatenate([[0], np.cumsum(np.isin(codes, [ord(c) for c in set(word)]))])
+    at = np.flatnonzero(hits[n:] - hits[:-n] >= least * n)
+    text = np.searchsorted(ends, at, side="right")
+    inside = at + n <= ends[text]
+    at, text = at[inside], text[inside]
+    if len(at) and n <= 64:
+        fit = in_order(np.lib.stride_tricks.sliding_window_view(codes, n)[at], word) >= least * n
+        at, text = at[fit], text[fit]
     found: set[int] = set()
-    for at in np.flatnonzero(hits[n:] - hits[:-n] >= least * n).tolist():
-        i = int(np.searchsorted(ends, at, side="right"))
-        begin = at - int(ends[i]) + len(texts[i])
-        if i not in found and begin + n <= len(texts[i]) and ratio(texts[i][begin : begin + n], word) >= least:
+    for i, begin in zip(text.tolist(), (at - ends[text]).tolist(), strict=True):
+        begin += len(texts[i])
+        if i not in found and ratio(texts[i][begin : begin + n], word) >= least:
             found.add(i)
     return found
 
 
+def near_texts(texts: list[str], word: str, least: float) -> set[int]:
+    """Which of ``texts`` hold some stretch of the word's length that is at least that similar to it."""
+    return near_coded(texts, *coded(texts), word, least)
+
+
+def by_text(held: pa.Array, of: Callable[[list[str]], pa.Array]) -> pa.Array:
+    """For an array of arrays of texts the value of each text, where ``of`` gives those of different texts."""
+    encoded = held.flatten().dictionary_encode()
+    values = of(encoded.dictionary.to_pylist()).take(encoded.indices)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values, mask=held.is_null())
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -55,25 +96,51 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def first_near(words: list[str], least: float):
     """A function of an array of texts: for each the number of the first of ``words`` that it nearly holds, or null."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def of(texts: list[str]) -> pa.Array:
+            first: list[int | None] = [None] * len(texts)
+            codes, ends = coded(texts)
+            for i in range(len(words) - 1, -1, -1):
+                for j in near_coded(texts, codes, ends, words[i], least):
+                    first[j] = i
+            return pa.array(first, pa.int32())
+
+        for batch in batches:
+            yield by_text(batch, of)
+
+    return run
+
+
+def any_word_like(words: list[str], least: float, pattern: str):
+    """A function of an array of texts: for each whether one of the matches of ``pattern`` in it is that similar to one of ``words``."""
+
+    @F.arrow_udf(T.ArrayType(T.BooleanType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens, known = re.compile(pattern), lru_cache(maxsize=50_000)(lambda t: any(alike(t, w, least) for w in words))
         for batch in batches:
-            texts = list({t for held in batch if held is not None for t in held if t is not None})
-            first: dict[str, int] = {}
-            for i, word in enumerate(words):
-                left = [t for t in texts if t not in first]
-                first |= {left[j]: i for j in near_texts(left, word, least)}
-            yield pd.Series([None if held is None else [first.get(t) for t in held] for held in batch])
+            yield by_text(batch, lambda texts: pa.array([any(map(known, tokens.findall(t))) for t in texts], pa.bool_()))
 
     return run
 
 
-def any_like(words: list[str], least: float):
-    """A function of an array of arrays of words: for each array whether one is that similar to one of ``words``."""
+def text_like(words: list[str], least: float):
+    """A function of an array of texts: for each whether it is that similar to one of ``words``."""
+
+    @F.arrow_udf(T.ArrayType(T.BooleanType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def of(texts: list[str]) -> pa.Array:
+            codes, ends = coded(texts)
+            size = np.diff(ends, prepend=0)
+            found = np.zeros(len(texts), bool)
+            for word in words:
+                need = least * (size + len(word)) / 2
+                hits = np.concatenate([[0], np.cumsum(np.isin(codes, [ord(c) for c in set(word)]))])
+                for i in np.flatnonzero(~found & (np.minimum(size, len(word)) >= need) & (hits[ends] - hits[ends - size] >= need)).tolist():
+                    found[i] = alike(texts[i], word, least)
+            return pa.array(found)
 
-    @F.pandas_udf(T.ArrayType(T.BooleanType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([None if lines is None else [any(alike(t, w, least) for t in tokens for w in words) for tokens in lines] for lines in batch])
+            yield by_text(batch, of)
 
     return run

@@ -7,22 +7,28 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A letter, digit or underscore of any script; Java's \w is ASCII only.
+# A letter, digit or underscore of any script; Java's \w is ASCII only.  BD and BL stand before a digit or an ASCII letter, which is the cheaper test.
 W = r"\p{L}\p{N}_"
 B, E = rf"(?<![{W}])", rf"(?![{W}])"
-CURRENCY = "(?i)(thb|บาท|฿)"
-# What is no money, in the order in which it is blanked.
+BD, BL = rf"(?=[0-9]){B}", rf"(?=[A-Za-z]){B}"
+CURRENCY, MONEY_SIGNS = "(?i)(thb|บาท|฿)", ["thb", "บาท", "฿"]
+_DATE = r"[/\-.][0-9]{1,2}[/\-.]"
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_NUMBERED = "code id ref no tid stan batch trace inv pos reg q".split()
+# What is no money, in the order in which it is blanked; only where the test before it holds, which all matches pass.
 NOT_MONEY = [
-    rf"{B}[0-9]{{1,2}}:[0-9]{{2}}(?:[:.][0-9]{{2}})?{E}",
-    rf"(?i){B}(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*[0-9]{{1,2}}\s*,?\s*[0-9]{{2,4}}{E}",
-    rf"{B}[0-9]{{1,2}}[/\-.][0-9]{{1,2}}[/\-.][0-9]{{2,4}}{E}",
-    rf"(?i)(?:#\s*[0-9]+|{B}(?:code|id|ref|no|tid|stan|batch|trace|inv|pos|reg|q){E}[#:.\s]*[0-9]+)",
-    rf"{B}[0-9]{{7,}}{E}",
-    rf"{B}[0-9]{{1,3}},[0-9]{{2}}(?![0-9])",
+    (lambda s, low: s.contains(":"), rf"{BD}[0-9]{{1,2}}:[0-9]{{2}}(?:[:.][0-9]{{2}})?{E}"),
+    (lambda s, low: any_of(low, MONTHS), rf"(?i){BL}(?:{'|'.join(MONTHS)})[a-z]*\.?\s*[0-9]{{1,2}}\s*,?\s*[0-9]{{2,4}}{E}"),
+    (lambda s, low: s.rlike(_DATE), rf"{BD}[0-9]{{1,2}}[/\-.][0-9]{{1,2}}[/\-.][0-9]{{2,4}}{E}"),
+    (lambda s, low: any_of(low, ["#", *_NUMBERED]), rf"(?i)(?:#\s*[0-9]+|{BL}(?:{'|'.join(_NUMBERED)}){E}[#:.\s]*[0-9]+)"),
+    (lambda s, low: s.rlike("[0-9]{7}"), rf"{BD}[0-9]{{7,}}{E}"),
+    (lambda s, low: s.rlike(",[0-9]{2}(?![0-9])"), rf"{BD}[0-9]{{1,3}},[0-9]{{2}}(?![0-9])"),
 ]
+# No line without a match of this has one of NOT_MONEY.
+_SUSPECT = rf"[:#]|{_DATE}|[0-9]{{7}}|,[0-9]{{2}}(?![0-9])|(?i)(?:{'|'.join(_NUMBERED)})[#:.\s]*[0-9]|(?i)(?:{'|'.join(MONTHS)})[a-z]*\.?\s*[0-9]"
 # How amounts, dates and times are written.
-DECIMAL = rf"{B}([0-9]{{1,3}}(?:[,\s][0-9]{{3}})+|[0-9]+)[.,\-]([0-9]{{2}})(?![0-9])"
-WHOLE = rf"(?<![{W}.,\-])([0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?![0-9.,\-])"
+DECIMAL = rf"{BD}([0-9]{{1,3}}(?:[,\s][0-9]{{3}})+|[0-9]+)[.,\-]([0-9]{{2}})(?![0-9])"
+WHOLE = rf"(?=[0-9])(?<![{W}.,\-])([0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?![0-9.,\-])"
 LOW, HIGH = 0.01, 1_000_000.0
 THAI_DIGITS = "๐๑๒๓๔๕๖๗๘๙"
 
@@ -32,14 +38,29 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def any_of(text: Column, words: list[str]) -> Column:
+    """Whether the text holds one of ``words``."""
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+
+
+def lowered(text: Column, body) -> Column:
+    """``body`` of the text in lower case, which is made once."""
+    return let(F.lower(text), body)
+
+
 def digits(text: Column) -> Column:
-    return F.translate(text, THAI_DIGITS, "0123456789")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, THAI_DIGITS, "0123456789"))  # ASCII has none
+
 
+def has_digit(text: Column) -> Column:
+    return text.rlike(f"[0-9{THAI_DIGITS}]")
 
-def strip_non_money(line: Column) -> Column:
-    """F-02."""
-    spaced = F.regexp_replace(digits(line), rf"{B}{CURRENCY}(?=[0-9])", "$1 ")
-    return reduce(lambda text, pattern: F.regexp_replace(text, pattern, " "), NOT_MONEY, spaced)
+
+def strip_non_money(line: Column, low: Column) -> Column:
+    """F-02 of a line without Thai digits and of its lower case; what is blanked becomes a space, so no word begins to match by it."""
+    tests = [(lambda s, low: any_of(low, MONEY_SIGNS), rf"{B}{CURRENCY}(?=[0-9])", "$1 "), *((*x, " ") for x in NOT_MONEY)]
+    blank = lambda test, pattern, by: lambda s: F.when(test(s, low), F.regexp_replace(s, pattern, by)).otherwise(s)
+    return F.when(any_of(low, MONEY_SIGNS) | line.rlike(_SUSPECT), reduce(let, (blank(*x) for x in tests), line)).otherwise(line)
 
 
 def amounts(line: Column) -> Column:
@@ -50,15 +71,23 @@ def amounts(line: Column) -> Column:
     def made(found: Column, decimals: bool, currency: Column) -> Column:
         return F.transform(found, lambda v: F.struct(v.alias("value"), F.lit(decimals).alias("has_decimals"), currency.alias("has_currency")))
 
+    def decimal(v: Column) -> Column:
+        plain = lambda x: F.when(x.rlike("[^0-9]"), F.regexp_replace(x, "[^0-9]", "")).otherwise(x)
+        return value(F.concat(let(F.substring(v, F.lit(1), F.length(v) - 3), plain), F.lit("."), F.right(v, F.lit(2))))
+
     def of(x: Column) -> Column:
-        clean, currency = x["clean"], x["currency"]
-        decimal = F.zip_with(F.regexp_extract_all(clean, F.lit(DECIMAL), 1), F.regexp_extract_all(clean, F.lit(DECIMAL), 2), lambda a, b: value(F.concat(F.regexp_replace(a, r"[,\s]", ""), F.lit("."), b)))
-        whole = F.transform(F.regexp_extract_all(F.regexp_replace(clean, DECIMAL, " "), F.lit(WHOLE), 1), lambda a: value(F.regexp_replace(a, ",", "")))
-        return F.filter(F.concat(made(decimal, True, currency), made(whole, False, currency)), lambda y: y["value"].between(LOW, HIGH))
+        return let(F.regexp_extract_all(x["clean"], F.lit(DECIMAL), 0), lambda found: valued(x["clean"], found, x["currency"]))
+
+    def valued(clean: Column, found: Column, currency: Column) -> Column:
+        rest = F.when(F.size(found) > 0, F.regexp_replace(clean, DECIMAL, " ")).otherwise(clean)
+        whole = F.transform(F.regexp_extract_all(rest, F.lit(WHOLE), 1), lambda a: value(F.replace(a, F.lit(","), F.lit(""))))
+        return F.filter(F.concat(made(F.transform(found, decimal), True, currency), made(whole, False, currency)), lambda y: y["value"].between(LOW, HIGH))
+
+    def marked(low: Column) -> Column:
+        return let(F.struct(let(digits(line), lambda s: strip_non_money(s, low)).alias("clean"), (any_of(low, MONEY_SIGNS) & line.rlike(CURRENCY)).alias("currency")), of)
 
     # a line without a digit, as most headings are, has no amounts
-    held = let(F.struct(strip_non_money(line).alias("clean"), line.rlike(CURRENCY).alias("currency")), of)
-    return F.when(line.isNull() | line.rlike(f"[0-9{THAI_DIGITS}]"), held).otherwise(F.array().cast("array<struct<value:double,has_decimals:boolean,has_currency:boolean>>"))
+    return F.when(line.isNull() | has_digit(line), lowered(line, marked)).otherwise(F.array().cast("array<struct<value:double,has_decimals:boolean,has_currency:boolean>>"))
 
 
 def best_amount(found: Column) -> Column:
@@ -68,10 +97,9 @@ def best_amount(found: Column) -> Column:
 
 
 # Dates.
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-NUMERIC_DATE = r"(?<![0-9])([0-9]{1,2})([/\-.])([0-9]{1,2})\2([0-9]{2,4})(?![0-9])"
-MONTH_FIRST = rf"(?i){B}([a-z]{{3}})[a-z]*\.?\s+([0-9]{{1,2}})\s*,?\s*([0-9]{{4}}){E}"
-DAY_FIRST = rf"(?i){B}([0-9]{{1,2}})\s+([a-z]{{3}})[a-z]*\.?\s*,?\s*([0-9]{{4}}){E}"
+NUMERIC_DATE = r"(?=[0-9])(?<![0-9])([0-9]{1,2})([/\-.])([0-9]{1,2})\2([0-9]{2,4})(?![0-9])"
+MONTH_FIRST = rf"(?i){BL}([a-z]{{3}})[a-z]*\.?\s+([0-9]{{1,2}})\s*,?\s*([0-9]{{4}}){E}"
+DAY_FIRST = rf"(?i){BD}([0-9]{{1,2}})\s+([a-z]{{3}})[a-z]*\.?\s*,?\s*([0-9]{{4}}){E}"
 DATE_KEYWORDS = "(?i)date|วันที่|วัน"
 
 
@@ -102,11 +130,15 @@ def find_date(lines: Column, as_of: Column) -> Column:
         return F.when(line.rlike(pattern), F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1)))
 
     def scored(line: Column, i: Column) -> Column:
-        by_name = F.coalesce(first(line, MONTH_FIRST, (3, 1, 2), True), first(line, DAY_FIRST, (3, 2, 1), True))
-        by_number = first(line, NUMERIC_DATE, (4, 3, 1), False)
+        named = F.coalesce(first(line, MONTH_FIRST, (3, 1, 2), True), first(line, DAY_FIRST, (3, 2, 1), True))
+        by_name = F.when(lowered(line, lambda low: any_of(low, MONTHS)), named)
+        by_number = F.when(line.rlike(_DATE), first(line, NUMERIC_DATE, (4, 3, 1), False))
         dates = F.struct(by_name.alias("name"), by_number.alias("number"))
 
         def of(x: Column) -> Column:
+            return F.when(x["name"].isNotNull() | x["number"].isNotNull(), weighed(x))
+
+        def weighed(x: Column) -> Column:
             score = F.when(x["name"].isNotNull(), 10).otherwise(5) + F.when(line.rlike(DATE_KEYWORDS), 3).otherwise(0)
             return F.struct(score.alias("s"), F.coalesce(x["name"], x["number"]).alias("d"), (-i).alias("i"))
 
@@ -115,14 +147,15 @@ def find_date(lines: Column, as_of: Column) -> Column:
     def best(found: Column) -> Column:
         return F.array_max(F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.size(F.filter(found, lambda y: y["d"] == x["d"])).alias("n"), x["i"].alias("i"), x["d"].alias("d"))))["d"]
 
-    return let(F.filter(F.transform(F.transform(lines, digits), scored), lambda x: x["d"].isNotNull()), best)
+    dated = F.filter(F.transform(lines, digits), lambda s: s.rlike(rf"{_DATE}|(?i)(?:{'|'.join(MONTHS)})"))  # few lines
+    return let(F.filter(F.transform(dated, scored), lambda x: x["d"].isNotNull()), best)
 
 
 # Times.
-_MERIDIEM = rf"(?i)(?<![0-9])([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}}))?\s*([ap])[a-z]?{E}"
-_PLAIN = r"(?<![0-9])([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?![0-9])"
-_SPACED = r"(?<![0-9])([0-9]{2})\s([0-9]{2})\s([0-9]{2})(?![0-9])"
-_COMPACT = r"(?<![0-9])([0-9]{2})([0-9]{2})([0-9]{2})(?![0-9])"
+_MERIDIEM = rf"(?i)(?=[0-9])(?<![0-9])([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}}))?\s*([ap])[a-z]?{E}"
+_PLAIN = r"(?=[0-9])(?<![0-9])([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?![0-9])"
+_SPACED = r"(?=[0-9])(?<![0-9])([0-9]{2})\s([0-9]{2})\s([0-9]{2})(?![0-9])"
+_COMPACT = r"(?=[0-9])(?<![0-9])([0-9]{2})([0-9]{2})([0-9]{2})(?![0-9])"
 
 
 def find_time(lines: Column) -> Column:
@@ -143,9 +176,11 @@ def find_time(lines: Column) -> Column:
 
     def of(line: Column) -> Column:
         dated = line.rlike(NUMERIC_DATE) | line.rlike(MONTH_FIRST) | line.rlike(DAY_FIRST)
-        return F.coalesce(first(line, _MERIDIEM, True), first(line, _PLAIN), first(line, _SPACED), F.when(dated, first(line, _COMPACT)))
+        clock = F.when(line.contains(":"), F.coalesce(first(line, _MERIDIEM, True), first(line, _PLAIN)))
+        return F.coalesce(clock, first(line, _SPACED), F.when(line.rlike(_COMPACT) & dated, first(line, _COMPACT)))
 
-    return F.try_element_at(F.filter(F.transform(F.transform(lines, digits), of), lambda t: t.isNotNull()), F.lit(1))
+    timed = F.filter(F.transform(lines, digits), lambda s: s.rlike(r":[0-9]{2}|[0-9]{2}\s[0-9]{2}\s[0-9]{2}|[0-9]{6}"))  # few lines
+    return F.try_element_at(F.filter(F.transform(timed, of), lambda t: t.isNotNull()), F.lit(1))
 
 
 # Words before a receipt's number.

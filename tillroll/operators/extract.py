@@ -7,15 +7,15 @@ functions (``functions.fuzzy``); everything else is native.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.functions.fuzzy import alike, any_like, first_near, ratio
-from tillroll.functions.parsing import B, amounts, best_amount, find_date, find_time, let, receipt_no
+from tillroll.functions.fuzzy import any_word_like, by_text, first_near, ratio, text_like
+from tillroll.functions.parsing import B, amounts, best_amount, find_date, find_time, let, lowered, receipt_no
 from tillroll.functions.sums import arithmetic
 from tillroll.operators.merchants import identify_by
 
@@ -57,9 +57,9 @@ def holds(text: Column, words: list[str]) -> Column:
 
 def whole_word(low: Column, words: list[str]) -> Column:
     """ASCII words with no a-z beside them, others anywhere."""
-    ascii_words = "|".join(re.escape(w) for w in words if w.isascii())
-    out = low.rlike(f"(?<![a-z])(?:{ascii_words})(?![a-z])")
-    other = [w for w in words if not w.isascii()]
+    plain, other = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
+    # a search for words is cheaper than a pattern, which few lines need
+    out = holds(low, plain) & low.rlike(f"(?<![a-z])(?:{'|'.join(map(re.escape, plain))})(?![a-z])")
     return out | holds(low, other) if other else out
 
 
@@ -70,7 +70,7 @@ def box_lines(boxes: Column, least: float = 0.5, confidence: bool = False) -> Co
     by half of the smaller height.
     """
     at = lambda b: (b["y1"] + b["y2"]) / 2
-    full = lambda b: F.coalesce(F.regexp_replace(b["text"], r"(?U)\s", "") != "", F.lit(False))
+    full = lambda b: F.coalesce(b["text"].rlike(r"(?U)\S"), F.lit(False))
     boxes = F.filter(boxes, lambda b: full(b) & (F.coalesce(b["confidence"], F.lit(1.0)) >= least) if confidence else full(b))
     ordered = F.array_sort(F.transform(boxes, lambda b, i: F.struct(at(b).alias("c"), i.alias("i"), b.alias("b"))))
 
@@ -100,55 +100,61 @@ def find_total(df: DataFrame) -> DataFrame:
     """F-05 to F-11 over a column ``lines``: adds total (value, score, reason) and keyword_total."""
     look = lambda s: F.translate(s, "1058|!", "losbll")
     least_first = TOTAL_KEYWORDS[::-1]
+    # the shortest words of which each keyword holds one; ``look`` leaves letters as they are
+    parts = [re.escape(k) for k in {min((w for w in ("total", "amount", "due", "เงิน", "ยอด", "รวม") if w in k), key=len, default=k) for k in TOTAL_KEYWORDS}]
     ascii_first = [(i, k) for i, k in enumerate(least_first) if k.isascii()]
-    near_keyword, negative = first_near([k for _, k in ascii_first], 0.80), any_like(["subtotal", "discount", "change"], 0.82)
+    near_keyword, negative = first_near([k for _, k in ascii_first], 0.80), any_word_like(["subtotal", "discount", "change"], 0.82, "[a-z]{5,}")
     df = df.withColumn("low", F.transform("lines", F.lower)).withColumn("found", F.transform("lines", amounts)).withColumn("best", F.transform("found", best_amount))
-    df = df.withColumns({"near": near_keyword("low"), "tokens": F.transform("low", lambda s: F.regexp_extract_all(look(s), F.lit("([a-z]{5,})"), 1))})
-    df = df.withColumn("negative", F.zip_with(F.transform("low", lambda s: holds(s, NOT_FINAL)), negative("tokens"), lambda a, b: a | b))
+    df = df.withColumn("looked", F.transform("low", look))
+    df = df.withColumns({"near": near_keyword("low"), "negative": negative("looked")})
+    negatives = F.zip_with(F.transform("low", lambda s: holds(s, NOT_FINAL)), "negative", lambda a, b: a | b)
 
-    def exact(s: Column) -> Column:
-        cases = lambda v: F.coalesce(*(F.when((s.rlike(B + k) | v.rlike(B + k)) if k.isascii() else s.contains(k), i) for i, k in enumerate(least_first)))
-        return let(look(s), cases)
+    def exact(s: Column, v: Column) -> Column:
+        begins = lambda x, k: x.contains(k) & x.rlike(B + k)
+        cases = F.coalesce(*(F.when((begins(s, k) | begins(v, k)) if k.isascii() else s.contains(k), i) for i, k in enumerate(least_first)))
+        return F.when(v.rlike("|".join(parts)), cases)
 
     inexact = F.transform("near", lambda j: F.element_at(F.array(*(F.lit(i) for i, _ in ascii_first)), j + 1))
-    ranks = F.zip_with(F.transform("low", exact), inexact, lambda a, b: F.struct(F.least(a, b).alias("rank"), F.coalesce(a <= F.coalesce(b, F.lit(99)), F.lit(False)).alias("exact")))
-    df = df.withColumn("ranks", ranks)
+    ranks = F.zip_with(F.zip_with("low", "looked", exact), inexact, lambda a, b: F.struct(F.least(a, b).alias("rank"), F.coalesce(a <= F.coalesce(b, F.lit(99)), F.lit(False)).alias("exact")))
 
     # F-07, W-02: an amount on the line or on the two lines behind it, up to a negative one
-    def value(r: Column, i: Column) -> Column:
+    def value(r: Column, i: Column, negative: Column) -> Column:
         ahead = [F.try_element_at("best", i + k) for k in (2, 3)]
-        stops = [F.coalesce(F.try_element_at("negative", i + k), F.lit(True)) for k in (2, 3)]
+        stops = [F.coalesce(F.try_element_at(negative, i + k), F.lit(True)) for k in (2, 3)]
         later = F.when(~stops[0], F.coalesce(ahead[0], F.when(~stops[1], ahead[1])))
         v = F.coalesce(F.try_element_at("best", i + 1), later)
-        fits = r["rank"].isNotNull() & ~F.try_element_at("negative", i + 1) & v.isNotNull()
+        fits = r["rank"].isNotNull() & ~F.try_element_at(negative, i + 1) & v.isNotNull()
         return F.when(fits, F.struct(r["rank"].alias("rank"), i.alias("i"), v.alias("value"), r["exact"].alias("exact")))
 
-    df = df.withColumn("keyword", F.array_max(F.filter(F.transform("ranks", value), lambda x: x.isNotNull())))
+    # values that are used more than once are bound, as Spark would compute them at each use
+    keyword = let(negatives, lambda n: F.array_max(F.filter(F.transform(ranks, lambda r, i: value(r, i, n)), lambda x: x.isNotNull())))
     flat = F.flatten("found")
     decimals = F.array_sort(F.array_distinct(F.transform(F.filter(flat, lambda x: x["has_decimals"]), lambda x: x["value"])))
     df = df.withColumn("decimals", decimals)
     printed = F.transform(F.filter(flat, lambda x: x["has_decimals"]), lambda x: x["value"])
-    footer = F.try_element_at(F.filter(F.zip_with("low", "best", lambda s, v: F.when(s.rlike(r"c\w?rd\s*n[o0]"), v)), lambda v: v.isNotNull()), F.lit(1))
+    footer = F.try_element_at(F.filter(F.zip_with("low", "best", lambda s, v: F.when(s.contains("rd") & s.rlike(r"c\w?rd\s*n[o0]"), v)), lambda v: v.isNotNull()), F.lit(1))
     text = F.array_join("low", " ")
     is_slip = sum((F.regexp_count(text, F.lit(w)) for w in SLIP[1:]), F.regexp_count(text, F.lit(SLIP[0]))) >= 2
     sums = arithmetic(F.col("decimals"), F.when(is_slip, printed).otherwise(F.array().cast("array<double>")))
     df = df.withColumn("sums", sums)
     marked = F.flatten(F.zip_with("low", "found", lambda s, f: F.when(~holds(s, PAYMENT), F.transform(F.filter(f, lambda x: x["has_currency"] & x["has_decimals"]), lambda x: x["value"])).otherwise(F.array().cast("array<double>"))))
-    single = F.when(F.size(F.array_distinct(marked)) == 1, F.array_distinct(marked)[0])
+    single = let(F.array_distinct(marked), lambda m: F.when(F.size(m) == 1, m[0]))
     subtotal = F.array_max(F.zip_with("low", "best", lambda s, v: F.when(holds(s, SUBTOTAL), v)))
     has_vat = F.coalesce(F.exists(F.zip_with("low", "best", lambda s, v: holds(s, VAT) & v.isNotNull()), lambda x: x), F.lit(False))
-    df = df.withColumns({"math": F.col("sums.taxed"), "slip": F.col("sums.spent"), "footer": footer, "is_slip": is_slip, "single": single, "subtotal": F.when(~has_vat, subtotal)})
-    key = F.col("keyword.value")
+    df = df.withColumn("is_slip", is_slip)
+    math, slip = F.col("sums.taxed"), F.col("sums.spent")
     pick = lambda v, score, why: F.struct(v.alias("value"), F.lit(score).alias("score"), F.lit(why).alias("reason"))
-    slips = F.when(F.col("slip").isNotNull(), pick(F.col("slip"), 80, "balance difference")).when(F.col("footer").isNotNull(), pick(F.col("footer"), 85, "card footer")).when(key.isNotNull() & F.col("keyword.exact"), pick(key, 45, "keyword"))
-    plain = (
-        F.when(key.isNotNull() & (F.abs(key - F.col("math")) <= 0.05), pick(key, 100, "keyword and arithmetic"))
-        .when(key.isNotNull() & F.col("math").isNotNull(), pick(F.col("math"), 70, "arithmetic")).when(key.isNotNull(), pick(key, 50, "keyword"))
-        .when(F.col("math").isNotNull(), pick(F.col("math"), 60, "arithmetic")).when(F.col("single").isNotNull(), pick(F.col("single"), 40, "only marked amount"))
-        .when(F.col("subtotal").isNotNull(), pick(F.col("subtotal"), 30, "subtotal"))
-    )
-    drop = ["near", "tokens", "ranks", "decimals", "sums", "math", "slip", "footer", "is_slip", "single", "subtotal", "negative"]
-    return df.withColumn("total", F.when(F.col("is_slip"), slips).otherwise(plain)).withColumn("keyword_total", key).drop(*drop, "keyword")
+    known = lambda value, score, why: let(value, lambda v: F.when(v.isNotNull(), pick(v, score, why)))
+
+    def decided(k: Column) -> Column:
+        key = k["value"]
+        slips = F.coalesce(known(slip, 80, "balance difference"), known(footer, 85, "card footer"), F.when(key.isNotNull() & k["exact"], pick(key, 45, "keyword")))
+        by_key = F.when(F.abs(key - math) <= 0.05, pick(key, 100, "keyword and arithmetic")).when(math.isNotNull(), pick(math, 70, "arithmetic")).otherwise(pick(key, 50, "keyword"))
+        by_sum = F.coalesce(known(math, 60, "arithmetic"), known(single, 40, "only marked amount"), F.when(~has_vat, known(subtotal, 30, "subtotal")))
+        return F.struct(F.when(F.col("is_slip"), slips).when(key.isNotNull(), by_key).otherwise(by_sum).alias("total"), key.alias("key"))
+
+    df = df.withColumn("decided", let(keyword, decided))
+    return df.withColumns({"total": F.col("decided.total"), "keyword_total": F.col("decided.key")}).drop("near", "looked", "negative", "decimals", "sums", "is_slip", "decided")
 
 
 # How codes are cut, and which characters are read for others.
@@ -156,18 +162,15 @@ _SPLIT, _HEAD, _FUSED, _TRIM = re.compile(r"[\s()\[\]:,]+"), re.compile("[A-Za-z
 _LOOK = str.maketrans({"0": "o", "1": "i", "5": "s", "8": "b", "|": "i", "!": "i", "u": "v"})
 
 
+@lru_cache(maxsize=50_000)
+def _is_label_word(word: str) -> bool:
+    return any(label.isascii() and (word == label or (len(label) >= 4 and abs(len(word) - len(label)) <= 2 and ratio(word, label) >= 0.80)) for label in LABELS)
+
+
 def _is_label(token: str) -> bool:
     head = _HEAD.match(token)
     word = head[0].lower().translate(_LOOK) if head else ""
-    if not word:
-        return False
-    for label in LABELS:
-        if not label.isascii():
-            if label in token:
-                return True
-        elif word == label or (len(label) >= 4 and abs(len(word) - len(label)) <= 2 and ratio(word, label) >= 0.80):
-            return True
-    return False
+    return bool(word) and (any(label in token for label in LABELS if not label.isascii()) or _is_label_word(word))
 
 
 def _code(raw: str) -> str | None:
@@ -178,38 +181,44 @@ def _code(raw: str) -> str | None:
     return value if n >= 5 and not (n == 13 == len(value)) else None
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def reference_codes(lines: pd.Series) -> pd.Series:
-    """F-14: codes behind transaction labels, in the order of their first occurrence."""
+def _codes(text: str) -> list[str]:
+    if sum(map(str.isdigit, text)) < 5:
+        return []
+    out: list[str] = []
+    tokens = [t for t in _SPLIT.split(text) if t]
+    for i, token in enumerate(tokens):
+        if not _is_label(token):
+            continue
+        fused = _FUSED.match(token)
+        code = _code(fused[2]) if fused else None
+        follow = (c for t in tokens[i + 1 : i + 4] if any(x.isdigit() for x in t) and (c := _code(t)))
+        code = code or next(follow, None)
+        if code:
+            out.append(code)
+    return out
+
 
-    def of(texts) -> list[str]:
-        out: dict[str, None] = {}
-        for text in texts:
-            tokens = [t for t in _SPLIT.split(text) if t]
-            for i, token in enumerate(tokens):
-                if not _is_label(token):
-                    continue
-                fused = _FUSED.match(token)
-                code = _code(fused[2]) if fused else None
-                follow = (c for t in tokens[i + 1 : i + 4] if any(x.isdigit() for x in t) and (c := _code(t)))
-                code = code or next(follow, None)
-                if code:
-                    out[code] = None
-        return list(out)
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _line_codes(lines: pa.Array) -> pa.Array:
+    return by_text(lines, lambda texts: pa.array(map(_codes, texts), pa.list_(pa.string())))
 
-    return lines.map(lambda texts: [] if texts is None else of(texts))
+
+def reference_codes(lines: Column | str) -> Column:
+    """F-14: codes behind transaction labels, in the order of their first occurrence."""
+    lines = F.col(lines) if isinstance(lines, str) else lines
+    return F.array_distinct(F.flatten(F.array_compact(_line_codes(F.coalesce(lines, F.array().cast("array<string>"))))))
 
 
 def line_items(lines: Column, total: Column) -> Column:
     """F-21, W-03: array of (name, price) between the last header line and the first end marker."""
     # fixed values in the next three: an item list's end, its header lines, and the price at a line's end
-    ended = lambda s: let(F.lower(s), lambda low: low.rlike("ยอ.{0,3}ทธ") | whole_word(low, END_OF_ITEMS) | (holds(low, AMBIGUOUS_END) & best_amount(amounts(s)).isNotNull()))
-    head = lambda s: s.rlike(r"^[\s*\-=_.~#]+$") | s.rlike(r"\d{1,2}:\d{2}|\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}") | whole_word(F.lower(s), HEADER)
+    ended = lambda s: lowered(s, lambda low: (low.contains("ทธ") & low.rlike("ยอ.{0,3}ทธ")) | whole_word(low, END_OF_ITEMS) | (holds(low, AMBIGUOUS_END) & best_amount(amounts(s)).isNotNull()))
+    head = lambda s: s.rlike(r"^[\s*\-=_.~#]+$") | (holds(s, [":", "/", "-"]) & s.rlike(r"\d{1,2}:\d{2}|\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}")) | lowered(s, lambda low: whole_word(low, HEADER))
     tail = r"[\s.]*([\d,]+(?:[.,\-]\d{2})?)(?:\s+\d{1,2})?\s*[^\d\s]{0,2}\s*$"
 
     def item(s: Column) -> Column:
         name = F.regexp_replace(F.regexp_replace(s, tail, ""), r"^[ \t.:*\-=#|,]+|[ \t.:*\-=#|,]+$", "")
-        price = let(best_amount(amounts(F.regexp_extract(s, tail, 1))), lambda v: F.when(F.coalesce(v <= total, F.lit(True)), v))
+        price = let(let(F.regexp_extract(s, tail, 1), lambda x: best_amount(amounts(x))), lambda v: F.when(F.coalesce(v <= total, F.lit(True)), v))
         return F.struct(name.alias("name"), price.alias("price"))
 
     def before(end: Column) -> Column:
@@ -221,7 +230,7 @@ def line_items(lines: Column, total: Column) -> Column:
         return let(last, lambda n: F.slice(part, n + 1, F.greatest(F.size(part) - n, F.lit(0))))
 
     end = F.array_position(F.transform(lines, ended), F.lit(True)).cast("int")
-    rows = F.filter(let(let(end, before), behind_header), lambda s: ~holds(F.lower(s), NOT_AN_ITEM))
+    rows = F.filter(let(let(end, before), behind_header), lambda s: lowered(s, lambda low: ~holds(low, NOT_AN_ITEM)))
     return F.filter(F.transform(rows, item), lambda x: F.length(F.regexp_replace(x["name"], r"[^\p{L}]", "")) >= 2)
 
 
@@ -231,15 +240,10 @@ def items_match(items: Column, total: Column) -> Column:
     return (F.size(prices) > 0) & (F.abs(F.aggregate(prices, F.lit(0.0), lambda a, b: a + b) - total) <= 0.05)
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _payment_like(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda lines: None if lines is None else [any(alike(t, p, 0.70) for p in PROVIDERS) for t in lines])
-
-
 def find_merchant(df: DataFrame) -> DataFrame:
     """F-18, W-05, W-04: adds merchant_text, the best header line and its branch."""
     texts = F.transform(F.slice("lines", 1, 8), lambda s: F.regexp_replace(s, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    df = df.withColumn("head", texts).withColumn("bank", _payment_like(F.transform(texts, F.lower)))
+    df = df.withColumn("head", texts).withColumn("bank", text_like(PROVIDERS, 0.70)(F.transform(texts, F.lower)))
 
     def scored(t: Column, i: Column) -> Column:
         return let(F.lower(t), lambda low: weighed(t, low, i))
@@ -250,17 +254,21 @@ def find_merchant(df: DataFrame) -> DataFrame:
         could = F.length(t).between(3, 60) & ~holds(low, BOILERPLATE) & ~holds(low, MONEY_WORDS) & ~t.rlike(rf"\d+[.,]\d{{2}}(?![\p{{L}}\p{{N}}_])") & (letters >= 0.3 * F.length(t))
         upper = (F.upper(t) == t) & (low != t)
         score = F.lit(10) - i * 2 - F.when(t.rlike(r"\p{Nd}"), 1).otherwise(0) + F.when(upper, 2).otherwise(0)
-        made = lambda p: F.when(could, F.struct((score - F.when(p, 12).otherwise(0)).alias("score"), (-i).alias("i"), t.alias("text"), p.alias("pays")))
-        return let(pays, made)
+        made = lambda p: F.struct((score - F.when(p, 12).otherwise(0)).alias("score"), (-i).alias("i"), t.alias("text"), p.alias("pays"))
+        return F.when(could, let(pays, made))
 
-    df = df.withColumn("candidates", F.filter(F.transform("head", scored), lambda x: x.isNotNull())).withColumn("top", F.array_max("candidates"))
-    branch = F.try_element_at(F.filter("candidates", lambda x: (x["i"] == F.col("top.i") - 1) & ~x["pays"]), F.lit(1))["text"]
-    return df.withColumn("merchant_text", F.when(F.col("top").isNotNull(), F.concat_ws(" ", "top.text", branch))).drop("head", "bank", "candidates", "top")
+    def named(found: Column, top: Column) -> Column:
+        branch = F.try_element_at(F.filter(found, lambda x: (x["i"] == top["i"] - 1) & ~x["pays"]), F.lit(1))["text"]
+        return F.when(top.isNotNull(), F.concat_ws(" ", top["text"], branch))
+
+    candidates = F.filter(F.transform("head", scored), lambda x: x.isNotNull())
+    return df.withColumn("merchant_text", let(candidates, lambda c: let(F.array_max(c), lambda top: named(c, top)))).drop("head", "bank")
 
 
 def identify(df: DataFrame) -> DataFrame:
     """F-19, F-20, J-05, J-06, U-01: adds merchant_code and merchant of the six known merchants; the list's order decides."""
-    ids = F.flatten(F.transform("lines", lambda s: F.regexp_extract_all(F.regexp_replace(s, r"[\s\-]", ""), F.lit(r"([0-9]{13})"), 1)))
+    long = F.filter("lines", lambda s: s.rlike(r"(?:[0-9][\s\-]*+){13}"))
+    ids = F.flatten(F.transform(long, lambda s: F.regexp_extract_all(F.regexp_replace(s, r"[\s\-]", ""), F.lit(r"([0-9]{13})"), 1)))
     words = [(code, w) for code, _, _, keywords in MERCHANTS for w in keywords]
     near_word = first_near([w for _, w in words], 0.80)
     text = F.lower(F.array_join("lines", " "))
@@ -300,9 +308,12 @@ def trusted(total: Column, rules: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, where its source has fewer splits than there are cores: the work for each byte is high."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` over all cores in even parts, where its source has fewer than four splits a core: the work for each byte is high, and splits are uneven.
+
+    Sources that make their lines by rules do so behind this, as that work is spread then too.
+    """
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def extract_receipts(df: DataFrame, as_of: str, registry: DataFrame | None = None) -> DataFrame:

@@ -192,9 +192,14 @@ def circuit_breaker(s: SparkSession, p: str) -> DataFrame:
     return state.circuit_breaker(calls, open_s=7200)
 
 
+def _case(by: Column, cases: list[Column]) -> Column:
+    """The case of number ``by``, from 0; only that one is computed."""
+    return reduce(lambda before, i: before.when(by == i, cases[i]), range(1, len(cases)), F.when(by == 0, cases[0]))
+
+
 def _rendered(s: SparkSession, p: str) -> DataFrame:
     """Orders as receipt lines; what extraction has to give back is known."""
-    r = d.receipts(s, p)
+    r = extract.spread(d.receipts(s, p).select("id", "member_id", "cents", "receipt_date", "receipt_time_s"))
     grouped = F.format_number(F.col("cents") / 100, 2)
     two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
     t = F.col("receipt_time_s")
@@ -209,7 +214,7 @@ def _rendered(s: SparkSession, p: str) -> DataFrame:
 
 def _layouts(s: SparkSession, p: str) -> DataFrame:
     """Orders as text boxes of receipts in twelve layouts and three kinds of head; each layout takes another way to the total."""
-    r = d.receipts(s, p)
+    r = extract.spread(d.receipts(s, p).select("id", "member_id", "cents", "receipt_date"))
     k, cents = F.col("id") % 12, F.col("cents")
     tax = F.floor((cents * 7 + 50) / 100).cast("bigint")
     net, levy, gross, more = (ledger.money(x) for x in (cents, tax, cents + tax, cents + 5000))
@@ -222,7 +227,7 @@ def _layouts(s: SparkSession, p: str) -> DataFrame:
     ]
     number = F.element_at(F.array(*(F.lit(m[2]) for m in extract.MERCHANTS)), (F.col("member_id") % 6 + 1).cast("int"))
     heads = [[line("HILLTOP BOOKS"), line("North Gate")], [line("CORNER HOUSE"), line("TAX ID:", number)], [line("Bangkok Bank"), line("CORNER HOUSE")]]
-    chosen = lambda by, cases: F.element_at(F.array(*(F.array(*c) for c in cases)), (by + 1).cast("int"))
+    chosen = lambda by, cases: _case(by, [F.array(*c) for c in cases])
     dated = F.array(line("", F.date_format("receipt_date", "dd/MM/yyyy")), line("Bill no:", F.concat(F.lit("K"), "id")))
     lines = F.concat(chosen(F.floor(F.col("id") / 12) % 3, heads), dated, chosen(k, bodies))
     box = lambda x, i, part, x1: F.struct(x[part].alias("text"), F.lit(x1).alias("x1"), (i * 20 + x1 % 7).alias("y1"), F.lit(x1 + 40).alias("x2"), (i * 20 + 13).alias("y2"))
@@ -266,8 +271,7 @@ def _slips(s: SparkSession, p: str) -> tuple[DataFrame, DataFrame]:
         F.array(F.lit(None).cast("string"), F.concat(F.lit("at "), F.translate(word, "bs", "85"))), F.array(F.lit("hall"), F.concat_ws("", damaged([3, 8])), F.lit("stall 9")),
         F.array(F.concat_ws("", damaged([2, 5, 8, 11]))), F.array(F.lit("no shop named")),
     ]
-    way = reduce(lambda before, i: before.when(v == i, ways[i]), range(1, len(ways)), F.when(v == 0, ways[0]))
-    slips = extract.spread(d.table(s, p, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")).select("l_orderkey", "l_linenumber", way.alias("lines"))
+    slips = extract.spread(d.table(s, p, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")).select("l_orderkey", "l_linenumber", _case(v, ways).alias("lines"))
     key = F.col("s_suppkey")
     shops = d.table(s, p, "supplier").select(
         F.concat(F.lit("s"), key).alias("code"), F.concat(F.lit("Shop "), key).alias("name"), F.when(key % 9 != 4, (F.lit(10**12) + key * 7919).cast("string")).alias("tax_id"), F.array(_shop_word(key)).alias("keywords"), key.alias("priority"),
@@ -297,7 +301,7 @@ def extraction_report(s: SparkSession, p: str) -> DataFrame:
 def parse_date(s: SparkSession, p: str) -> DataFrame:
     from tillroll.functions.parsing import find_date
 
-    return extract.spread(_rendered(s, p)).select("id", find_date(F.col("lines"), F.lit("1999-06-01").cast("date")).alias("receipt_date"))
+    return _rendered(s, p).select("id", find_date(F.col("lines"), F.lit("1999-06-01").cast("date")).alias("receipt_date"))
 
 
 def line_items_sum(s: SparkSession, p: str) -> DataFrame:
